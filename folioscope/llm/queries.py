@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import table
+from folioscope.llm.op3_licenses import oracle_sql as op3_licenses_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,3 +62,38 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.op4_sharding import shard
 
     return shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of each document when passages of 50 words stay in their first document alone."""
+    from folioscope.llm.op9_substrings import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and near-duplicate component."""
+    from folioscope.llm.op10_simhash import hex_of, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: by pattern, and by character models on top."""
+    from folioscope.llm.op2_secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wordings in every document."""
+    from folioscope.llm.op3_licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op3_licenses"] = op3_licenses_sql()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Writes rows to the shared checkpoint folder and goes on from there."""
+    """Writes rows to the shared checkpoint folder and goes on from there: for loops, whose lineage would grow."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Spares narrow rows a second scan of the texts.
+
+    They lie on the executors' disks; where an executor is lost, its share is
+    computed again from the scan, which is all the lineage they have.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """Marks a table for broadcast if a count shows that it has ``rows`` rows at most."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -24,16 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import keep
+from folioscope.llm.common import hold, keep
 from folioscope.llm.words import pieces
 
 SEED = 42
 WIDTHS = (13, 13, 13, 13, 12)  # of the segments, from the lowest bit
 SEGMENTS = len(WIDTHS)
 DISTANCE = 4
+ROUND_ROWS = 100_000  #: links that a task writes in a round
 
 
 def _fingerprint(hashes: list[int]) -> int:
@@ -64,14 +65,14 @@ def fingerprints_of(texts: pa.Array, width: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """Rows (id, fp): the SimHash of each document's word shingles."""
+    """Rows (id, uid, fp): the SimHash of each document's word shingles; uid is a hash of id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch({"id": batch.column(0), "fp": pa.array(fingerprints_of(batch.column(1), width), pa.int64())})
+            yield pa.record_batch({"id": batch.column(0), "uid": batch.column(2), "fp": pa.array(fingerprints_of(batch.column(1), width), pa.int64())})
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("uid")).mapInArrow(run, f"id {kind}, uid long, fp long")
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -118,6 +119,7 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     number, and rounds go with the logarithm of the nodes squared at most.
     """
     edges = keep(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))  # u < v
+    parts = max(1, -(-edges.count() // ROUND_ROWS))
     state = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -125,7 +127,7 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u < v").distinct()
         lower = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(lower, "v").select("m", "u", "v")
-        edges = keep(small.select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").filter("u < v").distinct())
+        edges = keep(small.select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").filter("u < v").distinct().coalesce(parts))
         # Done when every node hangs on one root, and no root on another node: a star each.
         now = edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("sum"), F.countDistinct("v").alias("leaves")).first()
         if now == state:
@@ -137,15 +139,27 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = DISTANCE) -> DataFrame:
-    """Rows (id, fp, component_id): the smallest id reachable over links, the own included."""
-    rows = keep(fingerprints(docs, id_col, text_col, width))
-    distinct = keep(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = keep(components(links(distinct.select("fp"), distance)))
+    """Rows (id, uid, fp, root, component_id): the least fingerprint and the smallest id reachable over links, the own included."""
+    rows = hold(fingerprints(docs, id_col, text_col, width))
+    distinct = hold(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(links(distinct.select("fp"), distance))
     tied = distinct.join(roots, distinct["fp"] == roots["node"])
     ids = tied.groupBy("root").agg(F.min("least").alias("component"))
-    tied = tied.join(ids, "root").select(F.col("node").alias("tied_fp"), "component")
-    classes = keep(distinct.join(tied, distinct["fp"] == tied["tied_fp"], "left").select("fp", F.coalesce("component", "least").alias("component_id")))
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    tied = tied.join(ids, "root").select(F.col("node").alias("tied_fp"), "root", "component")
+    classes = distinct.join(tied, distinct["fp"] == tied["tied_fp"], "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
+    return rows.join(classes, "fp").select(F.col("id").alias(id_col), "uid", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = DISTANCE) -> DataFrame:
+    """The documents, columns unchanged, but one of each component: that with the smallest id, and one row of rows alike."""
+    near = near_duplicates(docs, id_col, text_col, width, distance)
+    first = near.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "uid")).alias("first")).select(F.col("first.id").alias("_id"), F.col("first.uid").alias("_uid"))
+    named = docs.withColumn("_own", F.xxhash64(id_col, text_col))
+    kept = named.join(first, named["_own"] == first["_uid"])
+    # Partitioned as the join is, so the texts are dealt once.
+    own = named[id_col].eqNullSafe(first["_id"])
+    alike = Window.partitionBy(named["_own"]).orderBy(F.when(own, 0).otherwise(1))
+    return kept.withColumns({"_n": F.row_number().over(alike), "_is": own}).filter("_n = 1 and _is").select(*[named[c] for c in docs.columns])
 
 
 def hex_of(fp: Column) -> Column:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import keep, lanes_for, small, word_count
+from folioscope.llm.common import hold, lanes_for, small, word_count
 
 WEIGHTS = (3, 1, 2)
 
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     is ``share`` of all words.  Columns: id, source, size, source_size, weight,
     target, finish (virtual time of the first copy), copies, taken, uid.
     """
-    rows = keep(
+    rows = hold(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
@@ -75,13 +75,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         )
     )
     n_lanes = lanes_for(rows.count())
-    sources = keep(targets(rows, weights, share, max_repeats))
+    sources = hold(targets(rows, weights, share, max_repeats))
     lane = F.shiftright(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * n_lanes, 28)
     queued = rows.alias("r").join(small(sources.alias("s")), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.rank", "s.weight", "s.source_size", "s.target", "s.level", "s.beyond", lane.alias("lane"))
     by_source = Window.partitionBy("rank").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     before = queued.groupBy("rank", "lane").agg(F.sum("size").alias("n")).select("rank", "lane", F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("before"))
     in_lane = Window.partitionBy("rank", "lane").orderBy("key", "id", "size", "uid").rowsBetween(Window.unboundedPreceding, 0)
-    timed = keep(queued.join(before, ["rank", "lane"]).withColumn("served", F.col("before") + F.sum("size").over(in_lane)).drop("before", "lane"))
+    timed = hold(queued.join(before, ["rank", "lane"]).withColumn("served", F.col("before") + F.sum("size").over(in_lane)).drop("before", "lane"))
 
     def finish(copy: int) -> Column:
         return (F.col("served") + copy * F.col("source_size")) / F.col("weight")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import keep, lanes_for
+from folioscope.llm.common import hold, lanes_for
 
 _SEARCH = """
 aggregate(
@@ -57,7 +57,7 @@ def cut_points(atoms: DataFrame, n_shards: int) -> tuple[int, list[int]]:
 def shard(docs: DataFrame, n_shards: int = 16, cells: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, size, text_crc32, cell, shard, slot (gapless from 0 in each shard), capacity."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = keep(
+    rows = hold(
         docs.select(
             F.col(id_col).alias("id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),

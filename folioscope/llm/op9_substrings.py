@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import keep
+from folioscope.llm.common import hold
 from folioscope.llm.words import Piece, mix64, owners_of, pieces, window_hashes
 
 LENGTH = 50
@@ -292,7 +292,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
         values = _repeated(dealt)
         return pa.table({"n": pa.array([len(values)], pa.int64()), "data": pa.array([values.tobytes()], pa.binary())})
 
-    alive = keep(packed.groupBy("bucket").applyInArrow(survivors, "n long, data binary"))
+    alive = hold(packed.groupBy("bucket").applyInArrow(survivors, "n long, data binary"))
     n_alive = alive.agg(F.sum("n")).first()[0] or 0
     size = min(FILTER_BYTES * 8, max(1 << 13, 1 << int(12 * n_alive).bit_length()))
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

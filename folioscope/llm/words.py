@@ -80,7 +80,7 @@ class Piece:
         return mix64((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
 
     def words(self, k: int) -> list[bytes]:
-        """The words of text ``k``."""
+        """The words of text ``k``, if white space parts them."""
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes().split()
 
 
@@ -98,8 +98,12 @@ def texts_and_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw
 
 
-def pieces(array: pa.Array, lower: bool) -> Iterator[Piece]:
-    """Cuts a batch of texts into pieces and finds their words."""
+#: Bytes between words when only letters and digits count; all of a multi-byte character counts as letters.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def pieces(array: pa.Array, lower: bool, between: np.ndarray = _SPACE) -> Iterator[Piece]:
+    """Cuts a batch of texts into pieces and finds their words; ``between`` says which bytes part words."""
     at, raw = texts_and_bytes(array)
     k, n = 0, len(at) - 1
     while k < n:
@@ -107,7 +111,7 @@ def pieces(array: pa.Array, lower: bool) -> Iterator[Piece]:
         data = raw[at[k] : at[j]]
         data = _LOWER[data] if lower else data
         offsets = at[k : j + 1] - at[k]
-        inside = ~_SPACE[data]
+        inside = ~between[data]
         before = np.empty(len(data), bool)  # no word reaches here from the left
         before[1:] = ~inside[:-1]
         before[offsets[:-1][offsets[:-1] < len(data)]] = True

@@ -1,7 +1,8 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote keep, reject or nothing on a text, about its form
-(symbols, capitals, repeated words, phrases and neighbours) and about insults.
+(symbols, capitals, and repetition of words, phrases or neighbours, which go
+together and so are one labeller) and about insults.
 For form and for insults, expectation-maximisation over the votes estimates how
 often each labeller votes what in good and in bad texts, and gives each pattern
 of votes a posterior; where labels are given, they hold the posterior near
@@ -42,9 +43,9 @@ BITS = 20  #: the model has 2**BITS hashed weights
 #: English insults that the lexicon labeller knows.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
 KEEP, REJECT, NONE = 0, 1, 2
-FORM = ("symbols", "capitals", "common_word", "phrases", "neighbours")
+FORM = ("symbols", "capitals", "repetition")
 _SYMBOL = np.zeros(256, bool)
-_SYMBOL[[ord(c) for c in "#$%&*|!<>{}~^=@\\_"]] = True
+_SYMBOL[[ord(c) for c in "#$%&*|<>{}~^=@\\_"]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
@@ -97,12 +98,15 @@ def votes(piece: Piece) -> np.ndarray:
         at = np.minimum(np.searchsorted(_INSULTS, h), len(_INSULTS) - 1)
         insults = np.bincount(owners_of(plain.counts)[_INSULTS[at] == h], minlength=len(piece))
     out = np.empty((len(piece), len(FORM) + 1), np.int8)
+    repeats = np.stack([
+        _vote(most / np.maximum(1, n), 0.2, 0.3, n >= 10),
+        _vote(again / np.maximum(1, n), 0.05, 0.2, n >= 10),
+        _vote(_sums(beside, piece.counts) / np.maximum(1, n), 0.03, 0.15, n >= 10),
+    ])
     out[:, 0] = _vote(symbols, 0.01, 0.04, n_bytes >= 20)
     out[:, 1] = _vote(capitals, 0.15, 0.3, letters >= 20)
-    out[:, 2] = _vote(most / np.maximum(1, n), 0.2, 0.3, n >= 10)
-    out[:, 3] = _vote(again / np.maximum(1, n), 0.05, 0.2, n >= 10)
-    out[:, 4] = _vote(_sums(beside, piece.counts) / np.maximum(1, n), 0.03, 0.15, n >= 10)
-    out[:, 5] = np.where(insults > 0, REJECT, NONE)
+    out[:, 2] = np.where((repeats == REJECT).any(0), REJECT, np.where((repeats == KEEP).all(0), KEEP, NONE))
+    out[:, 3] = np.where(insults > 0, REJECT, NONE)
     return out
 
 
@@ -133,12 +137,13 @@ def features(piece: Piece, cast: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def estimate(cast: np.ndarray, given: np.ndarray | None = None, prior: float = 0.2, strength: float = 0.3, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def estimate(cast: np.ndarray, given: np.ndarray | None = None, prior: float = 0.2, strength: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """EM over votes (rows of KEEP, REJECT, NONE): the posterior of rejection by row, and each labeller's vote rates by class.
 
     Starts from any rejection as a likely one.  Rates carry pseudo-counts, the
     share ``strength`` of the rows, of labellers that seldom reject good texts but
-    miss most kinds of bad ones.  ``given`` has known labels, or NONE.
+    miss most kinds of bad ones, and of a share ``prior`` of bad texts.
+    ``given`` has known labels, or NONE.
     """
     known = np.flatnonzero(given != NONE) if given is not None else np.empty(0, np.int64)
     fixed = np.where(given[known] == REJECT, 0.98, 0.02) if given is not None else np.empty(0)
@@ -151,7 +156,7 @@ def estimate(cast: np.ndarray, given: np.ndarray | None = None, prior: float = 0
         for y, weight in enumerate((1 - post, post)):
             rates[y] = (weight[:, None, None] * hot).sum(0) + trust[y]
             rates[y] /= rates[y].sum(1, keepdims=True)
-        share = np.clip(post.mean(), 0.005, 0.95)
+        share = np.clip((post.mean() + strength * prior) / (1 + strength), 0.005, 0.95)
         logs = [(hot * np.log(rates[y])).sum((1, 2)) for y in (0, 1)]
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log((1 - share) / share), -50, 50)))
         new[known] = fixed
@@ -215,14 +220,15 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, id_co
                 given = [np.asarray(batch.column(k)).astype(np.int8)[piece.first : piece.first + len(piece), None] for k in (1, 2)]
                 yield pa.record_batch({"pattern": pa.array([x.tobytes() for x in np.concatenate([cast, *given], 1)], pa.binary())})
 
-    tally = rows.mapInArrow(vote, "pattern binary").groupBy("pattern").count().collect()  # 3 ** 8 patterns at most
+    tally = rows.mapInArrow(vote, "pattern binary").groupBy("pattern").count().collect()  # 3 ** 6 patterns at most
     if not tally:
         return Model(np.zeros(1 << BITS), -2.0, {})
     patterns = np.array([np.frombuffer(r["pattern"], np.int8) for r in tally])
     times = np.repeat(np.arange(len(tally)), [r["count"] for r in tally])
     n = len(FORM)
     bad, form_rates = estimate(patterns[times][:, :n], patterns[times][:, n + 1])
-    rude, insult_rates = estimate(patterns[times][:, n : n + 1], patterns[times][:, n + 2], prior=0.05)
+    silent_is_keep = np.where(patterns[:, n : n + 1] == REJECT, REJECT, KEEP)  # the lexicon never says keep
+    rude, insult_rates = estimate(silent_is_keep[times], patterns[times][:, n + 2], prior=0.05)
     _, firsts = np.unique(times, return_index=True)
     both = 1 - (1 - bad[firsts]) * (1 - rude[firsts])
     open_ = (patterns[:, n + 1] == NONE) | (patterns[:, n + 2] == NONE)

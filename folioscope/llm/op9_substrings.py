@@ -174,24 +174,16 @@ def _member(values: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
 
 
 _WINDOW = np.dtype([("a", "<u8"), ("b", "<u4"), ("at", "<u4"), ("id", "<i8"), ("uid", "<i8")])
-_FLAGS = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("uid", pa.int64()), ("data", pa.binary())])
-
-
-def _flags(ids: np.ndarray, uids: np.ndarray, at: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Starts of removed windows, packed by document."""
-    order = np.lexsort((at, uids, ids))
-    ids, uids, at = ids[order], uids[order], at[order].astype("<u4")
-    starts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (uids[1:] != uids[:-1]))) if len(ids) else np.empty(0, int)
-    stops = np.append(starts[1:], len(ids)) if len(ids) else starts
-    return pa.record_batch(
-        [
-            pa.array(_bucket(uids[starts].astype(np.uint64), buckets), pa.int32()),
-            pa.array(ids[starts], pa.int64()),
-            pa.array(uids[starts], pa.int64()),
-            pa.array([at[i:j].tobytes() for i, j in zip(starts, stops, strict=True)], pa.binary()),
-        ],
-        schema=_FLAGS,
-    )
+_DEALT = pa.schema([("bucket", pa.int32()), ("owner", pa.int32()), ("data", pa.binary())])
+_FLAG = np.dtype([("id", "<i8"), ("uid", "<i8"), ("at", "<u4")])
+
+
+def _flags(late: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Starts of removed windows, dealt by document: ``owner`` is the document's bucket."""
+    out = np.empty(len(late), _FLAG)
+    out["id"], out["uid"], out["at"] = late["id"], late["uid"], late["at"]
+    dealt = _deal(_bucket(mix64(out["uid"].astype(np.uint64), 9), buckets), out)
+    return pa.record_batch([dealt.column(0), dealt.column(0), dealt.column(1)], schema=_DEALT)
 
 
 def _extended(batches: Iterator[pa.RecordBatch], length: int, buckets: int, bits: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
@@ -205,11 +197,10 @@ def _extended(batches: Iterator[pa.RecordBatch], length: int, buckets: int, bits
         data = data[order]
         settled = data[data["id"] > first]
         if len(settled):
-            yield _flags(settled["id"], settled["uid"], settled["at"], buckets)
+            yield _flags(settled, buckets)
         data = data[data["id"] == first]
         dealt = _deal(_bucket(data["a"], buckets), data)
-        none = pa.nulls(len(dealt), pa.int64())
-        yield pa.record_batch([dealt.column(0), none, none, dealt.column(1)], schema=_FLAGS)
+        yield pa.record_batch([dealt.column(0), pa.nulls(len(dealt), pa.int32()), dealt.column(1)], schema=_DEALT)
 
     for batch in batches:
         ids, uids = _ids(batch.column(0)), batch.column(2).to_numpy()
@@ -232,25 +223,31 @@ def _extended(batches: Iterator[pa.RecordBatch], length: int, buckets: int, bits
 
 def _settle(dealt: pa.Table, buckets: int) -> pa.Table:
     """Level two, reduce side: windows of a bucket whose document isn't the first."""
-    entries = dealt.column("id").is_null()
-    out = [dealt.filter(dealt.column("id").is_valid())]
-    held = [np.frombuffer(x.as_py(), _WINDOW) for x in dealt.filter(entries).column("data")]
+    out = [dealt.filter(dealt.column("owner").is_valid())]
+    held = [np.frombuffer(x.as_py(), _WINDOW) for x in dealt.filter(dealt.column("owner").is_null()).column("data")]
     if held:
         data = np.concatenate(held)
         order, first = _first((data["a"], data["b"]), data["id"])
         data = data[order]
-        late = data[data["id"] > first]
-        out.append(pa.Table.from_batches([_flags(late["id"], late["uid"], late["at"], buckets)]))
-    return pa.concat_tables(x.cast(_FLAGS) for x in out)
+        out.append(pa.Table.from_batches([_flags(data[data["id"] > first], buckets)]))
+    return pa.concat_tables(x.cast(_DEALT) for x in out)
+
+
+def _by_document(dealt: pa.Table) -> pa.Table:
+    """One row for each document of a bucket: the starts of its removed windows, packed."""
+    data = np.concatenate([np.frombuffer(x.as_py(), _FLAG) for x in dealt.column("data")])
+    data = data[np.lexsort((data["at"], data["uid"], data["id"]))]
+    ids, uids, at = data["id"], data["uid"], np.ascontiguousarray(data["at"])
+    starts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (uids[1:] != uids[:-1]))) if len(data) else np.empty(0, int)
+    stops = np.append(starts[1:], len(data)) if len(data) else starts
+    packed = [at[i:j].tobytes() for i, j in zip(starts, stops, strict=True)]
+    return pa.table({"fid": pa.array(ids[starts], mask=ids[starts] == _NO_ID), "fuid": pa.array(uids[starts]), "flags": pa.array(packed, pa.binary())})
 
 
-def removed_words(flags: list[bytes] | None, n: int, length: int) -> np.ndarray:
+def removed_words(flags: bytes, n: int, length: int) -> np.ndarray:
     """Whether each of a text's words lies in a removed window."""
-    steps = np.zeros(n + 1, np.int32)
-    for data in flags or ():
-        at = np.frombuffer(data, "<u4").astype(np.int64)
-        np.add.at(steps, at, 1)
-        np.add.at(steps, at + length, -1)
+    at = np.frombuffer(flags, "<u4").astype(np.int64)
+    steps = np.bincount(at, minlength=n + 1) - np.bincount(at + length, minlength=n + 1)
     return np.cumsum(steps[:n]) > 0
 
 
@@ -319,8 +316,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     def settle(dealt: pa.Table) -> pa.Table:
         return _settle(dealt, buckets)
 
-    kind = "bucket int, id long, uid long, data binary"
-    flags = rows.mapInArrow(extended, kind).groupBy("bucket").applyInArrow(settle, kind)
-    by_doc = flags.groupBy("id", "uid").agg(F.collect_list("data").alias("flags")).select(F.nullif("id", F.lit(int(_NO_ID))).alias("fid"), F.col("uid").alias("fuid"), "flags")
+    kind = "bucket int, owner int, data binary"
+    settled = rows.mapInArrow(extended, kind).groupBy("bucket").applyInArrow(settle, kind)
+    by_doc = settled.groupBy("owner").applyInArrow(_by_document, "fid long, fuid long, flags binary")
     joined = rows.join(by_doc, (rows["uid"] == by_doc["fuid"]) & rows["id"].eqNullSafe(by_doc["fid"]), "left").select("id", "text", "flags")
     return joined.mapInArrow(partial(_digest, length=length), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)

@@ -1 +1 @@
-"""streaming."""
+"""Streaming: there is nothing to stream in these corpora; searches and lookups run on tables."""

@@ -138,22 +138,26 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
+def _classes(rows: DataFrame, distance: int) -> DataFrame:
+    """Rows (fp, first, root): of each fingerprint its first document (null ids last), and the least fingerprint that it reaches."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
+    distinct = hold(rows.groupBy("fp").agg(first))
+    roots = components(links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = DISTANCE) -> DataFrame:
-    """Rows (id, uid, fp, root, component_id): the least fingerprint and the smallest id reachable over links, the own included."""
+    """Rows (id, fp, component_id): the fingerprint, and the smallest id reachable over links, the own included."""
     rows = hold(fingerprints(docs, id_col, text_col, width))
-    distinct = hold(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct.select("fp"), distance))
-    tied = distinct.join(roots, distinct["fp"] == roots["node"])
-    ids = tied.groupBy("root").agg(F.min("least").alias("component"))
-    tied = tied.join(ids, "root").select(F.col("node").alias("tied_fp"), "root", "component")
-    classes = distinct.join(tied, distinct["fp"] == tied["tied_fp"], "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), "uid", "fp", "root", "component_id")
+    classes = _classes(rows, distance)
+    ids = classes.groupBy("root").agg(F.min("first")["id"].alias("component_id"))
+    return rows.join(classes.join(ids, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = DISTANCE) -> DataFrame:
     """The documents, columns unchanged, but one of each component: that with the smallest id, and one row of rows alike."""
-    near = near_duplicates(docs, id_col, text_col, width, distance)
-    first = near.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "uid")).alias("first")).select(F.col("first.id").alias("_id"), F.col("first.uid").alias("_uid"))
+    rows = hold(fingerprints(docs, id_col, text_col, width))
+    first = _classes(rows, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.uid").alias("_uid"))
     named = docs.withColumn("_own", F.xxhash64(id_col, text_col))
     kept = named.join(first, named["_own"] == first["_uid"])
     # Partitioned as the join is, so the texts are dealt once.

@@ -270,7 +270,8 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, id_co
                 some = ~np.isnan(target)
                 yield pa.record_batch({"target": pa.array(target[some]), "features": pa.array([x for x, s in zip(lists, some.tolist(), strict=True) if s], pa.binary())})
 
-    found = rows.mapInArrow(present, "target double, features binary").orderBy("target", "features").toArrow()  # a row for each sample document
+    found = rows.mapInArrow(present, "target double, features binary").toArrow()  # a row for each sample document
+    found = found.sort_by([("target", "ascending"), ("features", "ascending")])  # sums don't depend on the order of tasks
     fitted, bias = _fit([np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in found.column("features")], np.asarray(found.column("target")))
     weights = np.zeros(1 << BITS)
     for feature, w in fitted.items():

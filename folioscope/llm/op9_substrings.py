@@ -131,7 +131,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
         out = np.empty(len(starts), _ANCHOR)
         out["v"], out["low"], out["high"] = v[starts], i[starts], i[np.append(starts[1:], len(v)) - 1]
         held.clear()
-        return _deal(_bucket(out["v"], buckets), out)
+        return _deal(_bucket(mix64(out["v"], 5), buckets), out)  # least hashes are small: mixed anew
 
     for batch in batches:
         ids = _ids(batch.column(0))

@@ -1,7 +1,7 @@
 """Fixed tables of characters, marks and codes.
 
 Dictionaries of codes are rows (category, code, label); users pass further rows,
-such as those of parts of speech and of syntactic roles, to ``code_table``.
+such as those of parts of speech, as ``more`` (see ``sources.readers.read_labels``).
 """
 
 from __future__ import annotations
@@ -28,6 +28,62 @@ MARKS = (
 
 # Labels of morphological codes by category.
 LABELS = {
+    "Syntactic_Role": {
+        "SUBJ": "Subject (فاعل / مبتدأ) — the doer or topic of the sentence",
+        "TOPIC": "Topic (مبتدأ) — the subject of a nominal sentence",
+        "PRED": "Predicate (خبر) — what is said about the subject",
+        "OBJ": "Direct Object (مفعول به) — recipient of the action",
+        "PREP": "Preposition (حرف جر) — governs a genitive noun",
+        "PREP_OBJ": "Object of Preposition (اسم مجرور) — noun after a preposition",
+        "ADJ": "Adjective (صفة / نعت) — describes a noun",
+        "GEN_CONS": "Genitive Construct (مضاف إليه) — second term of iḍāfa",
+        "APPOS": "Appositive (بدل) — substitutes or clarifies a noun",
+        "CONJ": "Conjunction (عطف) — links equal elements",
+        "CONJ_N": "Conjoined Noun — noun linked by conjunction",
+        "EMPH": "Emphasis (توكيد) — reinforces meaning",
+        "CIRCUM": "Circumstantial (حال) — describes the state during action",
+        "VOC": "Vocative (منادى) — the person being called",
+        "EXCP": "Exception (استثناء) — excluded from a general statement",
+        "COMPL": "Complement — completes the meaning",
+        "COGN": "Cognate Accusative (مفعول مطلق) — verbal noun emphasizing the verb",
+        "PURP": "Purpose (مفعول لأجله) — reason for the action",
+        "ADV_TIME": "Adverb of Time (ظرف زمان) — temporal adverb",
+        "ADV_PLCE": "Adverb of Place (ظرف مكان) — spatial adverb",
+        "ACC_SPECIF": "Specification (تمييز) — clarifies ambiguity",
+        "INTENCIF": "Intensive — intensifying construction",
+        "EXPLET": "Expletive — filler word",
+        "ACRON": "Acronym — abbreviated form",
+        "CV": "Imperative Verb — command form",
+        "CV_COP": "Imperative Copula — imperative of kāna",
+        "IV": "Imperfect Verb — present/future tense",
+        "IV_COP": "Imperfect Copula — imperfect of kāna",
+        "IV_PASS": "Passive Imperfect Verb",
+        "AGNT": "Agent — doer of the action",
+        "PASS_SUBJ": "Passive Subject (نائب فاعل) — subject of passive verb",
+        "NON_INFLECT": "Non-Inflected — uninflected word",
+        "PART_CONDITION": "Conditional Particle — 'in', 'law'",
+        "PART_COP_PRED": "Copula Predicate Particle — predicate of kāna/inna",
+        "PART_EXCEPT": "Exception Particle — 'illā'",
+        "PART_INTERROG": "Interrogative Particle — 'hal', 'a-'",
+        "PART_JUSSIVE": "Jussive Particle — 'lam', 'lammā'",
+        "PART_PREV": "Preventive Particle",
+        "SUBJ_COP_PART": "Subject of Copula Particle — subject of inna",
+        "SUBJ_COP_V": "Subject of Copula Verb — subject of kāna",
+        "SUBJ_DELA": "Subject of Delayed Action",
+        "SUBJ_NEG_CAT": "Subject of Negative Category",
+        "NEG_CAT": "Negative Category — categorical negation",
+        "NEG_MAA": "Negative Mā — 'mā' of negation",
+        "SUBJUNC_PART": "Subjunctive Particle — 'an', 'lan', 'kay'",
+        "SUBOR_CONJ": "Subordinating Conjunction — introduces dependent clause",
+        "SUBOR_ANN_CONJ": "Subordinating Conjunction — 'an'",
+        "SUBS_COG_ACC": "Substitute Cognate Accusative",
+        "V_COP_PRED": "Predicate of Copula Verb — khabar of kāna",
+        "INTERJ_CV": "Interjection (imperative form)",
+        "INTERJ_PV": "Interjection (perfect form)",
+        "ANNUL_PART": "Annuller Particle — inna/kāna type",
+        "CERT_PART": "Emphatic Particle — 'qad', 'la-'",
+        "VOC_PART": "Vocative Particle — 'yā'",
+    },
     "Case_Mood": {
         "NOMINATIVE": "Nominative (مرفوع) — subject/predicate case (ـُ / ـٌ)",
         "GENITIVE": "Genitive (مجرور) — after preposition or in iḍāfa (ـِ / ـٍ)",

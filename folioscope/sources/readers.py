@@ -84,6 +84,26 @@ def read_dimension(spark: SparkSession, rows: list[tuple[int, str, str, str, int
     return spark.createDataFrame(rows, "id int, english_name string, english_translation string, revelation_type string, verse_count int")
 
 
+def read_dimension_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The same table from a CSV with these columns."""
+    rows = read_csv(spark, path, ("id", "english_name", "english_translation", "revelation_type", "verse_count"))
+    return rows.withColumns({"id": F.col("id").try_cast("int"), "verse_count": F.col("verse_count").try_cast("int")}).drop("line")
+
+
+def read_labels(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
+    """Labels by category and code from a CSV (category, code, label); a dictionary of some hundreds of codes."""
+    out: dict[str, dict[str, str]] = {}
+    for r in read_csv(spark, path, ("category", "code", "label")).collect():
+        out.setdefault(r["category"], {})[r["code"]] = r["label"]
+    return out
+
+
+def read_bands(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """Starts of pages or parts from a CSV (surah, verse, value): a struct ``start`` and the value."""
+    rows = read_csv(spark, path, ("surah", "verse", value))
+    return rows.select(F.struct(F.col("surah").try_cast("int").alias("s"), F.col("verse").try_cast("int").alias("v")).alias("start"), F.col(value).try_cast("int").alias(value))
+
+
 def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
     """Bookmarks from a JSON array; rows that aren't such are left out."""
     return spark.read.schema(BOOKMARK).json(path, multiLine=True).filter("surahNumber is not null and verseNumber is not null")

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions import text
 from folioscope.operators import bookmarks, lookup, model, quality, render, repair, search
 from folioscope.sources import readers, sinks
 
@@ -235,6 +236,19 @@ def test_bookmarks(session, tmp_path) -> None:
     assert readers.read_bookmarks(session, str(tmp_path / "bad.json")).count() == 0
 
 
+def test_parameters_from_files(session, tmp_path) -> None:
+    (tmp_path / "d.csv").write_text("id,english_name,english_translation,revelation_type,verse_count\n1,One,The First,Meccan,7\n")
+    (tmp_path / "l.csv").write_text('category,code,label\nMorph_Tag (POS),PREP,"A word, before"\n')
+    (tmp_path / "b.csv").write_text("surah,verse,page\n1,1,1\n2,6,3\n")
+    assert rows(readers.read_dimension_csv(session, str(tmp_path / "d.csv"))) == [(1, "One", "The First", "Meccan", 7)]
+    labels = readers.read_labels(session, str(tmp_path / "l.csv"))
+    code = session.createDataFrame([("PREP",), ("ADJ",)], "c string")
+    assert rows(code.select(text.label(F.col("c"), labels), text.category(F.col("c"), labels))) == [("A word, before", "Morph_Tag (POS)"), ("Adjective (صفة / نعت) — describes a noun", "Syntactic_Role")]
+    bands = readers.read_bands(session, str(tmp_path / "b.csv"), "page")
+    at = session.createDataFrame([(2, 7)], "s int, v int")
+    assert lookup.as_of_bands(at, bands, F.struct("s", "v"), "start", "page", 1).first()["page"] == 3
+
+
 def test_helpers(session) -> None:
     m = session.createDataFrame([("a", "first. second"), ("b", ".x")], "root string, general_meaning string")
     assert dict(rows(model.root_glosses(m))) == {"a": "first", "b": ".x"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioscope.plans import more_queries
 from folioscope.plans.queries import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["ORACLE_SQL", "QUERIES", "more_queries"]

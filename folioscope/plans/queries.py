@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,7 +47,7 @@ SELECT doc_id, relevance FROM s WHERE relevance > 0 ORDER BY relevance DESC, doc
 """
 )
 def text_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_text(_t(spark, sf_dir, "documents"), "The license a", ["doc_id"]).select("doc_id", "relevance")
+    return search.search_text(table(spark, sf_dir, "documents"), "The license a", ["doc_id"]).select("doc_id", "relevance")
 
 
 @query(
@@ -58,7 +58,7 @@ WHERE len(list_filter(roots, lambda r: contains('nation_1', lower(r)) OR contain
 """
 )
 def root_search_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = joined.withColumn("roots", F.array_sort(F.array("n_name", "r_name")))
     return search.search_roots(rows, "Nation_1", ["n_nationkey"]).select("n_nationkey", "context")
 
@@ -70,13 +70,13 @@ SELECT o_custkey, translation FROM f WHERE contains(lower(translation), 'high')
 """
 )
 def gloss_search_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = model.first_and_set(_t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority", ["o_orderkey"], "o_orderstatus")
+    first = model.first_and_set(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority", ["o_orderkey"], "o_orderstatus")
     return search.search_glosses(first, "HIGH", ["o_custkey"], "o_orderpriority").select("o_custkey", F.col("o_orderpriority").alias("translation"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE contains(text, 'License') ORDER BY doc_id")
 def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verses = _t(spark, sf_dir, "documents").select(F.col("lang").alias("surah"), F.col("doc_id").alias("verse"), "text", "n_chars")
+    verses = table(spark, sf_dir, "documents").select(F.col("lang").alias("surah"), F.col("doc_id").alias("verse"), "text", "n_chars")
     found = lookup.substring_search(verses, "License")
     return found.select(F.col("verse").alias("doc_id"), F.char_length("text").cast("long").alias("n_chars")).orderBy("doc_id")
 
@@ -92,7 +92,7 @@ GROUP BY c.c_custkey
 """
 )
 def left_join_predicate_in_on(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o, li = (_t(spark, sf_dir, n) for n in ("customer", "orders", "lineitem"))
+    c, o, li = (table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem"))
     own = c.join(o, c["c_custkey"] == o["o_custkey"]).join(li.filter("l_returnflag = 'R'"), o["o_orderkey"] == li["l_orderkey"], "left")
     return own.groupBy("c_custkey").agg(F.count("*").alias("n_rows"), F.count("l_linenumber").alias("n_segments"))
 
@@ -107,16 +107,16 @@ FROM j GROUP BY o_custkey
 """
 )
 def verse_first_and_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("surah"), F.lit(1).alias("verse"), F.col("o_orderkey").alias("word"), F.col("o_orderpriority").alias("translation"))
+    words = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("surah"), F.lit(1).alias("verse"), F.col("o_orderkey").alias("word"), F.col("o_orderpriority").alias("translation"))
     flags = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
-    segments = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("surah"), F.lit(1).alias("verse"), F.col("o_orderkey").alias("word"), F.col("l_linenumber").alias("segment"), flags.alias("root"))
+    segments = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("surah"), F.lit(1).alias("verse"), F.col("o_orderkey").alias("word"), F.col("l_linenumber").alias("segment"), flags.alias("root"))
     out = model.search_morphology(words, segments)
     return out.select(F.col("surah").alias("o_custkey"), "translation", F.nullif(F.array_join("roots", ","), F.lit("")).alias("roots"))
 
 
 @query("SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS line, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id")
 def ordered_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = model.ordered(_t(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], ["role", "text"], "words")
+    rows = model.ordered(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], ["role", "text"], "words")
     line = F.array_join(F.transform("words", lambda w: F.concat(w["role"], F.lit(":"), w["text"])), "|")
     return rows.select("conv_id", line.alias("line"), F.size("words").cast("long").alias("n"))
 
@@ -130,18 +130,18 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM r WHERE k = 1
 )
 def segment_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")]
-    return model.keep_first(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return model.keep_first(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query("SELECT l_orderkey, arg_max(l_partkey, CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey")
 def invert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").withColumn("at", F.struct("l_linenumber", "l_partkey"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("at", F.struct("l_linenumber", "l_partkey"))
     return model.last_wins(rows, "l_orderkey", "l_partkey", "at")
 
 
 @query("SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 1")
 def longest_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.longest(_t(spark, sf_dir, "documents"), "lang")
+    return model.longest(table(spark, sf_dir, "documents"), "lang")
 
 
 @query(
@@ -151,7 +151,7 @@ SELECT CAST(count(DISTINCT lang) AS BIGINT) AS total_surahs, CAST(count(*) AS BI
 """
 )
 def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.corpus_counts(_t(spark, sf_dir, "documents").withColumnRenamed("lang", "surah"))
+    return model.corpus_counts(table(spark, sf_dir, "documents").withColumnRenamed("lang", "surah"))
 
 
 @query(
@@ -161,7 +161,7 @@ SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn
 """
 )
 def running_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = model.running_index(_t(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "in_verse")
+    rows = model.running_index(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "in_verse")
     return model.running_index(rows, ["role"], ["conv_id", "turn"], "in_surah").select("conv_id", "turn", "in_verse", "in_surah")
 
 
@@ -172,14 +172,14 @@ SELECT o_orderkey, o_totalprice, coalesce(name, '') AS name FROM (
 """
 )
 def dimension_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _t(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
-    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", "o_totalprice")
+    known = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", "o_totalprice")
     return lookup.with_default(rows, known, "key", {"name": ""}).select("o_orderkey", "o_totalprice", "name")
 
 
 @query("SELECT n_nationkey, n_name AS name FROM nation ORDER BY n_nationkey")
 def ordered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name")).orderBy("n_nationkey")
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name")).orderBy("n_nationkey")
 
 
 @query(
@@ -189,8 +189,8 @@ FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_cust
 """
 )
 def hierarchy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "orders").filter("o_custkey = 7")
-    own = _t(spark, sf_dir, "lineitem").join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    o = table(spark, sf_dir, "orders").filter("o_custkey = 7")
+    own = table(spark, sf_dir, "lineitem").join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     nested = model.ordered(own, ["o_orderkey"], ["l_linenumber", "l_partkey"], [], "s")
     line = F.array_join(F.transform("s", lambda s: F.concat(s["l_linenumber"], F.lit("-"), s["l_partkey"])), ",")
     return o.join(nested, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", line.alias("segments"))
@@ -204,7 +204,7 @@ SELECT p_partkey, CAST(coalesce(page, 1) AS INTEGER) AS page FROM part ASOF LEFT
 )
 def floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = spark.createDataFrame([(5, 1), (12, 2), (30, 3), (41, 4)], "start int, page int")
-    return lookup.as_of_bands(_t(spark, sf_dir, "part"), bands, F.col("p_size"), "start", "page", 1).select("p_partkey", "page")
+    return lookup.as_of_bands(table(spark, sf_dir, "part"), bands, F.col("p_size"), "start", "page", 1).select("p_partkey", "page")
 
 
 @query(
@@ -215,7 +215,7 @@ SELECT v.event_id, coalesce(b.value, -1.0) AS value FROM v ASOF LEFT JOIN b ON v
 """
 )
 def floor_lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _t(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events")
     bands = events.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
     rows = events.filter("event_type <> 'purchase'").select("user_id", "ts", "event_id")
     return lookup.as_of(rows, bands, ["user_id"], "ts", "value", -1.0).select("event_id", "value")
@@ -230,7 +230,7 @@ SELECT doc_id, trim(replace(regexp_replace(text, '[\x{64b}-\x{65f}\x{610}-\x{61a
 """
 )
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", t.search_form(F.col("text")).alias("form"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.search_form(F.col("text")).alias("form"))
 
 
 @query(
@@ -240,12 +240,12 @@ SELECT n_nationkey, translate(n_name, '''|>&<}ApHx$c*vYbtjdrzsSDTZEgfqklmnhwy',
 """
 )
 def transliterate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "nation").select("n_nationkey", t.transliterate(F.col("n_name")).alias("arabic"), t.arabic_digits(F.col("n_nationkey")).alias("digits"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", t.transliterate(F.col("n_name")).alias("arabic"), t.arabic_digits(F.col("n_nationkey")).alias("digits"))
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE levenshtein(a.n_name, b.n_name) <= 1")
 def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _t(spark, sf_dir, "nation")
+    n = table(spark, sf_dir, "nation")
     a, b = (n.select("n_regionkey", F.col("n_nationkey").alias(k), F.col("n_name").alias(f"name_{k}")) for k in "ab")
     return a.join(b, "n_regionkey").filter("a < b").filter(t.within_distance(F.col("name_a"), F.col("name_b"))).select("a", "b")
 
@@ -258,7 +258,7 @@ SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), chr(9)
 """
 )
 def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "pages").select("page_id", t.page_title(F.col("html")).alias("title"), t.page_main(F.col("html")).alias("main"), t.xml_escape(F.col("url")).alias("url"))
+    return table(spark, sf_dir, "pages").select("page_id", t.page_title(F.col("html")).alias("title"), t.page_main(F.col("html")).alias("main"), t.xml_escape(F.col("url")).alias("url"))
 
 
 @query(
@@ -269,7 +269,7 @@ SELECT doc_id, type, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY doc_id, type
 """
 )
 def token_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _t(spark, sf_dir, "documents").select("doc_id", F.explode(t.classified_tokens(F.col("text"))).alias("t"))
+    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(t.classified_tokens(F.col("text"))).alias("t"))
     return tokens.groupBy("doc_id", F.col("t.type").alias("type")).agg(F.count("*").alias("n"))
 
 
@@ -280,12 +280,12 @@ SELECT word, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY word
 """
 )
 def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select(F.explode(t.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").select(F.explode(t.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, coalesce(nullif(split_part(text, '.', 1), ''), substring(text, 1, 80)) AS gloss FROM documents")
 def first_sentence_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", t.first_sentence(F.col("text")).alias("gloss"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.first_sentence(F.col("text")).alias("gloss"))
 
 
 @query(
@@ -296,7 +296,7 @@ SELECT event_id, user_id || ':' || event_id AS reference, CAST(user_id AS INTEGE
 )
 def references_and_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = t.format_reference(F.col("user_id"), F.col("event_id"))
-    rows = _t(spark, sf_dir, "events").select("event_id", "props", ref.alias("reference"))
+    rows = table(spark, sf_dir, "events").select("event_id", "props", ref.alias("reference"))
     return rows.select("event_id", "reference", t.parse_reference(F.col("reference"))["first"].alias("first"), t.parse_reference(F.col("reference"))["second"].alias("second"), F.from_json("props", "k int")["k"].alias("k"))
 
 
@@ -311,7 +311,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'R
 )
 def code_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.col("l_returnflag")
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", t.label(code, _CODES).alias("label"), t.category(code, _CODES).alias("category"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", t.label(code, _CODES).alias("label"), t.category(code, _CODES).alias("category"))
 
 
 @query(
@@ -320,7 +320,7 @@ SELECT url, trim(regexp_replace(url, '[^\p{L}\p{N}_]+', '-', 'g'), '-') AS slug
 """
 )
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "pages").select("url", t.slug(F.col("url")).alias("slug"))
+    return table(spark, sf_dir, "pages").select("url", t.slug(F.col("url")).alias("slug"))
 
 
 # -- quality and repair ------------------------------------------------------------
@@ -328,17 +328,17 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.duplicates(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return quality.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id")
 def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.missing(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
+    return quality.missing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.orphans(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels").filter("quality = 1"), "doc_id").select("doc_id", "lang", "source")
+    return quality.orphans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id").select("doc_id", "lang", "source")
 
 
 @query(
@@ -349,7 +349,7 @@ SELECT * FROM r WHERE l_linenumber <> expected
 """
 )
 def consecutive_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     return quality.gaps(rows, ["l_orderkey"], "l_linenumber")
 
 
@@ -360,7 +360,7 @@ FROM nation n LEFT JOIN (VALUES (1, 'nation_1', 'first'), (2, 'other', 'second')
 """
 )
 def keyed_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "nation").withColumn("old", F.col("n_name"))
+    rows = table(spark, sf_dir, "nation").withColumn("old", F.col("n_name"))
     patches = spark.createDataFrame([(1, "nation_1", "first"), (2, "other", "second")], "n_nationkey int, old string, n_name string")
     return repair.patch(rows, patches, ["n_nationkey", "old"]).select("n_nationkey", "n_name", "patched")
 
@@ -373,7 +373,7 @@ UNION ALL SELECT CAST(m.k + row_number() OVER (ORDER BY root) AS BIGINT), root F
 """
 )
 def append_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("root"))
+    have = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("root"))
     return repair.add_missing(have, spark.createDataFrame([("nation_3",), ("zeta",), ("alpha",)], "root string"))
 
 
@@ -385,10 +385,10 @@ UNION ALL SELECT 'empty texts', CAST(count(*) AS BIGINT) FROM documents WHERE tr
 """
 )
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     checks = (
-        ("duplicate keys", quality.duplicates(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])),
-        ("missing labels", docs.join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti")),
+        ("duplicate keys", quality.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])),
+        ("missing labels", docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")),
         ("empty texts", docs.filter(quality.is_empty(F.col("text")))),
     )
     parts = [found.agg(F.count("*").alias("findings")).select(F.lit(name).alias("check"), "findings") for name, found in checks]
@@ -405,19 +405,19 @@ def json_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.pmod("event_id", F.lit(5))
     good = '{"general_meaning": "a", "shades_of_meaning": [], "hadith_examples": [], "classical_sources": [], "idioms_customs": [], "word_by_word_shades": []}'
     response = F.when(text == 0, "").when(text == 1, "{").when(text == 2, "[]").when(text == 3, '{"general_meaning": 1}').otherwise(good)
-    rows = _t(spark, sf_dir, "events").select("event_id", response.alias("response"))
+    rows = table(spark, sf_dir, "events").select("event_id", response.alias("response"))
     return rows.select("event_id", F.explode(quality.json_findings(F.col("response"))).alias("finding"))
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, CAST(epoch_us(ts) AS HUGEINT) * 1000000 + event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def bookmark_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _t(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     return bookmarks.latest(events, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
 
 
 @query("SELECT CAST((SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY c_name) AS BIGINT) AS id, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
 def next_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
     return model.next_ids(c.filter("c_mktsegment = 'BUILDING'").drop("id"), c, "id", "c_name").select("id", "c_name")
 
 
@@ -429,14 +429,14 @@ def align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's words against the same words with every second pair joined."""
     words = t.words(F.col("text"))
     joined = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("w") / 2) - 1)), lambda i: F.concat(F.get("w", 2 * i), F.coalesce(F.get("w", 2 * i + 1), F.lit(""))))
-    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("w")).filter(F.size("w") > 0)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("w")).filter(F.size("w") > 0)
     return rows.select("conv_id", "turn", F.explode(align(F.col("w"), joined)).alias("e")).select("conv_id", "turn", F.col("e.index").alias("word"), F.array_join(F.col("e.tokens").cast("array<string>"), ",").alias("tokens"), F.col("e.match").alias("match"))
 
 
 @query()
 def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of HTML for each conversation, its turns as verses."""
-    verses = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("surah"), F.concat(F.lit("conversation "), F.col("conv_id")).alias("name"), (F.col("turn") + 1).alias("verse"), "text")
+    verses = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("surah"), F.concat(F.lit("conversation "), F.col("conv_id")).alias("name"), (F.col("turn") + 1).alias("verse"), "text")
     none = spark.createDataFrame([], "surah long, verse long, word int, rows array<struct<gloss:string>>")
     return render.pages(verses, none)
 

@@ -7,10 +7,11 @@ an Arrow UDF, a row per verse; the walk itself is plain Python.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import matching_form
+from folioscope.shipping import ship
 
 SCHEMA = "array<struct<index:int,tokens:array<int>,match:string>>"
 MOST_TOKENS = 5
@@ -78,6 +79,8 @@ def walk(listed: list[str], tokens: list[str], most: int = 1) -> list[tuple[int,
 
 def align(listed: Column, tokens: Column, most: int = 1) -> Column:
     """Array of (index, tokens, match) from an array of listed words and one of word tokens."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
 
     @F.pandas_udf(SCHEMA)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import hold, keep
 from folioscope.llm.words import pieces
+from folioscope.shipping import ship
 
 SEED = 42
 WIDTHS = (13, 13, 13, 13, 12)  # of the segments, from the lowest bit
@@ -66,6 +67,7 @@ def fingerprints_of(texts: pa.Array, width: int) -> list[int]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """Rows (id, uid, fp): the SimHash of each document's word shingles; uid is a hash of id and text."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from folioscope.shipping import ship
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -120,6 +121,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: np.ndarray | None = None, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
     """Rows (id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) for every document; ``least`` is 20 or more."""
+    ship(docs.sparkSession)
     trained = train(labelled_samples()) if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

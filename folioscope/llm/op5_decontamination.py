@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.words import PUNCTUATION, Piece, pieces, window_hashes
+from folioscope.shipping import ship
 
 BLOCK_ITEMS = 20_000
 THRESHOLD = 0.6
@@ -197,6 +198,7 @@ def indexes(items: DataFrame, item_col: str = "item_id", text_col: str = "text",
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """Rows (id, item, score, question_overlap, answer_overlap): every item that a document leaks."""
+    ship(docs.sparkSession)
     kind, item_kind = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_col]
     schema = f"id {kind}, item {item_kind}, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -218,6 +220,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """The documents that leak no item, with all their columns."""
+    ship(docs.sparkSession)
     for index in indexes(items, item_col, item_text_col, answer_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import hold
 from folioscope.llm.words import PUNCTUATION, Piece, mix64, owners_of, pieces, window_hashes
+from folioscope.shipping import ship
 
 SAMPLE = 20_000
 SUPPORT = 6
@@ -201,7 +202,7 @@ def _fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = 400, penalty:
 
 def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic") -> Model:
     """Fits the labellers' rates and the model on about ``sample`` documents."""
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     share = min(1.0, sample / max(1, docs.count()))
     chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(chosen)
@@ -281,6 +282,7 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, id_co
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, score, keep): the log-odds of keeping each document, and whether it is kept."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +296,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents that the model keeps, with all their columns."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import hold
+from folioscope.shipping import ship
 
 PIVOTS = 32
 ANNULUS = 4096
@@ -95,6 +96,7 @@ def _search(index: pa.Table, queries: pa.Table, k: int, width: int) -> pa.Table:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k highest scores of each query, ties to the smaller id."""
     spark = vectors.sparkSession
+    ship(spark)
     base = hold(vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), whole(F.col(vector_col), scale).alias("v"), is_query.alias("asks")).filter("v is not null"))
     square = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
     n, most, width, n_queries = base.agg(F.count("*"), F.max(square), F.max(F.size("v")), F.count_if("asks")).first()

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import hold
 from folioscope.llm.words import Piece, mix64, owners_of, pieces, window_hashes
+from folioscope.shipping import ship
 
 LENGTH = 50
 FLUSH_ROWS = 1 << 20  #: entries that a map task settles at a time
@@ -279,6 +280,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     document with a smaller id.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("uid"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

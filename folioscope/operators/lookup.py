@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class BadRequest(ValueError):
@@ -71,15 +72,28 @@ def substring_search(verses: DataFrame, query: str) -> DataFrame:
     return verses.filter(F.contains("text", F.lit(query))).select("surah", "verse", "text").orderBy("surah", "verse")
 
 
+MOST_BANDS = 10_000
+
+
+def _literal(value: object) -> Column:
+    if isinstance(value, Row):
+        return F.struct(*[_literal(v).alias(k) for k, v in value.asDict().items()])
+    return F.lit(value)
+
+
 def as_of_bands(rows: DataFrame, bands: DataFrame, key: Column, start: str, value: str, default: object) -> DataFrame:
-    """Value of the last band that starts at or before the key; for some thousands of bands.
+    """Value of the last band that starts at or before the key; for ``MOST_BANDS`` bands at most.
 
-    Bands are made intervals by their successor, sorted into one array and
-    searched within a row, so rows are neither shuffled nor compared with every band.
+    The bands become one sorted literal array that is searched within a row, so
+    rows are neither shuffled nor joined.
     """
-    table = bands.agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("start"), F.col(value).alias("value")))).alias("_bands"))
-    below = F.filter("_bands", lambda b: b["start"] <= key)
-    return rows.join(F.broadcast(table)).withColumn(value, F.coalesce(F.try_element_at(below, F.lit(-1))["value"], F.lit(default))).drop("_bands")
+    known = bands.select(F.struct(F.col(start).alias("start"), F.col(value).alias("value")).alias("b")).orderBy("b").limit(MOST_BANDS + 1)
+    found = [r["b"] for r in known.collect()]
+    if len(found) > MOST_BANDS:
+        raise ValueError(f"more than {MOST_BANDS} bands; as_of takes any number")
+    table = F.array(*map(_literal, found)).cast(T.ArrayType(known.schema["b"].dataType))
+    below = F.filter(table, lambda b: b["start"] <= key)
+    return rows.withColumn(value, F.coalesce(F.try_element_at(below, F.lit(-1))["value"], F.lit(default)))
 
 
 def as_of(rows: DataFrame, bands: DataFrame, keys: list[str], order: str, value: str, default: object) -> DataFrame:

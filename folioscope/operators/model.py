@@ -93,9 +93,8 @@ def running_index(rows: DataFrame, keys: list[str], order: list[str], name: str)
 
 def next_ids(rows: DataFrame, existing: DataFrame, id_col: str, order: str) -> DataFrame:
     """New ids after the largest, in the order of a column; for a few added rows, as one window numbers them."""
-    largest = existing.agg(F.coalesce(F.max(F.col(id_col).try_cast("long")), F.lit(0)).alias("_largest"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(order)))
-    return numbered.join(F.broadcast(largest)).withColumn(id_col, F.col("_largest") + F.col("_n")).drop("_n", "_largest")
+    largest = existing.agg(F.max(F.col(id_col).try_cast("long"))).first()[0] or 0
+    return rows.withColumn(id_col, F.lit(largest) + F.row_number().over(Window.orderBy(order)))
 
 
 def corpus_counts(verses: DataFrame) -> DataFrame:

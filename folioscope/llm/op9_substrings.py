@@ -36,7 +36,7 @@ from folioscope.llm.words import Piece, mix64, owners_of, pieces, window_hashes
 from folioscope.shipping import ship
 
 LENGTH = 50
-FLUSH_ROWS = 1 << 20  #: entries that a map task settles at a time
+FLUSH_ROWS = 1 << 19  #: entries that a map task settles at a time
 BUCKET_ROWS = 1 << 21  #: entries meant for a bucket
 FILTER_BYTES = 64 << 20  #: the Bloom filter of level one is never larger
 _NO_ID = np.iinfo(np.int64).max

@@ -13,7 +13,7 @@ hash once, with the smallest document that has it, and settles its other
 documents itself; so a passage that all documents share costs one entry a task,
 not one a document.  Level one's survivors travel as a Bloom filter of bounded
 size; its false positives reach level two and die there, they never change the
-result.  Hashes of level two have 96 bits.
+result.  A full filter lets every window pass, some 14 bytes a word.  Hashes of level two have 96 bits.
 
 Defined cases: null and short texts have no window; a null id counts as larger
 than any other and equal to other nulls; rows with the same id never remove words
@@ -106,11 +106,27 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
 
 def _deal(bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """Entries packed by bucket, field after field: the ids of a document's neighbours compress to almost nothing."""
     order = np.argsort(bucket, kind="stable")
     b, e = bucket[order], entries[order]
     starts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, int)
     stops = np.append(starts[1:], len(b)) if len(b) else starts
-    return pa.record_batch([pa.array(b[starts], pa.int32()), pa.array([e[i:j].tobytes() for i, j in zip(starts, stops, strict=True)], pa.binary())], schema=_PACKED)
+    packed = [b"".join(np.ascontiguousarray(e[f][i:j]).tobytes() for f in e.dtype.names) if e.dtype.names else e[i:j].tobytes() for i, j in zip(starts, stops, strict=True)]
+    return pa.record_batch([pa.array(b[starts], pa.int32()), pa.array(packed, pa.binary())], schema=_PACKED)
+
+
+def _unpacked(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    """All entries of packed cells."""
+    out = np.empty(sum(len(x.as_py()) for x in column) // kind.itemsize, kind)
+    at = 0
+    for x in column:
+        data = x.as_py()
+        n, place = len(data) // kind.itemsize, 0
+        for f in kind.names:
+            out[f][at : at + n] = np.frombuffer(data, kind[f], n, place)
+            place += n * kind[f].itemsize
+        at += n
+    return out
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -149,7 +165,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
 
 def _repeated(dealt: pa.Table) -> np.ndarray:
     """Level one, reduce side: half-windows of one bucket that two documents or more have."""
-    data = np.concatenate([np.frombuffer(x.as_py(), _ANCHOR) for x in dealt.column("data")])
+    data = _unpacked(dealt.column("data"), _ANCHOR)
     order = np.argsort(data["v"], kind="stable")
     data = data[order]
     starts = np.flatnonzero(np.append(True, data["v"][1:] != data["v"][:-1]))
@@ -195,11 +211,10 @@ def _extended(batches: Iterator[pa.RecordBatch], length: int, buckets: int, bits
         data = np.concatenate(held)
         held.clear()
         order, first = _first((data["a"], data["b"]), data["id"])
-        data = data[order]
-        settled = data[data["id"] > first]
-        if len(settled):
-            yield _flags(settled, buckets)
-        data = data[data["id"] == first]
+        late = data["id"][order] > first
+        if late.any():
+            yield _flags(data[np.sort(order[late])], buckets)
+        data = data[np.sort(order[~late])]  # in the order of the texts again
         dealt = _deal(_bucket(data["a"], buckets), data)
         yield pa.record_batch([dealt.column(0), pa.nulls(len(dealt), pa.int32()), dealt.column(1)], schema=_DEALT)
 
@@ -225,18 +240,17 @@ def _extended(batches: Iterator[pa.RecordBatch], length: int, buckets: int, bits
 def _settle(dealt: pa.Table, buckets: int) -> pa.Table:
     """Level two, reduce side: windows of a bucket whose document isn't the first."""
     out = [dealt.filter(dealt.column("owner").is_valid())]
-    held = [np.frombuffer(x.as_py(), _WINDOW) for x in dealt.filter(dealt.column("owner").is_null()).column("data")]
-    if held:
-        data = np.concatenate(held)
+    data = _unpacked(dealt.filter(dealt.column("owner").is_null()).column("data"), _WINDOW)
+    if len(data):
         order, first = _first((data["a"], data["b"]), data["id"])
-        data = data[order]
-        out.append(pa.Table.from_batches([_flags(data[data["id"] > first], buckets)]))
+        late = data["id"][order] > first
+        out.append(pa.Table.from_batches([_flags(data[np.sort(order[late])], buckets)]))
     return pa.concat_tables(x.cast(_DEALT) for x in out)
 
 
 def _by_document(dealt: pa.Table) -> pa.Table:
     """One row for each document of a bucket: the starts of its removed windows, packed."""
-    data = np.concatenate([np.frombuffer(x.as_py(), _FLAG) for x in dealt.column("data")])
+    data = _unpacked(dealt.column("data"), _FLAG)
     data = data[np.lexsort((data["at"], data["uid"], data["id"]))]
     ids, uids, at = data["id"], data["uid"], np.ascontiguousarray(data["at"])
     starts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (uids[1:] != uids[:-1]))) if len(data) else np.empty(0, int)

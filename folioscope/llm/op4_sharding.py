@@ -55,7 +55,12 @@ def cut_points(atoms: DataFrame, n_shards: int) -> tuple[int, list[int]]:
 
 
 def shard(docs: DataFrame, n_shards: int = 16, cells: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, size, text_crc32, cell, shard, slot (gapless from 0 in each shard), capacity."""
+    """One row per document: id, size, text_crc32, cell, shard, slot (gapless from 0 in each shard), capacity.
+
+    There must be 64 cells a shard at least, so that shards can be near equal.
+    """
+    if not 1 <= n_shards <= cells // 64:
+        raise ValueError(f"{cells} cells make 1 to {cells // 64} shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = hold(
         docs.select(

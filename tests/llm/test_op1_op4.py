@@ -111,6 +111,11 @@ def test_shards(docs) -> None:
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_too_many_shards_for_the_cells(docs) -> None:
+    with pytest.raises(ValueError, match="cells"):
+        shard(docs, 2000)
+
+
 def test_empty(no_docs) -> None:
     assert mix(no_docs).count() == 0
     assert mixed_rows(no_docs).count() == 0

@@ -14,6 +14,11 @@ def array_or_empty(text: Column, schema: str) -> Column:
     return F.when(text.rlike(r"^\s*\["), F.coalesce(F.from_json(text, schema), F.array().cast(schema))).otherwise(F.array().cast(schema))
 
 
+def list_size(text: Column, schema: str) -> Column:
+    """Length of the array, 0 where there is none."""
+    return F.size(array_or_empty(text, schema))
+
+
 def kind(text: Column) -> Column:
     """``empty``, ``invalid``, ``OBJECT``, ``ARRAY``, ``STRING`` and so on."""
     value = F.try_parse_json(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import jsons
 from folioscope.functions import text as t
 from folioscope.operators import bookmarks, lookup, model, quality, repair, search
 from folioscope.plans.queries import query, table
@@ -200,3 +201,29 @@ def division_with_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"))
     out = lookup.division(dim, verses, 2)
     return out.select("id", F.array_join(F.transform("verses", lambda v: F.concat(v["verse"], F.lit(":"), v["text"])), "|").alias("verses"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS root FROM nation WHERE n_name = 'nation_7' OR n_name || 'x' = 'nation_7' LIMIT 1")
+def two_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("root"), F.concat("n_name", F.lit("x")).alias("root_arabic"))
+    return lookup.root_meaning(rows, "nation_7").select("id", "root")
+
+
+@query("SELECT l_orderkey, coalesce(string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (WHERE l_linestatus = 'O'), '') AS parts FROM lineitem GROUP BY l_orderkey")
+def non_empty_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumn("gloss", F.when(F.col("l_linestatus") == "O", F.col("l_partkey").cast("string")).otherwise(""))
+    nested = model.ordered(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], ["gloss"], "segments")
+    return nested.select("l_orderkey", F.array_join(lookup.filled(F.col("segments"), "gloss"), ",").alias("parts"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 0 ELSE CAST(event_id % 4 AS INTEGER) END AS n FROM events")
+def json_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, "").when(k == 1, '[{"arabic": "a"}]').when(k == 2, '[{"arabic": "a"}, {}]').otherwise("{")
+    return table(spark, sf_dir, "events").select("event_id", jsons.list_size(text, jsons.QUOTES).alias("n"))
+
+
+@query("SELECT doc_id, lang, length(text) AS length FROM documents WHERE doc_id BETWEEN 1 AND 114 ORDER BY lang, doc_id")
+def verse_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat iteration over valid numbers, in corpus order."""
+    return table(spark, sf_dir, "documents").filter(F.col("doc_id").between(1, 114)).select("doc_id", "lang", F.char_length("text").cast("long").alias("length")).orderBy("lang", "doc_id")

@@ -57,12 +57,21 @@ def words(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.size(words(text))
+    """Number of words, counted without cutting them out."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACES}]+"))
 
 
 def classified_tokens(text: Column) -> Column:
-    """Array of (type, text): pause, ayah (end-of-verse brackets) or word."""
-    kind = lambda t: F.when(is_pause(t), "pause").when(t.rlike("[\ufd3e\ufd3f]"), "ayah").otherwise("word")
+    """Array of (type, text): pause, ayah (end-of-verse brackets) or word.
+
+    Only a token that begins with a pause mark meets the pattern.
+    """
+
+    def kind(token: Column) -> Column:
+        may_pause = (token >= F.lit("\u06d6")) & (token < F.lit("\u06ee"))
+        bracket = F.contains(token, F.lit("\ufd3e")) | F.contains(token, F.lit("\ufd3f"))
+        return F.when(may_pause & is_pause(token), "pause").when(bracket, "ayah").otherwise("word")
+
     return F.transform(words(text), lambda t: F.struct(kind(t).alias("type"), t.alias("text")))
 
 

@@ -159,7 +159,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = DISTANCE) -> DataFrame:
     """The documents, columns unchanged, but one of each component: that with the smallest id, and one row of rows alike."""
     rows = hold(fingerprints(docs, id_col, text_col, width))
-    first = _classes(rows, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.uid").alias("_uid"))
+    return only(docs, _classes(rows, distance).groupBy("root").agg(F.min("first").alias("first")), id_col, text_col)
+
+
+def only(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents that ``first`` (first.id, first.uid) names, one row of rows alike."""
+    first = first.select(F.col("first.id").alias("_id"), F.col("first.uid").alias("_uid"))
     named = docs.withColumn("_own", F.xxhash64(id_col, text_col))
     kept = named.join(first, named["_own"] == first["_uid"])
     # Partitioned as the join is, so the texts are dealt once.

@@ -12,9 +12,11 @@ context with the word's smoothed share::
     (1 - PAIRS) * (c(w) + 0.5) / (N + 0.5 * (V + 1)) + PAIRS * min(1, c(v w) / c(v))
 
 Counts of pairs travel as packed arrays in buckets of bounded size, and each
-bucket fills its own slice of the filter.  The filter is broadcast and has a fixed
-bound, ``FILTER_BYTES``; where the n-grams would need more, the lowest levels of
-each order are left out until they fit.  Exact counts of the ``COMMON`` most
+bucket fills its own slice of the filter.  The filter grows with the n-grams: its
+slices are broadcast in parts of at most ``FILTER_BYTES``, and a worker holds one
+part at a time, asking it about ``GROUP`` pieces of text at once.  Only
+``build_filter`` with ``bounded`` leaves out the lowest levels of each order until
+the filter fits into one part; nothing registered asks for that.  Exact counts of the ``COMMON`` most
 frequent words at most are broadcast; all rarer words are looked up by a join.
 
 Defined cases: null and empty texts are one end mark; a null id is not held out;
@@ -27,11 +29,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +50,7 @@ FILTER_BYTES = 64 << 20
 BITS_PER_KEY, PROBES = 14, 7
 FLUSH = 1 << 21
 BUCKET = 1 << 21
+GROUP = 8
 _BEGIN, _END = np.uint64(0x51ED270B9F4A7C15), np.uint64(0xA24BAED4963EE407)
 _END_TOKEN = b""
 
@@ -168,13 +172,15 @@ def _place(a: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """Slices of bits, one a bucket; ``first`` holds where each begins."""
+    """Slices of bits, one a bucket; ``first`` holds where each begins, ``cuts`` the first bucket of each part, and their end."""
 
     first: np.ndarray
-    bits: bytes
+    bits: bytes  #: of the only part, if there is one
     lowest: dict[int, int]  #: level below which n-grams of a kind were left out
     total: int  #: N
     distinct: int  #: V
+    cuts: np.ndarray | None = None
+    part: Callable[[int], bytes] | None = None  #: bits of a part
     _values: np.ndarray = field(default_factory=count_at)
 
     def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
@@ -183,14 +189,24 @@ class Filter:
         out = np.zeros(len(keys), np.int64)
         if not buckets:
             return self._values[out]
-        bits = np.frombuffer(self.bits, np.uint8)
         own = _bucket(keys, buckets)
+        if self.cuts is None:
+            self._ask(self.bits, 0, np.arange(len(keys)), keys, own, kind, out)
+            return self._values[out]
+        of = np.searchsorted(self.cuts, own, "right") - 1
+        for k in np.unique(of).tolist():
+            self._ask(self.part(k), self.first[self.cuts[k]], np.flatnonzero(of == k), keys, own, kind, out)
+        return self._values[out]
+
+    def _ask(self, data: bytes, begin: int, asked: np.ndarray, keys: np.ndarray, own: np.ndarray, kind: int, out: np.ndarray) -> None:
+        """Sets ``out`` at ``asked``, whose slices lie in ``data``, to the levels found and one."""
+        bits = np.frombuffer(data, np.uint8)
         salted = (keys & np.uint64((1 << 40) - 1)) * np.uint64(4) + np.uint64(kind)
-        alive = np.flatnonzero(self.first[own + 1] > self.first[own])
+        alive = asked[self.first[own[asked] + 1] > self.first[own[asked]]]
         level = self.lowest.get(kind, 0)
         while len(alive) and level < len(self._values) - 1:
-            base = self.first[own[alive]]
-            size = (self.first[own[alive] + 1] - base).astype(np.uint64)
+            base = self.first[own[alive]] - begin
+            size = (self.first[own[alive] + 1] - self.first[own[alive]]).astype(np.uint64)
             a = _start(salted[alive], level)
             b = None
             for _ in range(PROBES):
@@ -201,11 +217,11 @@ class Filter:
                 a = a + b
             level += 1
             out[alive] = level
-        return self._values[out]
 
-    def scores(self, piece: Piece) -> np.ndarray:
-        """log10 probability of each text of a piece."""
-        word, context, pair, text = ngrams(piece)
+    def scores(self, group: list[Piece]) -> list[np.ndarray]:
+        """log10 probability of each text of each piece."""
+        found = [ngrams(piece) for piece in group]
+        word, context, pair = (np.concatenate([x[k] for x in found]) for k in range(3))
         own, at = np.unique(np.concatenate([word, context]), return_inverse=True)
         counts = self.counts(own, 1)
         c_word, c_context = counts[at[: len(word)]], counts[at[len(word) :]]
@@ -213,11 +229,15 @@ class Filter:
         seen = np.flatnonzero(c_context > 0)
         pairs, at = np.unique(pair[seen], return_inverse=True)
         p[seen] += PAIRS * np.minimum(1.0, self.counts(pairs, 2)[at] / c_context[seen])
-        return np.bincount(text, np.log10(p), len(piece))
+        logs = np.split(np.log10(p), np.cumsum([len(x[0]) for x in found])[:-1])
+        return [np.bincount(x[3], log, len(piece)) for x, log, piece in zip(found, logs, group, strict=True)]
+
 
+def build_filter(training: DataFrame, total: int, distinct: int, bounded: bool = True) -> Filter | tuple[Filter, list[Broadcast]]:
+    """The filter over the texts (column text) of training documents with ``total`` tokens.
 
-def build_filter(training: DataFrame, total: int, distinct: int) -> Filter:
-    """The filter over the texts (column text) of training documents with ``total`` tokens."""
+    Unless ``bounded``, all n-grams are in, and the parts come beside the filter as broadcasts.
+    """
     spark = training.sparkSession
     ship(spark)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
@@ -232,7 +252,7 @@ def build_filter(training: DataFrame, total: int, distinct: int) -> Filter:
     for kind in (1, 2):
         own = sorted((q, n) for (k, q), n in sums.items() if k == kind)
         low = own[0][0] if own else 0
-        while sum(n * (q - low + 1) for q, n in own if q >= low) * BITS_PER_KEY > FILTER_BYTES * 4:
+        while bounded and sum(n * (q - low + 1) for q, n in own if q >= low) * BITS_PER_KEY > FILTER_BYTES * 4:
             low += 1
         lowest[kind] = low
 
@@ -253,12 +273,51 @@ def build_filter(training: DataFrame, total: int, distinct: int) -> Filter:
                 a = a + b
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
+    def filled(levels: DataFrame) -> dict[int, bytes]:
+        rows = levels.groupBy("bucket").applyInArrow(slices, "bucket long, bits binary").toLocalIterator()
+        return {row["bucket"]: bytes(row["bits"]) for row in rows}  # FILTER_BYTES in all, at most
+
     sizes = np.zeros(buckets, np.int64)
-    parts: dict[int, bytes] = {}
-    for row in levels.groupBy("bucket").applyInArrow(slices, "bucket long, bits binary").toLocalIterator():  # FILTER_BYTES in all, at most
-        parts[row["bucket"]] = bytes(row["bits"])
-        sizes[row["bucket"]] = 8 * len(row["bits"])
-    return Filter(np.concatenate(([0], np.cumsum(sizes))), b"".join(parts.get(b, b"") for b in range(buckets)), lowest, total, distinct)
+    if bounded:
+        parts = filled(levels)
+        for k, bits in parts.items():
+            sizes[k] = 8 * len(bits)
+        return Filter(np.concatenate(([0], np.cumsum(sizes))), b"".join(parts.get(b, b"") for b in range(buckets)), lowest, total, distinct)
+    low = F.when(F.col("kind") == 1, lowest[1]).otherwise(lowest[2])
+    for row in levels.groupBy("bucket").agg(F.sum(F.col("n") * (F.col("level") - low + 1)).alias("n")).collect():  # a row for each bucket
+        sizes[row["bucket"]] = -(-row["n"] * BITS_PER_KEY // 64) * 64
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    cuts = [0]
+    for k in range(buckets):
+        if k > cuts[-1] and first[k + 1] - first[cuts[-1]] > 8 * FILTER_BYTES:
+            cuts.append(k)
+    cuts.append(buckets)
+    shared = []
+    for low_, high in zip(cuts[:-1], cuts[1:], strict=True):
+        parts = filled(levels.filter(F.col("bucket").between(low_, high - 1)))
+        shared.append(spark.sparkContext.broadcast(b"".join(parts.get(k, b"") for k in range(low_, high))))
+        del parts
+    return Filter(first, b"", lowest, total, distinct, np.array(cuts)), shared
+
+
+def part_of(shared: list[Broadcast], k: int) -> bytes:
+    """Bits of a part; of several, none stays in memory."""
+    own = shared[k]
+    bits = own.value
+    if len(shared) > 1 and own._path is not None:
+        own.__dict__.pop("_value", None)  # read from its file again next time
+    return bits
+
+
+def _grouped(pieces_: Iterator[Piece], size: int) -> Iterator[list[Piece]]:
+    group: list[Piece] = []
+    for piece in pieces_:
+        group.append(piece)
+        if len(group) == size:
+            yield group
+            group = []
+    if group:
+        yield group
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +361,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: Filter, common: Common) ->
     get = common.logs(model.total, model.distinct).get
     for batch in batches:
         uids = batch.column("uid").to_numpy()
-        for piece in pieces(batch.column("text"), True):
-            scores = model.scores(piece)
+        groups = _grouped(pieces(batch.column("text"), True), GROUP if model.cuts is not None and len(model.cuts) > 2 else 1)
+        for piece, scores in ((piece, x) for group in groups for piece, x in zip(group, model.scores(group), strict=True)):
             rows: list[int] = []
             tokens: list[bytes] = []
             n: list[int] = []
@@ -352,10 +411,11 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         bound, taken = level, taken + n
     frequent = counts.filter(F.col("level") >= bound).select("token", "c").toArrow()  # COMMON rows at most
     common = spark.sparkContext.broadcast(Common(frequent.column("token").to_pylist(), np.asarray(frequent.column("c")).astype(float)))
-    model = spark.sparkContext.broadcast(build_filter(training, total, distinct))
+    built, shared = build_filter(training, total, distinct, bounded=False)
+    model = spark.sparkContext.broadcast(built)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _score(batches, model.value, common.value)
+        return _score(batches, replace(model.value, part=lambda k: part_of(shared, k)), common.value)
 
     scored = rows.mapInArrow(run, _SCORED.format(kind=dict(rows.dtypes)["id"]))
     rarer = counts.filter(F.col("level") < bound).select("token", "c")

@@ -6,7 +6,7 @@ probabilities from the exact counts.  The model's counts live in a Bloom filter
 instead: an n-gram with count c is entered under the levels 0, 1, ...,
 floor(log(c) / log(STEP)); asking for one level after the other until one is
 missing gives the quantised count back.  Pairs are entered from count
-``LEAST_PAIR``.  The model's probability of a word mixes the pair's share in its
+``LEAST_PAIR``, which is all of them.  The model's probability of a word mixes the pair's share in its
 context with the word's smoothed share::
 
     (1 - PAIRS) * (c(w) + 0.5) / (N + 0.5 * (V + 1)) + PAIRS * min(1, c(v w) / c(v))
@@ -43,7 +43,7 @@ from folioscope.llm.words import Piece, mix64, owners_of, pieces
 from folioscope.shipping import ship
 
 STEP = 1.5
-LEAST_PAIR = 2
+LEAST_PAIR = 1
 PAIRS = 0.05
 COMMON = 500_000
 FILTER_BYTES = 64 << 20

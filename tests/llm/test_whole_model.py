@@ -22,3 +22,10 @@ def test_scores_do_not_depend_on_the_size_of_a_part(spark, docs, monkeypatch: py
     assert sum(len(x.value) for x in parts) == model.first[-1] // 8
     assert [r[:5] for r in scored(docs)] == [r[:5] for r in whole]
     assert [r[6] for r in scored(docs)] == pytest.approx([r[6] for r in whole], rel=1e-9)
+
+
+def test_pairs_seen_once_are_in(spark) -> None:
+    training = spark.createDataFrame([(1, "a b c d"), (2, "b a d c")], "doc_id long, text string")
+    seen, unseen = (spark.createDataFrame([(9, t)], "doc_id long, text string") for t in ("a b c d", "a c b d"))
+    score = [op6.score_documents(training.unionByName(x), F.col("doc_id") == 9).filter("doc_id = 9").first()["score"] for x in (seen, unseen)]
+    assert score[0] > score[1] + 0.1

@@ -12,8 +12,10 @@ own rejections) is fitted to these.  Where there are labels, a text without one
 is only trained on if it is probably bad: that no labeller objects says little
 about insults that none knows.  Only the fitted model meets the whole corpus.
 
-The fit uses about ``SAMPLE`` documents, those with the lowest hashes of their
-ids, labelled or not; the bound is a parameter.  Features must occur in
+Votes are tallied, and the labellers' rates estimated, over all documents.  The
+fit uses about ``SAMPLE`` documents, those with the lowest hashes of id and text
+among the labelled ones, and others only where there are fewer labelled ones; the
+bound is a parameter.  Features must occur in
 ``SUPPORT`` sample documents and point to rejection in ``PRECISION`` of them.
 
 Defined cases: null and empty texts have no features and are kept, as is any text
@@ -138,26 +140,27 @@ def features(piece: Piece, cast: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def estimate(cast: np.ndarray, given: np.ndarray | None = None, prior: float = 0.2, strength: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def estimate(cast: np.ndarray, given: np.ndarray | None = None, prior: float = 0.2, strength: float = 1.0, rounds: int = 100, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """EM over votes (rows of KEEP, REJECT, NONE): the posterior of rejection by row, and each labeller's vote rates by class.
 
     Starts from any rejection as a likely one.  Rates carry pseudo-counts, the
     share ``strength`` of the rows, of labellers that seldom reject good texts but
     miss most kinds of bad ones, and of a share ``prior`` of bad texts.
-    ``given`` has known labels, or NONE.
+    ``given`` has known labels, or NONE; ``times`` how often each row counts.
     """
     known = np.flatnonzero(given != NONE) if given is not None else np.empty(0, np.int64)
     fixed = np.where(given[known] == REJECT, 0.98, 0.02) if given is not None else np.empty(0)
+    times = np.ones(len(cast)) if times is None else times.astype(float)
     hot = np.stack([cast == v for v in (KEEP, REJECT, NONE)], 2).astype(float)
     post = np.where((cast == REJECT).any(1), 0.8, prior / 4)
     post[known] = fixed
     rates = np.empty((2, cast.shape[1], 3))
-    trust = np.array([[0.95, 0.005, 0.045], [0.65, 0.25, 0.1]]) * strength * len(cast) + 0.01
+    trust = np.array([[0.95, 0.005, 0.045], [0.65, 0.25, 0.1]]) * strength * times.sum() + 0.01
     for _ in range(rounds):
         for y, weight in enumerate((1 - post, post)):
-            rates[y] = (weight[:, None, None] * hot).sum(0) + trust[y]
+            rates[y] = ((weight * times)[:, None, None] * hot).sum(0) + trust[y]
             rates[y] /= rates[y].sum(1, keepdims=True)
-        share = np.clip((post.mean() + strength * prior) / (1 + strength), 0.005, 0.95)
+        share = np.clip(((post * times).sum() / times.sum() + strength * prior) / (1 + strength), 0.005, 0.95)
         logs = [(hot * np.log(rates[y])).sum((1, 2)) for y in (0, 1)]
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log((1 - share) / share), -50, 50)))
         new[known] = fixed
@@ -203,38 +206,41 @@ def _fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = 400, penalty:
 def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic") -> Model:
     """Fits the labellers' rates and the model on about ``sample`` documents."""
     ship(docs.sparkSession)
-    share = min(1.0, sample / max(1, docs.count()))
-    chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(chosen)
-    if labels is not None:
-        given = labels.select(F.col(id_col).alias("id"), F.col(quality_col).alias("quality"), F.col(toxic_col).alias("toxic")).filter(chosen)
-        given = given.groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))  # as few as the sample
-        rows = rows.join(F.broadcast(given), "id", "left")
-    else:
-        rows = rows.withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
-    rows = hold(rows.select("text", F.coalesce(1 - F.col("quality"), F.lit(NONE)).cast("int").alias("bad"), F.coalesce("toxic", F.lit(NONE)).cast("int").alias("toxic")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("uid"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch.column(0), False):
-                cast = votes(piece)
-                given = [np.asarray(batch.column(k)).astype(np.int8)[piece.first : piece.first + len(piece), None] for k in (1, 2)]
-                yield pa.record_batch({"pattern": pa.array([x.tobytes() for x in np.concatenate([cast, *given], 1)], pa.binary())})
+            for piece in pieces(batch.column(1), False):
+                own = [batch.column(k).slice(piece.first, len(piece)) for k in (0, 2)]
+                yield pa.record_batch([*own, pa.array([x.tobytes() for x in votes(piece)], pa.binary())], names=["id", "uid", "cast"])
 
-    tally = rows.mapInArrow(vote, "pattern binary").groupBy("pattern").count().collect()  # 3 ** 6 patterns at most
+    cast = rows.mapInArrow(vote, f"id {dict(rows.dtypes)['id']}, uid long, cast binary")
+    if labels is not None:
+        given = labels.select(F.col(id_col).alias("id"), F.col(quality_col).alias("quality"), F.col(toxic_col).alias("toxic"))
+        cast = cast.join(given.groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")), "id", "left")
+    else:
+        cast = cast.withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
+    cast = hold(cast.select("uid", "cast", F.coalesce(1 - F.col("quality"), F.lit(NONE)).cast("int").alias("bad"), F.coalesce("toxic", F.lit(NONE)).cast("int").alias("toxic")))
+    tally = cast.groupBy("cast", "bad", "toxic").count().collect()  # 3 ** 6 patterns at most
     if not tally:
         return Model(np.zeros(1 << BITS), -2.0, {})
-    patterns = np.array([np.frombuffer(r["pattern"], np.int8) for r in tally])
-    times = np.repeat(np.arange(len(tally)), [r["count"] for r in tally])
+    tally.sort(key=lambda r: (bytes(r["cast"]), r["bad"], r["toxic"]))
+    patterns = np.array([[*np.frombuffer(r["cast"], np.int8), r["bad"], r["toxic"]] for r in tally], np.int8)
+    times = np.array([r["count"] for r in tally])
+    labelled = int(times[(patterns[:, -2:] != NONE).any(1)].sum())
+    shares = min(1.0, sample / max(1, labelled)), min(1.0, max(0, sample - labelled) / max(1, int(times.sum()) - labelled))
+    known, other = (F.lit(int(x * (1 << 20))) for x in shares)
+    chosen = cast.filter(F.pmod("uid", F.lit(1 << 20)) < F.when((F.col("bad") != NONE) | (F.col("toxic") != NONE), known).otherwise(other))
+    chosen = chosen.select("uid", "bad", "toxic").dropDuplicates(["uid"])  # about the sample
+    rows = hold(rows.join(F.broadcast(chosen), "uid").select("text", "bad", "toxic"))
     n = len(FORM)
-    bad, form_rates = estimate(patterns[times][:, :n], patterns[times][:, n + 1])
+    bad, form_rates = estimate(patterns[:, :n], patterns[:, n + 1], times=times)
     silent_is_keep = np.where(patterns[:, n : n + 1] == REJECT, REJECT, KEEP)  # the lexicon never says keep
-    rude, insult_rates = estimate(silent_is_keep[times], patterns[times][:, n + 2], prior=0.05)
-    _, firsts = np.unique(times, return_index=True)
-    both = 1 - (1 - bad[firsts]) * (1 - rude[firsts])
+    rude, insult_rates = estimate(silent_is_keep, patterns[:, n + 2], prior=0.05, times=times)
+    both = 1 - (1 - bad) * (1 - rude)
     open_ = (patterns[:, n + 1] == NONE) | (patterns[:, n + 2] == NONE)
     both[open_ & ~open_.all() & (both < 0.5)] = np.nan  # not trained on
-    posterior = dict(zip([bytes(r["pattern"]) for r in tally], both.tolist(), strict=True))
+    posterior = dict(zip([x.tobytes() for x in patterns], both.tolist(), strict=True))
 
     def targets(piece: Piece, batch: pa.RecordBatch, cast: np.ndarray) -> np.ndarray:
         given = [np.asarray(batch.column(k)).astype(np.int8)[piece.first : piece.first + len(piece), None] for k in (1, 2)]

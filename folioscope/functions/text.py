@@ -216,7 +216,8 @@ def page_title(html: Column) -> Column:
 
 
 def page_file(number: Column, name: Column) -> Column:
-    return F.concat(F.lpad(number.cast("string"), 3, "0"), F.lit("-"), name, F.lit(".html"))
+    digits = number.cast("string")
+    return F.concat(F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0")), F.lit("-"), name, F.lit(".html"))
 
 
 def mark_html(symbol: Column) -> Column:

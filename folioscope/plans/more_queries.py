@@ -86,7 +86,7 @@ SELECT page_id, lpad(CAST(page_id AS VARCHAR), 3, '0') || '-' || trim(regexp_rep
 )
 def file_names_and_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("page_id") % 3 == 0, "(null)").otherwise(F.col("url"))
-    return table(spark, sf_dir, "pages").filter("page_id < 1000").select("page_id", t.page_file(F.col("page_id"), t.slug(F.col("url"))).alias("file"), t.xml_attribute("url", value).alias("attribute"))
+    return table(spark, sf_dir, "pages").select("page_id", t.page_file(F.col("page_id"), t.slug(F.col("url"))).alias("file"), t.xml_attribute("url", value).alias("attribute"))
 
 
 @query(

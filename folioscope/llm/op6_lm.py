@@ -5,36 +5,40 @@ and counts of word pairs.  The base score is the sum of smoothed log10 word
 probabilities from the exact counts.  The model's counts live in a Bloom filter
 instead: an n-gram with count c is entered under the levels 0, 1, ...,
 floor(log(c) / log(STEP)); asking for one level after the other until one is
-missing gives the quantised count back.  Pairs are entered from count
-``LEAST_PAIR``, which is all of them.  The model's probability of a word mixes the pair's share in its
+missing gives the quantised count back.  Every counted word and pair is in,
+pairs from count 1.  The model's probability of a word mixes the pair's share in its
 context with the word's smoothed share::
 
     (1 - PAIRS) * (c(w) + 0.5) / (N + 0.5 * (V + 1)) + PAIRS * min(1, c(v w) / c(v))
 
-Counts of pairs travel as packed arrays in buckets of bounded size, and each
-bucket fills its own slice of the filter.  The filter grows with the n-grams: its
-slices are broadcast in parts of at most ``FILTER_BYTES``, and a worker holds one
-part at a time, asking it about ``GROUP`` pieces of text at once.  Only
-``build_filter`` with ``bounded`` leaves out the lowest levels of each order until
-the filter fits into one part; nothing registered asks for that.  Exact counts of the ``COMMON`` most
-frequent words at most are broadcast; all rarer words are looked up by a join.
+N-grams travel as packed hashes in buckets of bounded size, and each bucket
+fills its own slice of the filter, 64-bit words in each of which an entry sets
+``PROBES`` bits.  The filter grows with the n-grams.  As long as all slices
+together take ``FILTER_BYTES`` at most, they are broadcast.  A larger filter
+stays where it was made, a slice a task, and the questions go to it instead:
+the texts are dealt into chunks, each chunk hands in its distinct n-grams by
+bucket, and gets a byte a question back.  Both ways ask the same bits, so the
+scores are the same, and both do work in proportion to the texts.  Exact counts
+of the ``COMMON`` most frequent words at most are broadcast; all rarer words are
+looked up by a join.
 
 Defined cases: null and empty texts are one end mark; a null id is not held out;
-repeated rows come out as often as they came in; an empty table gives no
-rows; with nothing to learn from every word has count 0; other columns are not
-read.
+repeated rows come out as often as they came in (and share a chunk, if alike in
+id and text); an empty table gives no rows; with nothing to learn from every
+word has count 0; other columns are not read.  Within a bucket of some
+``BUCKET`` n-grams 40 bits tell them apart, so one in 500,000 shares its count
+with another; a probe errs about three times in a thousand.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +47,16 @@ from folioscope.llm.words import Piece, mix64, owners_of, pieces
 from folioscope.shipping import ship
 
 STEP = 1.5
-LEAST_PAIR = 1
 PAIRS = 0.05
-COMMON = 500_000
-FILTER_BYTES = 64 << 20
-BITS_PER_KEY, PROBES = 14, 7
-FLUSH = 1 << 21
-BUCKET = 1 << 21
-GROUP = 8
+COMMON = 250_000
+FILTER_BYTES = 64 << 20  #: the filter is broadcast up to this size
+BITS_PER_KEY, PROBES = 16, 5
+FLUSH = 1 << 21  #: n-grams that a map task counts at a time
+BUCKET = 1 << 21  #: n-grams meant for a bucket
+CHUNK_BYTES = 4 << 20  #: text whose questions to a large filter are put together
+GROUP = 4  #: pieces of text that are scored together
+MOST_LEVELS = 200
+WORDS, WORD_PAIRS = 1, 2
 _BEGIN, _END = np.uint64(0x51ED270B9F4A7C15), np.uint64(0xA24BAED4963EE407)
 _END_TOKEN = b""
 
@@ -59,7 +65,7 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log(counts) / math.log(STEP) + 1e-9).astype(np.int64)
 
 
-def count_at(levels: int = 200) -> np.ndarray:
+def count_at(levels: int = MOST_LEVELS) -> np.ndarray:
     """The count that a level stands for: the mean of its whole numbers; 0 at index 0, for a missing n-gram."""
     out = [0.0]
     for q in range(levels):
@@ -68,6 +74,13 @@ def count_at(levels: int = 200) -> np.ndarray:
     return np.array(out)
 
 
+_VALUES = count_at()
+
+
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    return mix64(hashes, 23)
+
+
 def ngrams(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of each token, of its context, and of the pair; and the text of each token.  Every text ends in an end mark."""
     owner = owners_of(piece.counts)
@@ -75,238 +88,219 @@ def ngrams(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     tokens = np.full(n, _END, np.uint64)
     tokens[np.arange(len(owner)) + owner] = piece.hashes()
     text = np.repeat(np.arange(len(piece)), np.diff(piece.counts) + 1)
+    begins = piece.counts[:-1] + np.arange(len(piece))
     context = np.empty(n, np.uint64)
     context[1:] = tokens[:-1]
-    context[piece.counts[:-1] + np.arange(len(piece))] = _BEGIN
-    begins = context == _BEGIN
+    context[begins] = _BEGIN
     pair = mix64(context * np.uint64(3) + mix64(tokens, 21), 22)
-    return mix64(tokens, 23), np.where(begins, mix64(np.full(1, _END), 23)[0], mix64(context, 23)), pair, text
+    word = word_keys(tokens)
+    before = np.empty(n, np.uint64)
+    before[1:] = word[:-1]
+    before[begins] = word_keys(np.full(1, _END))[0]
+    return word, before, pair, text
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are in the order of the keys."""
     return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """The low 40 bits of each key; the bucket is known from the others."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """The low 40 bits of each key, byte by byte, which compresses well where keys are in order; the bucket is known from the others."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(5, -1).T
     return out.view("<u8").ravel()
 
 
-_ENTRIES = "bucket long, kind int, keys binary, counts binary"
-
-
-def _entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Counted words (kind 1) and pairs (kind 2) of a task, packed by bucket."""
-    held: dict[int, list[np.ndarray]] = {1: [], 2: []}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for kind, parts in held.items():
-            if not parts:
-                continue
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            parts.clear()
-            bucket = _bucket(keys, buckets)  # in order, as keys are
-            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            stops = np.append(starts[1:], len(keys))
-            yield pa.record_batch(
-                [
-                    pa.array(bucket[starts]),
-                    pa.array(np.full(len(starts), kind, np.int32)),
-                    pa.array([_pack(keys[a:b]) for a, b in zip(starts, stops, strict=True)], pa.binary()),
-                    pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary()),
-                ],
-                names=["bucket", "kind", "keys", "counts"],
-            )
+def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Of buckets in order: each, and where it starts and ends."""
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+    return zip(bucket[starts].tolist(), starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=True)
+
+
+_ENTRIES = "bucket long, kind int, once binary, more binary, counts binary"
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
+    """Distinct keys in order and their counts, packed by bucket; keys counted once need no number."""
+    cells: list[tuple] = []
+    for b, i, j in _runs(_bucket(keys, buckets)):
+        k, c = keys[i:j], counts[i:j]
+        cells.append((b, kind, _pack(k[c == 1]), _pack(k[c > 1]), c[c > 1].astype("<u8").tobytes()))
+    columns = list(zip(*cells, strict=True)) or [()] * 5
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "once", "more", "counts"])
+
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's word pairs."""
+    held: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return _dealt(keys, counts, WORD_PAIRS, buckets)
 
     for batch in batches:
         for piece in pieces(batch.column(0), True):
-            word, _, pair, _ = ngrams(piece)
-            held[1].append(word)
-            held[2].append(pair)
-            if sum(map(len, held[2])) >= FLUSH:
-                yield from flush()
-    yield from flush()
-
-
-def _levels(key: tuple[pa.Scalar, ...], dealt: pa.Table) -> pa.Table:
-    """Adds up a bucket's counts of one kind: packed keys by level."""
-    kind = key[1].as_py()
-    keys = np.concatenate([_unpack(x.as_py()) for x in dealt.column("keys")])
-    counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in dealt.column("counts")]).astype(np.int64)
-    own, at = np.unique(keys, return_inverse=True)
-    total = np.bincount(at, counts, len(own)).astype(np.int64)
-    level = level_of(np.maximum(1, total))
-    level[total < (LEAST_PAIR if kind == 2 else 1)] = -1
-    found = [q for q in np.unique(level).tolist() if q >= 0]
-    return pa.table(
-        {
-            "bucket": pa.array([key[0].as_py()] * len(found), pa.int64()),
-            "kind": pa.array([kind] * len(found), pa.int32()),
-            "level": pa.array(found, pa.int32()),
-            "n": pa.array([int((level == q).sum()) for q in found], pa.int64()),
-            "keys": pa.array([_pack(own[level == q]) for q in found], pa.binary()),
-        }
-    )
+            held.append(ngrams(piece)[2])
+            if sum(map(len, held)) >= FLUSH:
+                yield flush()
+    if held:
+        yield flush()
+
 
+def _keyed_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Words with their counts, each word in one row only, as entries."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-def _start(keys: np.ndarray, level: int) -> np.ndarray:
-    """First probe for keys at a level."""
-    return mix64(keys + np.uint64(0xD6E8FEB86659FD93 * level & 0xFFFFFFFFFFFFFFFF), 31)
+    def flush() -> pa.RecordBatch:
+        keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(keys)
+        return _dealt(keys[order], counts[order], WORDS, buckets)
 
+    for batch in batches:
+        tokens, counts = batch.column(0).cast(pa.string()), batch.column(1).to_numpy()
+        at = 0
+        for piece in pieces(tokens, False):
+            keys = np.full(len(piece), _END, np.uint64)  # the end mark alone has no word
+            keys[owners_of(piece.counts)] = piece.hashes()
+            held.append((word_keys(keys), counts[at : at + len(piece)]))
+            at += len(piece)
+        if sum(len(k) for k, _ in held) >= FLUSH // 4:
+            yield flush()
+    if held:
+        yield flush()
 
-def _step(start: np.ndarray) -> np.ndarray:
-    """What lies between the probes that begin with ``start``."""
-    return mix64(start, 32) | np.uint64(1)
 
+def _spots(salted: np.ndarray, level: int, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a slice of ``size`` < 2**32 words, and the bits in it, of each key at a level."""
+    h = mix64(salted + np.uint64(0xD6E8FEB86659FD93 * level & 0xFFFFFFFFFFFFFFFF), 31)
+    mask = np.uint64(1) << (h & np.uint64(63))
+    for k in range(1, PROBES):
+        mask |= np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63))
+    return ((h >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64), mask
+
+
+def _salted(low: np.ndarray, kind: int) -> np.ndarray:
+    return (low & np.uint64((1 << 40) - 1)) * np.uint64(4) + np.uint64(kind)
+
+
+def filled(dealt: pa.Table) -> np.ndarray:
+    """The slice of one bucket, from all its entries."""
+    keys, levels = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for kind in (WORDS, WORD_PAIRS):
+        rows = dealt.filter(pa.array(np.asarray(dealt.column("kind")) == kind))
+        once = [_unpack(x.as_py()) for x in rows.column("once")]
+        more = [_unpack(x.as_py()) for x in rows.column("more")]
+        counts = [np.frombuffer(x.as_py(), "<u8").astype(np.int64) for x in rows.column("counts")]
+        if once:
+            own, at = np.unique(np.concatenate(once + more), return_inverse=True)
+            total = np.bincount(at, np.concatenate([np.ones(sum(map(len, once)), np.int64), *counts]), len(own))
+            keys.append(_salted(own, kind))
+            levels.append(level_of(np.maximum(1.0, total)))
+    salted, top = np.concatenate(keys), np.concatenate(levels)
+    size = -(-int((top + 1).sum()) * BITS_PER_KEY // 64)
+    bits = np.zeros(size, np.uint64)
+    for level in range(int(top.max(initial=-1)) + 1):
+        salted, top = salted[top >= level], top[top >= level]
+        at, mask = _spots(salted, level, np.uint64(size))
+        np.bitwise_or.at(bits, at, mask)
+    return bits
 
-def _place(a: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
-    """Bit within a slice of ``size`` < 2**32 bits."""
-    return ((a >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64)
+
+def asked(bits: np.ndarray, base: np.ndarray | int, size: np.ndarray | np.uint64, salted: np.ndarray) -> np.ndarray:
+    """Levels found, and one, of keys whose slices begin at ``base`` and have ``size`` words; 0 for none."""
+    out = np.zeros(len(salted), np.uint8)
+    alive = np.arange(len(salted))
+    if np.ndim(size):
+        alive = np.flatnonzero(size)
+        base, size, salted = base[alive], size[alive].astype(np.uint64), salted[alive]
+    elif not size:
+        return out
+    for level in range(MOST_LEVELS):
+        at, mask = _spots(salted, level, size)
+        ok = (bits[base + at] & mask) == mask
+        alive, salted = alive[ok], salted[ok]
+        if not len(alive):
+            break
+        if np.ndim(size):
+            base, size = base[ok], size[ok]
+        out[alive] = level + 1
+    return out
 
 
 @dataclass
 class Filter:
-    """Slices of bits, one a bucket; ``first`` holds where each begins, ``cuts`` the first bucket of each part, and their end."""
+    """Slices of 64-bit words, one a bucket; ``first`` holds where each begins, and the end."""
 
     first: np.ndarray
-    bits: bytes  #: of the only part, if there is one
-    lowest: dict[int, int]  #: level below which n-grams of a kind were left out
-    total: int  #: N
-    distinct: int  #: V
-    cuts: np.ndarray | None = None
-    part: Callable[[int], bytes] | None = None  #: bits of a part
-    _values: np.ndarray = field(default_factory=count_at)
+    bits: bytes
 
-    def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Quantised counts of n-grams, by asking level after level."""
+    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         buckets = len(self.first) - 1
-        out = np.zeros(len(keys), np.int64)
         if not buckets:
-            return self._values[out]
+            return np.zeros(len(keys), np.uint8)
         own = _bucket(keys, buckets)
-        if self.cuts is None:
-            self._ask(self.bits, 0, np.arange(len(keys)), keys, own, kind, out)
-            return self._values[out]
-        of = np.searchsorted(self.cuts, own, "right") - 1
-        for k in np.unique(of).tolist():
-            self._ask(self.part(k), self.first[self.cuts[k]], np.flatnonzero(of == k), keys, own, kind, out)
-        return self._values[out]
-
-    def _ask(self, data: bytes, begin: int, asked: np.ndarray, keys: np.ndarray, own: np.ndarray, kind: int, out: np.ndarray) -> None:
-        """Sets ``out`` at ``asked``, whose slices lie in ``data``, to the levels found and one."""
-        bits = np.frombuffer(data, np.uint8)
-        salted = (keys & np.uint64((1 << 40) - 1)) * np.uint64(4) + np.uint64(kind)
-        alive = asked[self.first[own[asked] + 1] > self.first[own[asked]]]
-        level = self.lowest.get(kind, 0)
-        while len(alive) and level < len(self._values) - 1:
-            base = self.first[own[alive]] - begin
-            size = (self.first[own[alive] + 1] - self.first[own[alive]]).astype(np.uint64)
-            a = _start(salted[alive], level)
-            b = None
-            for _ in range(PROBES):
-                at = base + _place(a, size)
-                ok = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) != 0
-                alive, base, size, a = alive[ok], base[ok], size[ok], a[ok]
-                b = _step(a) if b is None else b[ok]
-                a = a + b
-            level += 1
-            out[alive] = level
-
-    def scores(self, group: list[Piece]) -> list[np.ndarray]:
-        """log10 probability of each text of each piece."""
-        found = [ngrams(piece) for piece in group]
+        return asked(np.frombuffer(self.bits, np.uint64), self.first[own], self.first[own + 1] - self.first[own], _salted(keys, kind))
+
+
+@dataclass
+class Questions:
+    """Distinct n-grams of some pieces of text, in order, and where each token's are."""
+
+    group: list[Piece]
+    words: np.ndarray = field(init=False)
+    pairs: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        found = [ngrams(piece) for piece in self.group]
         word, context, pair = (np.concatenate([x[k] for x in found]) for k in range(3))
-        own, at = np.unique(np.concatenate([word, context]), return_inverse=True)
-        counts = self.counts(own, 1)
-        c_word, c_context = counts[at[: len(word)]], counts[at[len(word) :]]
-        p = (c_word + 0.5) / (self.total + 0.5 * (self.distinct + 1)) * (1 - PAIRS)
-        seen = np.flatnonzero(c_context > 0)
-        pairs, at = np.unique(pair[seen], return_inverse=True)
-        p[seen] += PAIRS * np.minimum(1.0, self.counts(pairs, 2)[at] / c_context[seen])
-        logs = np.split(np.log10(p), np.cumsum([len(x[0]) for x in found])[:-1])
-        return [np.bincount(x[3], log, len(piece)) for x, log, piece in zip(found, logs, group, strict=True)]
-
-
-def build_filter(training: DataFrame, total: int, distinct: int, bounded: bool = True) -> Filter | tuple[Filter, list[Broadcast]]:
-    """The filter over the texts (column text) of training documents with ``total`` tokens.
-
-    Unless ``bounded``, all n-grams are in, and the parts come beside the filter as broadcasts.
-    """
+        self.words, at = np.unique(np.concatenate([word, context]), return_inverse=True)
+        self._word, self._context = at[: len(word)].astype(np.int32), at[len(word) :].astype(np.int32)
+        self.pairs, at = np.unique(pair, return_inverse=True)
+        self._pair = at.astype(np.int32)
+        self._texts = [x[3] for x in found]
+
+    def scores(self, words: np.ndarray, pairs: np.ndarray, total: int, distinct: int) -> list[np.ndarray]:
+        """log10 probability of each text of each piece, from the levels of the words and pairs."""
+        counts = _VALUES[words]
+        p = ((counts + 0.5) / (total + 0.5 * (distinct + 1)) * (1 - PAIRS))[self._word]
+        context = counts[self._context]
+        p += PAIRS * np.minimum(1.0, np.where(context > 0, _VALUES[pairs][self._pair], 0.0) / np.maximum(context, 1.0))
+        logs = np.split(np.log10(p), np.cumsum([len(t) for t in self._texts])[:-1])
+        return [np.bincount(t, log, len(piece)) for t, log, piece in zip(self._texts, logs, self.group, strict=True)]
+
+
+def build_slices(training: DataFrame, counts: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """Rows (bucket, words, bits) of the filter over training texts (column text) and word counts (token, c); and the number of buckets."""
     spark = training.sparkSession
     ship(spark)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _entries(batches, buckets)
-
-    packed = training.select("text").mapInArrow(entries, _ENTRIES)
-    levels = hold(packed.groupBy("bucket", "kind").applyInArrow(_levels, "bucket long, kind int, level int, n long, keys binary"))
-    sums = {(r["kind"], r["level"]): r["n"] for r in levels.groupBy("kind", "level").agg(F.sum("n").alias("n")).collect()}
-    lowest = {}
-    for kind in (1, 2):
-        own = sorted((q, n) for (k, q), n in sums.items() if k == kind)
-        low = own[0][0] if own else 0
-        while bounded and sum(n * (q - low + 1) for q, n in own if q >= low) * BITS_PER_KEY > FILTER_BYTES * 4:
-            low += 1
-        lowest[kind] = low
-
-    def slices(key: tuple[pa.Scalar, ...], dealt: pa.Table) -> pa.Table:
-        keys, above, kinds = [], [], []
-        for k, q, kind in zip(dealt.column("keys"), dealt.column("level").to_pylist(), dealt.column("kind").to_pylist(), strict=True):
-            keys.append(_unpack(k.as_py()) * np.uint64(4) + np.uint64(kind))
-            above.append(np.full(len(keys[-1]), q))
-            kinds.append(np.full(len(keys[-1]), lowest[kind]))
-        salted, top, low = np.concatenate(keys), np.concatenate(above), np.concatenate(kinds)
-        size = -(-int(np.maximum(0, top - low + 1).sum()) * BITS_PER_KEY // 64) * 64
-        bits = np.zeros(size, np.uint8)
-        for level in range(int(low.min()), int(top.max()) + 1):
-            a = _start(salted[(low <= level) & (level <= top)], level)
-            b = _step(a)
-            for _ in range(PROBES):
-                bits[_place(a, np.uint64(size))] = 1
-                a = a + b
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    def filled(levels: DataFrame) -> dict[int, bytes]:
-        rows = levels.groupBy("bucket").applyInArrow(slices, "bucket long, bits binary").toLocalIterator()
-        return {row["bucket"]: bytes(row["bits"]) for row in rows}  # FILTER_BYTES in all, at most
-
-    sizes = np.zeros(buckets, np.int64)
-    if bounded:
-        parts = filled(levels)
-        for k, bits in parts.items():
-            sizes[k] = 8 * len(bits)
-        return Filter(np.concatenate(([0], np.cumsum(sizes))), b"".join(parts.get(b, b"") for b in range(buckets)), lowest, total, distinct)
-    low = F.when(F.col("kind") == 1, lowest[1]).otherwise(lowest[2])
-    for row in levels.groupBy("bucket").agg(F.sum(F.col("n") * (F.col("level") - low + 1)).alias("n")).collect():  # a row for each bucket
-        sizes[row["bucket"]] = -(-row["n"] * BITS_PER_KEY // 64) * 64
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    cuts = [0]
-    for k in range(buckets):
-        if k > cuts[-1] and first[k + 1] - first[cuts[-1]] > 8 * FILTER_BYTES:
-            cuts.append(k)
-    cuts.append(buckets)
-    shared = []
-    for low_, high in zip(cuts[:-1], cuts[1:], strict=True):
-        parts = filled(levels.filter(F.col("bucket").between(low_, high - 1)))
-        shared.append(spark.sparkContext.broadcast(b"".join(parts.get(k, b"") for k in range(low_, high))))
-        del parts
-    return Filter(first, b"", lowest, total, distinct, np.array(cuts)), shared
-
-
-def part_of(shared: list[Broadcast], k: int) -> bytes:
-    """Bits of a part; of several, none stays in memory."""
-    own = shared[k]
-    bits = own.value
-    if len(shared) > 1 and own._path is not None:
-        own.__dict__.pop("_value", None)  # read from its file again next time
-    return bits
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _counted_pairs(batches, buckets)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _keyed_words(batches, buckets)
+
+    def fill(key: tuple[pa.Scalar, ...], dealt: pa.Table) -> pa.Table:
+        bits = filled(dealt)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "words": pa.array([len(bits)], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    entries = training.select("text").mapInArrow(pairs, _ENTRIES).unionByName(counts.select("token", "c").mapInArrow(words, _ENTRIES))
+    return hold(entries.groupBy("bucket").applyInArrow(fill, "bucket long, words long, bits binary")), buckets
+
+
+def gathered(slices: DataFrame, buckets: int) -> Filter:
+    """All slices as one filter; ``FILTER_BYTES`` at most, as has been checked."""
+    parts = {row["bucket"]: bytes(row["bits"]) for row in slices.select("bucket", "bits").toLocalIterator()}
+    sizes = [len(parts.get(b, b"")) // 8 for b in range(buckets)]
+    return Filter(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), b"".join(parts.get(b, b"") for b in range(buckets)))
 
 
 def _grouped(pieces_: Iterator[Piece], size: int) -> Iterator[list[Piece]]:
@@ -320,6 +314,13 @@ def _grouped(pieces_: Iterator[Piece], size: int) -> Iterator[list[Piece]]:
         yield group
 
 
+def _tokens(piece: Piece) -> list[bytes]:
+    """All words of a piece, text after text."""
+    if len(piece) == 1:
+        return piece.data.tobytes().split()
+    return b" ".join(piece.data[a:b].tobytes() for a, b in zip(piece.offsets[:-1], piece.offsets[1:], strict=True)).split()
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter[bytes] = Counter()
 
@@ -330,7 +331,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for piece in pieces(batch.column(0), True):
-            held.update(piece.data.tobytes().split() if len(piece) == 1 else b" ".join(piece.data[a:b].tobytes() for a, b in zip(piece.offsets[:-1], piece.offsets[1:], strict=True)).split())
+            held.update(_tokens(piece))
             held[_END_TOKEN] += len(piece)
             if len(held) >= FLUSH // 4:
                 yield flush()
@@ -342,56 +343,94 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Common:
     """Exact counts of common words; the dictionary is made where it is used."""
 
-    tokens: list[bytes]
+    tokens: pa.Array
     counts: np.ndarray
+    total: int  #: N
+    distinct: int  #: V
     _index: dict[bytes, float] | None = None
 
-    def logs(self, total: int, distinct: int) -> dict[bytes, float]:
+    def logs(self) -> dict[bytes, float]:
         if self._index is None:
-            p = np.log10((self.counts + 0.5) / (total + 0.5 * (distinct + 1)))
-            self._index = dict(zip(self.tokens, p.tolist(), strict=True))
+            p = np.log10((self.counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
+            self._index = dict(zip(self.tokens.to_pylist(), p.tolist(), strict=True))
         return self._index
 
 
 _SCORED = "id {kind}, uid long, held_out boolean, token binary, n long, n_tokens long, n_known long, base double, score double"
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Filter, common: Common) -> Iterator[pa.RecordBatch]:
+def _sums(piece: Piece, scores: np.ndarray, batch: pa.RecordBatch, common: Common) -> pa.RecordBatch:
     """A row of sums for each document, and a row for each of its rarer words; the former's token has a space and so is no word."""
-    get = common.logs(model.total, model.distinct).get
+    logs = common.logs()
+    n, sizes, owner = len(piece), np.diff(piece.counts), owners_of(piece.counts)
+    words = _tokens(piece)
+    found = np.array(list(map(logs.get, words)), float)  # NaN where there is none
+    missing = np.flatnonzero(np.isnan(found))
+    rare = Counter(zip(owner[missing].tolist(), [words[i] for i in missing.tolist()], strict=True))
+    end = logs.get(_END_TOKEN)
+    if end is None:
+        rare.update((k, _END_TOKEN) for k in range(n))
+    base = np.bincount(owner, np.nan_to_num(found), n) + (end or 0.0)
+    known = sizes - np.bincount(owner[missing], minlength=n) + (end is not None)
+    none = len(rare)
+    at = pa.array(np.concatenate([np.arange(n), np.fromiter((k for k, _ in rare), np.int64, none)]) + piece.first)
+    uid = batch.column("uid").take(at)
+    names = [b" %d" % u for u in uid.slice(0, n).to_pylist()]
+    zero = np.zeros(none, np.int64)
+    return pa.record_batch(
+        {
+            "id": batch.column("id").take(at),
+            "uid": uid,
+            "held_out": batch.column("held_out").take(at),
+            "token": pa.array(names + [w for _, w in rare], pa.binary()),
+            "n": pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(rare.values(), np.int64, none)])),
+            "n_tokens": pa.array(np.concatenate([sizes + 1, zero])),
+            "n_known": pa.array(np.concatenate([known, zero])),
+            "base": pa.array(np.concatenate([base, zero])),
+            "score": pa.array(np.concatenate([scores, zero])),
+        }
+    )
+
+
+def _score(batches: Iterator[pa.RecordBatch], model: Filter, common: Common) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        uids = batch.column("uid").to_numpy()
-        groups = _grouped(pieces(batch.column("text"), True), GROUP if model.cuts is not None and len(model.cuts) > 2 else 1)
-        for piece, scores in ((piece, x) for group in groups for piece, x in zip(group, model.scores(group), strict=True)):
-            rows: list[int] = []
-            tokens: list[bytes] = []
-            n: list[int] = []
-            n_tokens: list[int] = []
-            known: list[int] = []
-            base: list[float] = []
-            score: list[float] = []
-            for k in range(len(piece)):
-                words = [*piece.words(k), _END_TOKEN]
-                found = list(map(get, words))
-                n_rare = found.count(None)
-                rare = Counter([w for w, x in zip(words, found, strict=True) if x is None] if n_rare else ())
-                row = piece.first + k
-                rows += [row] * (1 + len(rare))
-                tokens.append(b" %d" % uids[row])
-                tokens += rare
-                n.append(0)
-                n += rare.values()
-                n_tokens.append(len(words))
-                known.append(len(words) - n_rare)
-                base.append(math.fsum(filter(None, found)))  # logs are below 0
-                score.append(float(scores[k]))
-                for values, zero in ((n_tokens, 0), (known, 0), (base, 0.0), (score, 0.0)):
-                    values += [zero] * len(rare)
-            at = pa.array(rows)
-            yield pa.record_batch(
-                [batch.column("id").take(at), batch.column("uid").take(at), batch.column("held_out").take(at), pa.array(tokens, pa.binary()), pa.array(n), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(score)],
-                names=["id", "uid", "held_out", "token", "n", "n_tokens", "n_known", "base", "score"],
-            )
+        for group in _grouped(pieces(batch.column("text"), True), GROUP):
+            asking = Questions(group)
+            scores = asking.scores(model.levels(asking.words, WORDS), model.levels(asking.pairs, WORD_PAIRS), common.total, common.distinct)
+            for piece, own in zip(group, scores, strict=True):
+                yield _sums(piece, own, batch, common)
+
+
+def _routed(rows: DataFrame, slices: DataFrame, buckets: int, common: object, schema: str) -> DataFrame:
+    """Scores by a filter that stays where its slices are: questions of each chunk of texts, their answers, and the sums."""
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // CHUNK_BYTES))
+    chunked = rows.withColumn("chunk", F.pmod("uid", F.lit(chunks)))
+
+    def ask(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        asking = Questions(list(pieces(texts.column("text"), True)))
+        cells = [(b, kind, _pack(keys[i:j])) for kind, keys in ((WORDS, asking.words), (WORD_PAIRS, asking.pairs)) for b, i, j in _runs(_bucket(keys, buckets))]
+        bucket, kind, keys = zip(*cells, strict=True)
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(cells), pa.int64()), "kind": pa.array(kind, pa.int32()), "keys": pa.array(keys, pa.binary())})
+
+    def answer(questions: pa.Table, own: pa.Table) -> pa.Table:
+        bits = np.frombuffer(own.column("bits")[0].as_py(), np.uint64) if len(own) else np.empty(0, np.uint64)
+        levels = [asked(bits, 0, np.uint64(len(bits)), _salted(_unpack(keys.as_py()), kind)).tobytes() for kind, keys in zip(questions.column("kind").to_pylist(), questions.column("keys"), strict=True)]
+        return pa.table({"chunk": questions.column("chunk"), "bucket": questions.column("bucket"), "kind": questions.column("kind"), "levels": pa.array(levels, pa.binary())})
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("bucket")  # as the distinct n-grams are
+        kinds = np.asarray(answers.column("kind"))
+        levels = [np.frombuffer(b"".join(answers.filter(pa.array(kinds == kind)).column("levels").to_pylist()), np.uint8) for kind in (WORDS, WORD_PAIRS)]
+        asking = Questions(list(pieces(texts.column("text"), True)))
+        shared = common.value
+        batch = texts.combine_chunks().to_batches()[0]
+        scores = asking.scores(*levels, shared.total, shared.distinct)
+        return pa.Table.from_batches([_sums(piece, own, batch, shared) for piece, own in zip(asking.group, scores, strict=True)])
+
+    questions = chunked.groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, kind int, keys binary")
+    answers = questions.groupBy("bucket").cogroup(slices.select("bucket", "bits").groupBy("bucket")).applyInArrow(answer, "chunk long, bucket long, kind int, levels binary")
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,14 +449,18 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             break
         bound, taken = level, taken + n
     frequent = counts.filter(F.col("level") >= bound).select("token", "c").toArrow()  # COMMON rows at most
-    common = spark.sparkContext.broadcast(Common(frequent.column("token").to_pylist(), np.asarray(frequent.column("c")).astype(float)))
-    built, shared = build_filter(training, total, distinct, bounded=False)
-    model = spark.sparkContext.broadcast(built)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _score(batches, replace(model.value, part=lambda k: part_of(shared, k)), common.value)
-
-    scored = rows.mapInArrow(run, _SCORED.format(kind=dict(rows.dtypes)["id"]))
+    common = spark.sparkContext.broadcast(Common(frequent.column("token").combine_chunks(), np.asarray(frequent.column("c")).astype(float), total, distinct))
+    slices, buckets = build_slices(training, counts, total)
+    schema = _SCORED.format(kind=dict(rows.dtypes)["id"])
+    if 8 * (slices.agg(F.sum("words")).first()[0] or 0) <= FILTER_BYTES:
+        model = spark.sparkContext.broadcast(gathered(slices, buckets))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _score(batches, model.value, common.value)
+
+        scored = rows.mapInArrow(run, schema)
+    else:
+        scored = _routed(rows, slices, buckets, common, schema)
     rarer = counts.filter(F.col("level") < bound).select("token", "c")
     c = F.coalesce("c", F.lit(0))
     log = F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,14 +15,37 @@ def scored(docs) -> list:
     return sorted(map(tuple, op6.score_documents(docs, held_out).collect()), key=str)
 
 
-def test_scores_do_not_depend_on_the_size_of_a_part(spark, docs, monkeypatch: pytest.MonkeyPatch) -> None:
+@pytest.mark.parametrize("group", [1, 4])
+def test_scores_do_not_depend_on_the_way_of_the_filter(spark, docs, monkeypatch: pytest.MonkeyPatch, group: int) -> None:
+    """Broadcast as one, or asked where its slices are; whatever the buckets and chunks."""
     whole = scored(docs)
+    monkeypatch.setattr(op6, "GROUP", group)
     monkeypatch.setattr(op6, "FILTER_BYTES", 1024)
-    model, parts = op6.build_filter(docs.select("text"), 10_000, 300, bounded=False)
-    assert len(parts) > 1 and model.lowest == {1: 0, 2: op6.level_of(np.array([op6.LEAST_PAIR]))[0]}
-    assert sum(len(x.value) for x in parts) == model.first[-1] // 8
-    assert [r[:5] for r in scored(docs)] == [r[:5] for r in whole]
-    assert [r[6] for r in scored(docs)] == pytest.approx([r[6] for r in whole], rel=1e-9)
+    routed = scored(docs)
+    monkeypatch.setattr(op6, "CHUNK_BYTES", 5000)
+    monkeypatch.setattr(op6, "FLUSH", 1000)
+    chunked = scored(docs)
+    for got in (routed, chunked):
+        assert [r[:5] for r in got] == [r[:5] for r in whole]
+        assert [r[5:] for r in got] == [pytest.approx(r[5:], rel=1e-9) for r in whole]
+
+
+def test_every_count_comes_back_from_the_filter() -> None:
+    r = np.random.default_rng(0)
+    keys = np.unique(r.integers(0, (1 << 64) - 1, 20_000, dtype=np.uint64))
+    counts = np.where(r.random(len(keys)) < 0.5, 1, r.integers(1, 10_000, len(keys)))
+    dealt = op6._dealt(keys, counts, op6.WORD_PAIRS, 3)
+    for b in range(3):
+        own = op6._bucket(keys, 3) == b
+        part = pa.Table.from_batches([dealt]).filter(pa.array(np.asarray(dealt.column(0)) == b))
+        twice = pa.concat_tables([part, part])  # as from two tasks
+        for table, times in ((part, 1), (twice, 2)):
+            bits = op6.filled(table)
+            found = op6.asked(bits, 0, np.uint64(len(bits)), op6._salted(keys[own], op6.WORD_PAIRS))
+            want = op6.level_of(counts[own] * times) + 1
+            assert (found >= want).all() and (found == want).mean() > 0.99
+            other = op6.asked(bits, 0, np.uint64(len(bits)), op6._salted(keys[own], op6.WORDS))
+            assert (other == 0).mean() > 0.99
 
 
 def test_pairs_seen_once_are_in(spark) -> None:

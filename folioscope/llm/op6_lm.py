@@ -16,18 +16,17 @@ fills its own slice of the filter, 64-bit words in each of which an entry sets
 ``PROBES`` bits.  The filter grows with the n-grams.  As long as all slices
 together take ``FILTER_BYTES`` at most, they are broadcast.  A larger filter
 stays where it was made, a slice a task, and the questions go to it instead:
-the texts are dealt into chunks, each chunk hands in its distinct n-grams by
-bucket, and gets a byte a question back.  Both ways ask the same bits, so the
-scores are the same, and both do work in proportion to the texts.  Exact counts
-of the ``COMMON`` most frequent words at most are broadcast; all rarer words are
-looked up by a join.
+chunks of consecutive texts hand in their distinct n-grams by bucket, and get a
+level a question back.  Both ways ask the same bits, so the scores are the same,
+and both do work in proportion to the texts.  Exact counts of the ``COMMON`` most
+frequent words at most are broadcast; all rarer words are looked up by a join.
 
 Defined cases: null and empty texts are one end mark; a null id is not held out;
-repeated rows come out as often as they came in (and share a chunk, if alike in
-id and text); an empty table gives no rows; with nothing to learn from every
-word has count 0; other columns are not read.  Within a bucket of some
-``BUCKET`` n-grams 40 bits tell them apart, so one in 500,000 shares its count
-with another; a probe errs about three times in a thousand.
+repeated rows come out as often as they came in; an empty table gives no rows;
+with nothing to learn from every word has count 0; other columns are not read.
+Within a bucket of some
+``BUCKET`` n-grams 32 bits tell them apart, so one in 2,000 at most shares its
+count with another; a probe errs about three times in a thousand.
 """
 
 from __future__ import annotations
@@ -39,6 +38,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ FILTER_BYTES = 64 << 20  #: the filter is broadcast up to this size
 BITS_PER_KEY, PROBES = 16, 5
 FLUSH = 1 << 21  #: n-grams that a map task counts at a time
 BUCKET = 1 << 21  #: n-grams meant for a bucket
-CHUNK_BYTES = 4 << 20  #: text whose questions to a large filter are put together
+CHUNK_BYTES = 8 << 20  #: text whose questions to a large filter are put together
 GROUP = 4  #: pieces of text that are scored together
 MOST_LEVELS = 200
 WORDS, WORD_PAIRS = 1, 2
@@ -100,20 +101,35 @@ def ngrams(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return word, before, pair, text
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are in the order of the keys."""
-    return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+def placed(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys dealt in order into fewer than 2**32 buckets: the bucket's number above, the place in the bucket in the low 32 bits."""
+    low = np.uint64((1 << 32) - 1)
+    return (keys >> np.uint64(32)) * np.uint64(buckets) + ((keys & low) * np.uint64(buckets) >> np.uint64(32))
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """The low 40 bits of each key, byte by byte, which compresses well where keys are in order; the bucket is known from the others."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
+def _bucket(places: np.ndarray) -> np.ndarray:
+    return (places >> np.uint64(32)).astype(np.int64)
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte, compressed; their number comes first."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return len(values).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _loosened(data: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[4:], n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _pack(places: np.ndarray) -> bytes:
+    """Places in one bucket, in order, as differences."""
+    return _squeezed(np.diff(places.astype("<u4"), prepend=np.uint32(0)))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(5, -1).T
-    return out.view("<u8").ravel()
+    return np.cumsum(_loosened(data, np.uint32), dtype=np.uint64)
 
 
 def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -128,9 +144,10 @@ _ENTRIES = "bucket long, kind int, once binary, more binary, counts binary"
 def _dealt(keys: np.ndarray, counts: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
     """Distinct keys in order and their counts, packed by bucket; keys counted once need no number."""
     cells: list[tuple] = []
-    for b, i, j in _runs(_bucket(keys, buckets)):
-        k, c = keys[i:j], counts[i:j]
-        cells.append((b, kind, _pack(k[c == 1]), _pack(k[c > 1]), c[c > 1].astype("<u8").tobytes()))
+    places = placed(keys, buckets)
+    for b, i, j in _runs(_bucket(places)):
+        k, c = places[i:j], counts[i:j]
+        cells.append((b, kind, _pack(k[c == 1]), _pack(k[c > 1]), _squeezed(c[c > 1].astype("<u8"))))
     columns = list(zip(*cells, strict=True)) or [()] * 5
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "once", "more", "counts"])
 
@@ -186,8 +203,8 @@ def _spots(salted: np.ndarray, level: int, size: np.ndarray | np.uint64) -> tupl
     return ((h >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64), mask
 
 
-def _salted(low: np.ndarray, kind: int) -> np.ndarray:
-    return (low & np.uint64((1 << 40) - 1)) * np.uint64(4) + np.uint64(kind)
+def _salted(places: np.ndarray, kind: int) -> np.ndarray:
+    return (places & np.uint64((1 << 32) - 1)) * np.uint64(4) + np.uint64(kind)
 
 
 def filled(dealt: pa.Table) -> np.ndarray:
@@ -197,7 +214,7 @@ def filled(dealt: pa.Table) -> np.ndarray:
         rows = dealt.filter(pa.array(np.asarray(dealt.column("kind")) == kind))
         once = [_unpack(x.as_py()) for x in rows.column("once")]
         more = [_unpack(x.as_py()) for x in rows.column("more")]
-        counts = [np.frombuffer(x.as_py(), "<u8").astype(np.int64) for x in rows.column("counts")]
+        counts = [_loosened(x.as_py(), np.uint64).astype(np.int64) for x in rows.column("counts")]
         if once:
             own, at = np.unique(np.concatenate(once + more), return_inverse=True)
             total = np.bincount(at, np.concatenate([np.ones(sum(map(len, once)), np.int64), *counts]), len(own))
@@ -245,8 +262,9 @@ class Filter:
         buckets = len(self.first) - 1
         if not buckets:
             return np.zeros(len(keys), np.uint8)
-        own = _bucket(keys, buckets)
-        return asked(np.frombuffer(self.bits, np.uint64), self.first[own], self.first[own + 1] - self.first[own], _salted(keys, kind))
+        places = placed(keys, buckets)
+        own = _bucket(places)
+        return asked(np.frombuffer(self.bits, np.uint64), self.first[own], self.first[own + 1] - self.first[own], _salted(places, kind))
 
 
 @dataclass
@@ -401,36 +419,83 @@ def _score(batches: Iterator[pa.RecordBatch], model: Filter, common: Common) ->
                 yield _sums(piece, own, batch, common)
 
 
-def _routed(rows: DataFrame, slices: DataFrame, buckets: int, common: object, schema: str) -> DataFrame:
-    """Scores by a filter that stays where its slices are: questions of each chunk of texts, their answers, and the sums."""
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // CHUNK_BYTES))
-    chunked = rows.withColumn("chunk", F.pmod("uid", F.lit(chunks)))
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Consecutive rows of about ``CHUNK_BYTES`` of text, and a hash of the rows' uids."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def chunk() -> tuple[int, pa.RecordBatch]:
+        own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        uids = own.column("uid").to_numpy().astype(np.uint64)
+        number = np.bitwise_xor.reduce(mix64(uids + np.arange(len(uids), dtype=np.uint64), 51))
+        held.clear()
+        return int(number.view(np.int64)), own
+
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            done = int(ends[at - 1]) if at else 0
+            stop = int(np.searchsorted(ends, done + CHUNK_BYTES - size, "right"))
+            if stop <= at and held:  # the next text doesn't fit; where batches end makes no difference
+                size = 0
+                yield chunk()
+                continue
+            stop = max(stop, at + 1)
+            held.append(batch.slice(at, stop - at))
+            size += int(ends[stop - 1]) - done
+            at = stop
+    if held:
+        yield chunk()
+
+
+def _routed(rows: DataFrame, slices: DataFrame, buckets: int, common: Broadcast, schema: str) -> DataFrame:
+    """Scores by a filter that stays where its slices are: questions of each chunk of texts, their answers, and the sums.
+
+    A chunk's number is a hash of its rows, so a chunk that comes out otherwise
+    the second time finds no answers, which is an error.
+    """
 
-    def ask(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
-        asking = Questions(list(pieces(texts.column("text"), True)))
-        cells = [(b, kind, _pack(keys[i:j])) for kind, keys in ((WORDS, asking.words), (WORD_PAIRS, asking.pairs)) for b, i, j in _runs(_bucket(keys, buckets))]
-        bucket, kind, keys = zip(*cells, strict=True)
-        return pa.table({"bucket": pa.array(bucket, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(cells), pa.int64()), "kind": pa.array(kind, pa.int32()), "keys": pa.array(keys, pa.binary())})
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, texts in _chunks(batches):
+            asking = Questions(list(pieces(texts.column("text"), True)))
+            cells = []
+            for kind, keys in ((WORDS, asking.words), (WORD_PAIRS, asking.pairs)):
+                places = placed(keys, buckets)
+                cells += [(b, number, kind, _pack(places[i:j])) for b, i, j in _runs(_bucket(places))]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "chunk", "kind", "keys"])
 
     def answer(questions: pa.Table, own: pa.Table) -> pa.Table:
         bits = np.frombuffer(own.column("bits")[0].as_py(), np.uint64) if len(own) else np.empty(0, np.uint64)
-        levels = [asked(bits, 0, np.uint64(len(bits)), _salted(_unpack(keys.as_py()), kind)).tobytes() for kind, keys in zip(questions.column("kind").to_pylist(), questions.column("keys"), strict=True)]
+        levels = [_squeezed(asked(bits, 0, np.uint64(len(bits)), _salted(_unpack(keys.as_py()), kind))) for kind, keys in zip(questions.column("kind").to_pylist(), questions.column("keys"), strict=True)]
         return pa.table({"chunk": questions.column("chunk"), "bucket": questions.column("bucket"), "kind": questions.column("kind"), "levels": pa.array(levels, pa.binary())})
 
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("bucket")  # as the distinct n-grams are
-        kinds = np.asarray(answers.column("kind"))
-        levels = [np.frombuffer(b"".join(answers.filter(pa.array(kinds == kind)).column("levels").to_pylist()), np.uint8) for kind in (WORDS, WORD_PAIRS)]
-        asking = Questions(list(pieces(texts.column("text"), True)))
-        shared = common.value
-        batch = texts.combine_chunks().to_batches()[0]
-        scores = asking.scores(*levels, shared.total, shared.distinct)
-        return pa.Table.from_batches([_sums(piece, own, batch, shared) for piece, own in zip(asking.group, scores, strict=True)])
-
-    questions = chunked.groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, kind int, keys binary")
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, texts in _chunks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(texts)
+            yield pa.record_batch({"chunk": pa.array([number], pa.int64()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    def score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        shared, found = common.value, []
+        levels = {(kind, b): x for kind, b, x in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("levels"), strict=True)}
+        words, pairs = (np.concatenate([_loosened(levels[k].as_py(), np.uint8) for k in sorted(levels) if k[0] == kind] or [np.empty(0, np.uint8)]) for kind in (WORDS, WORD_PAIRS))
+        for texts in chunks.column("texts"):  # more than one, if rows alike fill whole chunks
+            batch = pa.ipc.open_stream(texts.as_py()).read_all().combine_chunks().to_batches()[0]
+            asking = Questions(list(pieces(batch.column("text"), True)))
+            if (len(asking.words), len(asking.pairs)) != (len(words), len(pairs)):
+                raise RuntimeError("the documents came in another order the second time; write them to a table first")
+            scores = asking.scores(words, pairs, shared.total, shared.distinct)
+            found += [_sums(piece, own, batch, shared) for piece, own in zip(asking.group, scores, strict=True)]
+        return pa.Table.from_batches(found, None if found else _none)
+
+    empty = rows.select("id", "uid", "held_out").limit(0).toArrow().schema
+    _none = pa.schema([*empty, ("token", pa.binary()), *[(c, pa.int64()) for c in ("n", "n_tokens", "n_known")], ("base", pa.float64()), ("score", pa.float64())])
+    questions = rows.select("uid", "text").mapInArrow(ask, "bucket long, chunk long, kind int, keys binary")
     answers = questions.groupBy("bucket").cogroup(slices.select("bucket", "bits").groupBy("bucket")).applyInArrow(answer, "chunk long, bucket long, kind int, levels binary")
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
+    chunks = rows.select("id", "uid", "held_out", "text").mapInArrow(packed, "chunk long, texts binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

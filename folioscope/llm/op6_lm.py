@@ -54,7 +54,7 @@ FILTER_BYTES = 64 << 20  #: the filter is broadcast up to this size
 BITS_PER_KEY, PROBES = 16, 5
 FLUSH = 1 << 21  #: n-grams that a map task counts at a time
 BUCKET = 1 << 21  #: n-grams meant for a bucket
-CHUNK_BYTES = 8 << 20  #: text whose questions to a large filter are put together
+CHUNK_BYTES = 6 << 20  #: text whose questions to a large filter are put together
 GROUP = 4  #: pieces of text that are scored together
 MOST_LEVELS = 200
 WORDS, WORD_PAIRS = 1, 2
@@ -82,23 +82,17 @@ def word_keys(hashes: np.ndarray) -> np.ndarray:
     return mix64(hashes, 23)
 
 
-def ngrams(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of each token, of its context, and of the pair; and the text of each token.  Every text ends in an end mark."""
+def ngrams(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each token and of its pair with the one before, and how many tokens each text has.  Every text ends in an end mark."""
     owner = owners_of(piece.counts)
     n = len(owner) + len(piece)
     tokens = np.full(n, _END, np.uint64)
     tokens[np.arange(len(owner)) + owner] = piece.hashes()
-    text = np.repeat(np.arange(len(piece)), np.diff(piece.counts) + 1)
-    begins = piece.counts[:-1] + np.arange(len(piece))
     context = np.empty(n, np.uint64)
     context[1:] = tokens[:-1]
-    context[begins] = _BEGIN
+    context[piece.counts[:-1] + np.arange(len(piece))] = _BEGIN
     pair = mix64(context * np.uint64(3) + mix64(tokens, 21), 22)
-    word = word_keys(tokens)
-    before = np.empty(n, np.uint64)
-    before[1:] = word[:-1]
-    before[begins] = word_keys(np.full(1, _END))[0]
-    return word, before, pair, text
+    return word_keys(tokens), pair, np.diff(piece.counts) + 1
 
 
 def placed(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -163,7 +157,7 @@ def _counted_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
 
     for batch in batches:
         for piece in pieces(batch.column(0), True):
-            held.append(ngrams(piece)[2])
+            held.append(ngrams(piece)[1])
             if sum(map(len, held)) >= FLUSH:
                 yield flush()
     if held:
@@ -274,15 +268,20 @@ class Questions:
     group: list[Piece]
     words: np.ndarray = field(init=False)
     pairs: np.ndarray = field(init=False)
+    lengths: np.ndarray = field(init=False)  #: tokens of each text
 
     def __post_init__(self) -> None:
-        found = [ngrams(piece) for piece in self.group]
-        word, context, pair = (np.concatenate([x[k] for x in found]) for k in range(3))
-        self.words, at = np.unique(np.concatenate([word, context]), return_inverse=True)
-        self._word, self._context = at[: len(word)].astype(np.int32), at[len(word) :].astype(np.int32)
-        self.pairs, at = np.unique(pair, return_inverse=True)
+        word, pair, lengths = zip(*map(ngrams, self.group), strict=True)
+        self.lengths = np.concatenate(lengths)
+        self.words, at = np.unique(np.concatenate(word), return_inverse=True)
+        self._word = at.astype(np.int32)
+        self._context = np.empty_like(self._word)
+        self._context[1:] = self._word[:-1]
+        # A text begins as if after an end mark; each text has one.
+        self._context[np.cumsum(self.lengths) - self.lengths] = np.searchsorted(self.words, word_keys(np.full(1, _END))[0])
+        del word
+        self.pairs, at = np.unique(np.concatenate(pair), return_inverse=True)
         self._pair = at.astype(np.int32)
-        self._texts = [x[3] for x in found]
 
     def scores(self, words: np.ndarray, pairs: np.ndarray, total: int, distinct: int) -> list[np.ndarray]:
         """log10 probability of each text of each piece, from the levels of the words and pairs."""
@@ -290,8 +289,8 @@ class Questions:
         p = ((counts + 0.5) / (total + 0.5 * (distinct + 1)) * (1 - PAIRS))[self._word]
         context = counts[self._context]
         p += PAIRS * np.minimum(1.0, np.where(context > 0, _VALUES[pairs][self._pair], 0.0) / np.maximum(context, 1.0))
-        logs = np.split(np.log10(p), np.cumsum([len(t) for t in self._texts])[:-1])
-        return [np.bincount(t, log, len(piece)) for t, log, piece in zip(self._texts, logs, self.group, strict=True)]
+        sums = np.add.reduceat(np.log10(p), np.cumsum(self.lengths) - self.lengths)
+        return np.split(sums, np.cumsum([len(piece) for piece in self.group])[:-1])
 
 
 def build_slices(training: DataFrame, counts: DataFrame, total: int) -> tuple[DataFrame, int]:

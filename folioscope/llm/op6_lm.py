@@ -1,39 +1,38 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Training documents give exact counts of words (with one end mark a document)
-and counts of word pairs.  The base score is the sum of smoothed log10 word
-probabilities from the exact counts.  The model's counts live in a Bloom filter
-instead: an n-gram with count c is entered under the levels 0, 1, ...,
-floor(log(c) / log(STEP)); asking for one level after the other until one is
+and counts of word pairs, in one pass.  The base score is the sum of smoothed
+log10 word probabilities from the exact counts.  The model's counts live in a
+Bloom filter instead: an n-gram with count c is entered under the levels 0, 1,
+..., floor(log(c) / log(STEP)); asking for one level after the other until one is
 missing gives the quantised count back.  Every counted word and pair is in,
-pairs from count 1.  The model's probability of a word mixes the pair's share in its
-context with the word's smoothed share::
+pairs from count 1.  The model's probability of a word mixes the pair's share in
+its context with the word's smoothed share::
 
     (1 - PAIRS) * (c(w) + 0.5) / (N + 0.5 * (V + 1)) + PAIRS * min(1, c(v w) / c(v))
 
-N-grams travel as packed hashes in buckets of bounded size, and each bucket
-fills its own slice of the filter, 64-bit words in each of which an entry sets
-``PROBES`` bits.  The filter grows with the n-grams.  As long as all slices
-together take ``FILTER_BYTES`` at most, they are broadcast.  A larger filter
-stays where it was made, a slice a task, and the questions go to it instead:
-chunks of consecutive texts hand in their distinct n-grams by bucket, and get a
-level a question back.  Both ways ask the same bits, so the scores are the same,
-and both do work in proportion to the texts.  Exact counts of the ``COMMON`` most
-frequent words at most are broadcast; all rarer words are looked up by a join.
+N-grams travel compressed in buckets of bounded size, and each bucket fills its
+own slice of the filter, 64-bit words in each of which an entry sets ``PROBES``
+bits; beside it lie the bucket's words with their exact counts.  The slices grow
+with the n-grams.  As long as all of them take ``FILTER_BYTES`` at most, they are
+broadcast.  Larger ones stay where they were made, and the questions go to them
+instead: chunks of consecutive texts hand in their distinct words and pairs by
+bucket, and get levels and counts back.  Both ways ask the same bits, so the
+scores are the same, and both do work in proportion to the texts.
 
 Defined cases: null and empty texts are one end mark; a null id is not held out;
 repeated rows come out as often as they came in; an empty table gives no rows;
 with nothing to learn from every word has count 0; other columns are not read.
-Within a bucket of some
-``BUCKET`` n-grams 32 bits tell them apart, so one in 2,000 at most shares its
-count with another; a probe errs about three times in a thousand.
+Words are told apart by 64-bit hashes within a chunk, by themselves in a bucket.
+Of the n-grams of a bucket, some ``BUCKET``, one in 2,000 at most shares its
+filter entry with another; a probe errs about three times in a thousand.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -49,13 +48,12 @@ from folioscope.shipping import ship
 
 STEP = 1.5
 PAIRS = 0.05
-COMMON = 250_000
-FILTER_BYTES = 64 << 20  #: the filter is broadcast up to this size
+FILTER_BYTES = 10 << 20  #: slices are broadcast up to this size, which is what Spark itself broadcasts
 BITS_PER_KEY, PROBES = 16, 5
-FLUSH = 1 << 21  #: n-grams that a map task counts at a time
-BUCKET = 1 << 21  #: n-grams meant for a bucket
-CHUNK_BYTES = 6 << 20  #: text whose questions to a large filter are put together
-GROUP = 4  #: pieces of text that are scored together
+FLUSH = 1 << 21  #: tokens that a map task counts at a time
+BUCKET = 1 << 21  #: tokens meant for a bucket
+CHUNK_BYTES = 6 << 20  #: text whose questions to the slices are put together
+GROUP = 4  #: pieces of text that are scored together by broadcast slices
 MOST_LEVELS = 200
 WORDS, WORD_PAIRS = 1, 2
 _BEGIN, _END = np.uint64(0x51ED270B9F4A7C15), np.uint64(0xA24BAED4963EE407)
@@ -82,6 +80,26 @@ def word_keys(hashes: np.ndarray) -> np.ndarray:
     return mix64(hashes, 23)
 
 
+_END_KEY = word_keys(np.full(1, _END))[0]
+
+
+def keys_of(tokens: list[bytes]) -> np.ndarray:
+    """Keys of distinct words; the empty one is the end mark."""
+    keys = [np.empty(0, np.uint64)]
+    for piece in pieces(pa.array(tokens, pa.binary()).cast(pa.string()), False):
+        own = np.full(len(piece), _END, np.uint64)  # the end mark alone has no word
+        own[owners_of(piece.counts)] = piece.hashes()
+        keys.append(word_keys(own))
+    return np.concatenate(keys)
+
+
+def _tokens(piece: Piece) -> list[bytes]:
+    """All words of a piece, text after text."""
+    if len(piece) == 1:
+        return piece.data.tobytes().split()
+    return b" ".join(piece.data[a:b].tobytes() for a, b in zip(piece.offsets[:-1], piece.offsets[1:], strict=True)).split()
+
+
 def ngrams(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of each token and of its pair with the one before, and how many tokens each text has.  Every text ends in an end mark."""
     owner = owners_of(piece.counts)
@@ -111,6 +129,16 @@ def _squeezed(values: np.ndarray) -> bytes:
     return len(values).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
+def _joined(tokens: list[bytes]) -> bytes:
+    """Words, which have no spaces, compressed; their size comes first."""
+    data = b" ".join(tokens)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _parted(data: bytes) -> list[bytes]:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b" ")
+
+
 def _loosened(data: bytes, kind: type) -> np.ndarray:
     n, size = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(data[4:], n * size, codec="zstd", asbytes=True), np.uint8)
@@ -132,60 +160,55 @@ def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     return zip(bucket[starts].tolist(), starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=True)
 
 
-_ENTRIES = "bucket long, kind int, once binary, more binary, counts binary"
+_ENTRIES = "bucket long, kind int, keys binary, more binary, counts binary"
 
 
-def _dealt(keys: np.ndarray, counts: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
-    """Distinct keys in order and their counts, packed by bucket; keys counted once need no number."""
-    cells: list[tuple] = []
-    places = placed(keys, buckets)
+def _cells(cells: list[tuple]) -> pa.RecordBatch:
+    """Rows (bucket, kind, keys, more, counts) of packed n-grams."""
+    columns = list(zip(*cells, strict=True)) or [()] * 5
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "keys", "more", "counts"])
+
+
+def pair_cells(keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[tuple]:
+    """Distinct pairs in order and their counts; those counted once need no number."""
+    places, cells = placed(keys, buckets), []
     for b, i, j in _runs(_bucket(places)):
         k, c = places[i:j], counts[i:j]
-        cells.append((b, kind, _pack(k[c == 1]), _pack(k[c > 1]), _squeezed(c[c > 1].astype("<u8"))))
-    columns = list(zip(*cells, strict=True)) or [()] * 5
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "once", "more", "counts"])
+        cells.append((b, WORD_PAIRS, _pack(k[c == 1]), _pack(k[c > 1]), _squeezed(c[c > 1].astype("<u8"))))
+    return cells
+
 
+def word_cells(counts: dict[bytes, int], buckets: int) -> list[tuple]:
+    """Words with their counts."""
+    tokens = list(counts)
+    bucket = _bucket(placed(keys_of(tokens), buckets))
+    order = np.argsort(bucket, kind="stable")
+    tokens = [tokens[i] for i in order.tolist()]
+    numbers = np.fromiter(counts.values(), np.uint64, len(counts))[order]
+    return [(b, WORDS, _joined(tokens[i:j]), b"", _squeezed(numbers[i:j])) for b, i, j in _runs(bucket[order])]
 
-def _counted_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's word pairs."""
+
+def _counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's words and word pairs."""
     held: list[np.ndarray] = []
+    words: Counter[bytes] = Counter()
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
+        yield _cells(word_cells(words, buckets))
+        words.clear()
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        return _dealt(keys, counts, WORD_PAIRS, buckets)
+        yield _cells(pair_cells(keys, counts, buckets))
 
     for batch in batches:
         for piece in pieces(batch.column(0), True):
             held.append(ngrams(piece)[1])
+            words.update(_tokens(piece))
+            words[_END_TOKEN] += len(piece)
             if sum(map(len, held)) >= FLUSH:
-                yield flush()
+                yield from flush()
     if held:
-        yield flush()
-
-
-def _keyed_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Words with their counts, each word in one row only, as entries."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def flush() -> pa.RecordBatch:
-        keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.argsort(keys)
-        return _dealt(keys[order], counts[order], WORDS, buckets)
-
-    for batch in batches:
-        tokens, counts = batch.column(0).cast(pa.string()), batch.column(1).to_numpy()
-        at = 0
-        for piece in pieces(tokens, False):
-            keys = np.full(len(piece), _END, np.uint64)  # the end mark alone has no word
-            keys[owners_of(piece.counts)] = piece.hashes()
-            held.append((word_keys(keys), counts[at : at + len(piece)]))
-            at += len(piece)
-        if sum(len(k) for k, _ in held) >= FLUSH // 4:
-            yield flush()
-    if held:
-        yield flush()
+        yield from flush()
 
 
 def _spots(salted: np.ndarray, level: int, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -201,19 +224,27 @@ def _salted(places: np.ndarray, kind: int) -> np.ndarray:
     return (places & np.uint64((1 << 32) - 1)) * np.uint64(4) + np.uint64(kind)
 
 
-def filled(dealt: pa.Table) -> np.ndarray:
-    """The slice of one bucket, from all its entries."""
-    keys, levels = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for kind in (WORDS, WORD_PAIRS):
-        rows = dealt.filter(pa.array(np.asarray(dealt.column("kind")) == kind))
-        once = [_unpack(x.as_py()) for x in rows.column("once")]
-        more = [_unpack(x.as_py()) for x in rows.column("more")]
-        counts = [_loosened(x.as_py(), np.uint64).astype(np.int64) for x in rows.column("counts")]
-        if once:
-            own, at = np.unique(np.concatenate(once + more), return_inverse=True)
-            total = np.bincount(at, np.concatenate([np.ones(sum(map(len, once)), np.int64), *counts]), len(own))
-            keys.append(_salted(own, kind))
-            levels.append(level_of(np.maximum(1.0, total)))
+def merged_words(rows: pa.Table) -> dict[bytes, int]:
+    """Counts of the words of one bucket, from its word cells."""
+    words: Counter[bytes] = Counter()
+    for tokens, counts in zip(rows.column("keys"), rows.column("counts"), strict=True):
+        for token, c in zip(_parted(tokens.as_py()), _loosened(counts.as_py(), np.uint64).tolist(), strict=True):
+            words[token] += c
+    return words
+
+
+def filled(words: dict[bytes, int], pairs: pa.Table, buckets: int) -> np.ndarray:
+    """The filter slice of one bucket, from its words and its pair cells."""
+    keys = [_salted(placed(keys_of(list(words)), buckets), WORDS)]
+    levels = [level_of(np.fromiter(words.values(), float, len(words)))]
+    once = [_unpack(x.as_py()) for x in pairs.column("keys")]
+    more = [_unpack(x.as_py()) for x in pairs.column("more")]
+    if once:
+        counts = [_loosened(x.as_py(), np.uint64).astype(np.int64) for x in pairs.column("counts")]
+        own, at = np.unique(np.concatenate(once + more), return_inverse=True)
+        total = np.bincount(at, np.concatenate([np.ones(sum(map(len, once)), np.int64), *counts]), len(own))
+        keys.append(_salted(own, WORD_PAIRS))
+        levels.append(level_of(total))
     salted, top = np.concatenate(keys), np.concatenate(levels)
     size = -(-int((top + 1).sum()) * BITS_PER_KEY // 64)
     bits = np.zeros(size, np.uint64)
@@ -246,11 +277,14 @@ def asked(bits: np.ndarray, base: np.ndarray | int, size: np.ndarray | np.uint64
 
 
 @dataclass
-class Filter:
-    """Slices of 64-bit words, one a bucket; ``first`` holds where each begins, and the end."""
+class Model:
+    """All slices as one; ``first`` holds where each begins, and the end."""
 
     first: np.ndarray
-    bits: bytes
+    bits: np.ndarray
+    words: dict[bytes, int]
+    total: int  #: N
+    distinct: int  #: V
 
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         buckets = len(self.first) - 1
@@ -258,12 +292,12 @@ class Filter:
             return np.zeros(len(keys), np.uint8)
         places = placed(keys, buckets)
         own = _bucket(places)
-        return asked(np.frombuffer(self.bits, np.uint64), self.first[own], self.first[own + 1] - self.first[own], _salted(places, kind))
+        return asked(self.bits, self.first[own], self.first[own + 1] - self.first[own], _salted(places, kind))
 
 
 @dataclass
 class Questions:
-    """Distinct n-grams of some pieces of text, in order, and where each token's are."""
+    """Distinct words and pairs of some pieces of text, in order, and where each token's are."""
 
     group: list[Piece]
     words: np.ndarray = field(init=False)
@@ -273,51 +307,70 @@ class Questions:
     def __post_init__(self) -> None:
         word, pair, lengths = zip(*map(ngrams, self.group), strict=True)
         self.lengths = np.concatenate(lengths)
-        self.words, at = np.unique(np.concatenate(word), return_inverse=True)
+        self.words, self._at, at = np.unique(np.concatenate(word), return_index=True, return_inverse=True)
         self._word = at.astype(np.int32)
         self._context = np.empty_like(self._word)
         self._context[1:] = self._word[:-1]
         # A text begins as if after an end mark; each text has one.
-        self._context[np.cumsum(self.lengths) - self.lengths] = np.searchsorted(self.words, word_keys(np.full(1, _END))[0])
+        self._context[np.cumsum(self.lengths) - self.lengths] = np.searchsorted(self.words, _END_KEY)
         del word
         self.pairs, at = np.unique(np.concatenate(pair), return_inverse=True)
         self._pair = at.astype(np.int32)
 
-    def scores(self, words: np.ndarray, pairs: np.ndarray, total: int, distinct: int) -> list[np.ndarray]:
-        """log10 probability of each text of each piece, from the levels of the words and pairs."""
-        counts = _VALUES[words]
-        p = ((counts + 0.5) / (total + 0.5 * (distinct + 1)) * (1 - PAIRS))[self._word]
-        context = counts[self._context]
+    def tokens(self) -> list[bytes]:
+        """The distinct words themselves."""
+        every = [w for piece in self.group for w in _tokens(piece)]
+        marks = np.searchsorted(np.cumsum(self.lengths), self._at, "right")  # end marks before each
+        at = np.where(self.words == _END_KEY, -1, self._at - marks)
+        return [every[i] if i >= 0 else _END_TOKEN for i in at.tolist()]
+
+    def sums(self, counts: np.ndarray, words: np.ndarray, pairs: np.ndarray, total: int, distinct: int) -> pa.RecordBatch:
+        """Numbers of tokens and of known ones, base score and score of each text, from exact counts and levels."""
+        every = total + 0.5 * (distinct + 1)
+        near = _VALUES[words]
+        p = ((near + 0.5) / every * (1 - PAIRS))[self._word]
+        context = near[self._context]
         p += PAIRS * np.minimum(1.0, np.where(context > 0, _VALUES[pairs][self._pair], 0.0) / np.maximum(context, 1.0))
-        sums = np.add.reduceat(np.log10(p), np.cumsum(self.lengths) - self.lengths)
-        return np.split(sums, np.cumsum([len(piece) for piece in self.group])[:-1])
+        at = np.cumsum(self.lengths) - self.lengths
+        known = np.add.reduceat((counts > 0).astype(np.int64)[self._word], at)
+        base = np.add.reduceat(np.log10((counts + 0.5) / every)[self._word], at)
+        return pa.record_batch([pa.array(x) for x in (self.lengths, known, base, np.add.reduceat(np.log10(p), at))], names=["n_tokens", "n_known", "base", "score"])
 
 
-def build_slices(training: DataFrame, counts: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """Rows (bucket, words, bits) of the filter over training texts (column text) and word counts (token, c); and the number of buckets."""
-    spark = training.sparkSession
-    ship(spark)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted_pairs(batches, buckets)
+def build_slices(training: DataFrame, buckets: int) -> DataFrame:
+    """Rows (bucket, size, bits, tokens, counts, n, v) of texts (column text); n tokens are v words in the bucket."""
+    ship(training.sparkSession)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _keyed_words(batches, buckets)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _counted(batches, buckets)
 
     def fill(key: tuple[pa.Scalar, ...], dealt: pa.Table) -> pa.Table:
-        bits = filled(dealt)
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "words": pa.array([len(bits)], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+        kinds = np.asarray(dealt.column("kind"))
+        words = merged_words(dealt.filter(pa.array(kinds == WORDS)))
+        bits = filled(words, dealt.filter(pa.array(kinds == WORD_PAIRS)), buckets)
+        tokens, counts = _joined(list(words)), _squeezed(np.fromiter(words.values(), np.uint64, len(words)))
+        cells = (key[0].as_py(), bits.nbytes + len(tokens) + len(counts), bits.tobytes(), tokens, counts, sum(words.values()), len(words))
+        return pa.table([pa.array([x], t) for x, t in zip(cells, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["bucket", "size", "bits", "tokens", "counts", "n", "v"])
+
+    entries = training.select("text").mapInArrow(count, _ENTRIES)
+    return hold(entries.groupBy("bucket").applyInArrow(fill, "bucket long, size long, bits binary, tokens binary, counts binary, n long, v long"))
+
 
-    entries = training.select("text").mapInArrow(pairs, _ENTRIES).unionByName(counts.select("token", "c").mapInArrow(words, _ENTRIES))
-    return hold(entries.groupBy("bucket").applyInArrow(fill, "bucket long, words long, bits binary")), buckets
+def _dictionary(tokens: bytes, counts: bytes) -> dict[bytes, int]:
+    numbers = _loosened(counts, np.uint64).tolist()
+    return dict(zip(_parted(tokens), numbers, strict=True)) if numbers else {}
 
 
-def gathered(slices: DataFrame, buckets: int) -> Filter:
-    """All slices as one filter; ``FILTER_BYTES`` at most, as has been checked."""
-    parts = {row["bucket"]: bytes(row["bits"]) for row in slices.select("bucket", "bits").toLocalIterator()}
+def gathered(slices: list[tuple[int, bytes, bytes, bytes]], buckets: int, total: int, distinct: int) -> Model:
+    """All slices (bucket, bits, tokens, counts), which take ``FILTER_BYTES`` at most, as one."""
+    parts: dict[int, bytes] = {}
+    words: dict[bytes, int] = {}
+    for bucket, bits, tokens, counts in slices:
+        parts[bucket] = bits
+        words |= _dictionary(tokens, counts)
     sizes = [len(parts.get(b, b"")) // 8 for b in range(buckets)]
-    return Filter(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), b"".join(parts.get(b, b"") for b in range(buckets)))
+    bits = np.frombuffer(b"".join(parts.get(b, b"") for b in range(buckets)), np.uint64)
+    return Model(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), bits, words, total, distinct)
 
 
 def _grouped(pieces_: Iterator[Piece], size: int) -> Iterator[list[Piece]]:
@@ -331,91 +384,18 @@ def _grouped(pieces_: Iterator[Piece], size: int) -> Iterator[list[Piece]]:
         yield group
 
 
-def _tokens(piece: Piece) -> list[bytes]:
-    """All words of a piece, text after text."""
-    if len(piece) == 1:
-        return piece.data.tobytes().split()
-    return b" ".join(piece.data[a:b].tobytes() for a, b in zip(piece.offsets[:-1], piece.offsets[1:], strict=True)).split()
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.record_batch({"token": pa.array(list(held), pa.binary()), "c": pa.array(list(held.values()), pa.int64())})
-        held.clear()
-        return out
-
-    for batch in batches:
-        for piece in pieces(batch.column(0), True):
-            held.update(_tokens(piece))
-            held[_END_TOKEN] += len(piece)
-            if len(held) >= FLUSH // 4:
-                yield flush()
-    if held:
-        yield flush()
-
+def _beside(batch: pa.RecordBatch, sums: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows' own columns and their sums."""
+    return pa.record_batch([batch.column("id"), batch.column("held_out"), *sums.columns], names=["id", "held_out", *sums.schema.names])
 
-@dataclass
-class Common:
-    """Exact counts of common words; the dictionary is made where it is used."""
 
-    tokens: pa.Array
-    counts: np.ndarray
-    total: int  #: N
-    distinct: int  #: V
-    _index: dict[bytes, float] | None = None
-
-    def logs(self) -> dict[bytes, float]:
-        if self._index is None:
-            p = np.log10((self.counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
-            self._index = dict(zip(self.tokens.to_pylist(), p.tolist(), strict=True))
-        return self._index
-
-
-_SCORED = "id {kind}, uid long, held_out boolean, token binary, n long, n_tokens long, n_known long, base double, score double"
-
-
-def _sums(piece: Piece, scores: np.ndarray, batch: pa.RecordBatch, common: Common) -> pa.RecordBatch:
-    """A row of sums for each document, and a row for each of its rarer words; the former's token has a space and so is no word."""
-    logs = common.logs()
-    n, sizes, owner = len(piece), np.diff(piece.counts), owners_of(piece.counts)
-    words = _tokens(piece)
-    found = np.array(list(map(logs.get, words)), float)  # NaN where there is none
-    missing = np.flatnonzero(np.isnan(found))
-    rare = Counter(zip(owner[missing].tolist(), [words[i] for i in missing.tolist()], strict=True))
-    end = logs.get(_END_TOKEN)
-    if end is None:
-        rare.update((k, _END_TOKEN) for k in range(n))
-    base = np.bincount(owner, np.nan_to_num(found), n) + (end or 0.0)
-    known = sizes - np.bincount(owner[missing], minlength=n) + (end is not None)
-    none = len(rare)
-    at = pa.array(np.concatenate([np.arange(n), np.fromiter((k for k, _ in rare), np.int64, none)]) + piece.first)
-    uid = batch.column("uid").take(at)
-    names = [b" %d" % u for u in uid.slice(0, n).to_pylist()]
-    zero = np.zeros(none, np.int64)
-    return pa.record_batch(
-        {
-            "id": batch.column("id").take(at),
-            "uid": uid,
-            "held_out": batch.column("held_out").take(at),
-            "token": pa.array(names + [w for _, w in rare], pa.binary()),
-            "n": pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(rare.values(), np.int64, none)])),
-            "n_tokens": pa.array(np.concatenate([sizes + 1, zero])),
-            "n_known": pa.array(np.concatenate([known, zero])),
-            "base": pa.array(np.concatenate([base, zero])),
-            "score": pa.array(np.concatenate([scores, zero])),
-        }
-    )
-
-
-def _score(batches: Iterator[pa.RecordBatch], model: Filter, common: Common) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for group in _grouped(pieces(batch.column("text"), True), GROUP):
             asking = Questions(group)
-            scores = asking.scores(model.levels(asking.words, WORDS), model.levels(asking.pairs, WORD_PAIRS), common.total, common.distinct)
-            for piece, own in zip(group, scores, strict=True):
-                yield _sums(piece, own, batch, common)
+            counts = np.array([model.words.get(t, 0) for t in asking.tokens()], np.int64)
+            sums = asking.sums(counts, model.levels(asking.words, WORDS), model.levels(asking.pairs, WORD_PAIRS), model.total, model.distinct)
+            yield _beside(batch.slice(group[0].first, len(sums)), sums)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -448,8 +428,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
         yield chunk()
 
 
-def _routed(rows: DataFrame, slices: DataFrame, buckets: int, common: Broadcast, schema: str) -> DataFrame:
-    """Scores by a filter that stays where its slices are: questions of each chunk of texts, their answers, and the sums.
+def _routed(rows: DataFrame, slices: DataFrame, buckets: int, total: int, distinct: int, schema: str) -> DataFrame:
+    """Scores by slices that stay where they are: questions of each chunk of texts, their answers, and the sums.
 
     A chunk's number is a hash of its rows, so a chunk that comes out otherwise
     the second time finds no answers, which is an error.
@@ -458,16 +438,27 @@ def _routed(rows: DataFrame, slices: DataFrame, buckets: int, common: Broadcast,
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, texts in _chunks(batches):
             asking = Questions(list(pieces(texts.column("text"), True)))
-            cells = []
-            for kind, keys in ((WORDS, asking.words), (WORD_PAIRS, asking.pairs)):
-                places = placed(keys, buckets)
-                cells += [(b, number, kind, _pack(places[i:j])) for b, i, j in _runs(_bucket(places))]
+            tokens, pairs = asking.tokens(), placed(asking.pairs, buckets)
+            cells = [(b, number, WORDS, _joined(tokens[i:j])) for b, i, j in _runs(_bucket(placed(asking.words, buckets)))]
+            cells += [(b, number, WORD_PAIRS, _pack(pairs[i:j])) for b, i, j in _runs(_bucket(pairs))]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "chunk", "kind", "keys"])
 
     def answer(questions: pa.Table, own: pa.Table) -> pa.Table:
-        bits = np.frombuffer(own.column("bits")[0].as_py(), np.uint64) if len(own) else np.empty(0, np.uint64)
-        levels = [_squeezed(asked(bits, 0, np.uint64(len(bits)), _salted(_unpack(keys.as_py()), kind))) for kind, keys in zip(questions.column("kind").to_pylist(), questions.column("keys"), strict=True)]
-        return pa.table({"chunk": questions.column("chunk"), "bucket": questions.column("bucket"), "kind": questions.column("kind"), "levels": pa.array(levels, pa.binary())})
+        bits, words = np.empty(0, np.uint64), {}
+        if len(own):
+            bits = np.frombuffer(own.column("bits")[0].as_py(), np.uint64)
+            words = _dictionary(own.column("tokens")[0].as_py(), own.column("counts")[0].as_py())
+        levels, counts = [], []
+        for kind, asked_ in zip(questions.column("kind").to_pylist(), questions.column("keys"), strict=True):
+            if kind == WORDS:
+                tokens = _parted(asked_.as_py())
+                places = placed(keys_of(tokens), buckets)
+                counts.append(_squeezed(np.array([words.get(t, 0) for t in tokens], np.int64)))
+            else:
+                places = _unpack(asked_.as_py())
+                counts.append(None)
+            levels.append(_squeezed(asked(bits, 0, np.uint64(len(bits)), _salted(places, kind))))
+        return pa.table({"chunk": questions.column("chunk"), "bucket": questions.column("bucket"), "kind": questions.column("kind"), "levels": pa.array(levels, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, texts in _chunks(batches):
@@ -477,68 +468,55 @@ def _routed(rows: DataFrame, slices: DataFrame, buckets: int, common: Broadcast,
             yield pa.record_batch({"chunk": pa.array([number], pa.int64()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
     def score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        shared, found = common.value, []
-        levels = {(kind, b): x for kind, b, x in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("levels"), strict=True)}
-        words, pairs = (np.concatenate([_loosened(levels[k].as_py(), np.uint8) for k in sorted(levels) if k[0] == kind] or [np.empty(0, np.uint8)]) for kind in (WORDS, WORD_PAIRS))
+        found: dict[tuple[int, int], tuple] = {}
+        for kind, b, x, c in zip(*(answers.column(n) for n in ("kind", "bucket", "levels", "counts")), strict=True):
+            found[kind.as_py(), b.as_py()] = x, c  # alike, if there is more than one
+
+        def all_of(kind: int, at: int, size: type) -> np.ndarray:
+            return np.concatenate([np.empty(0, size), *(_loosened(found[k][at].as_py(), size) for k in sorted(found) if k[0] == kind)])
+
+        words, pairs, counts = all_of(WORDS, 0, np.uint8), all_of(WORD_PAIRS, 0, np.uint8), all_of(WORDS, 1, np.int64)
+        out = []
         for texts in chunks.column("texts"):  # more than one, if rows alike fill whole chunks
             batch = pa.ipc.open_stream(texts.as_py()).read_all().combine_chunks().to_batches()[0]
             asking = Questions(list(pieces(batch.column("text"), True)))
             if (len(asking.words), len(asking.pairs)) != (len(words), len(pairs)):
                 raise RuntimeError("the documents came in another order the second time; write them to a table first")
-            scores = asking.scores(words, pairs, shared.total, shared.distinct)
-            found += [_sums(piece, own, batch, shared) for piece, own in zip(asking.group, scores, strict=True)]
-        return pa.Table.from_batches(found, None if found else _none)
+            out.append(_beside(batch, asking.sums(counts, words, pairs, total, distinct)))
+        return pa.Table.from_batches(out, None if out else nothing)
 
-    empty = rows.select("id", "uid", "held_out").limit(0).toArrow().schema
-    _none = pa.schema([*empty, ("token", pa.binary()), *[(c, pa.int64()) for c in ("n", "n_tokens", "n_known")], ("base", pa.float64()), ("score", pa.float64())])
+    nothing = pa.schema([*rows.select("id", "held_out").limit(0).toArrow().schema, ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
     questions = rows.select("uid", "text").mapInArrow(ask, "bucket long, chunk long, kind int, keys binary")
-    answers = questions.groupBy("bucket").cogroup(slices.select("bucket", "bits").groupBy("bucket")).applyInArrow(answer, "chunk long, bucket long, kind int, levels binary")
-    chunks = rows.select("id", "uid", "held_out", "text").mapInArrow(packed, "chunk long, texts binary")
+    own = slices.select("bucket", "bits", "tokens", "counts").groupBy("bucket")
+    answers = questions.groupBy("bucket").cogroup(own).applyInArrow(answer, "chunk long, bucket long, kind int, levels binary, counts binary")
+    chunks = rows.mapInArrow(packed, "chunk long, texts binary")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 
+def _by_broadcast(packed: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _score(batches, gathered(*packed.value))
+
+    return run
+
+
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns from the rows that aren't held out."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64(id_col, text_col).alias("uid"))
-    training = rows.filter(~F.col("held_out")).select("text")
-    counts = training.mapInArrow(_counted, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    counts = hold(counts.withColumn("level", F.floor(F.log2("c") * 8).cast("int")))
-    by_level = sorted(((r["level"], r["n"], r["c"]) for r in counts.groupBy("level").agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()), reverse=True)
-    total, distinct = sum(x[2] for x in by_level), sum(x[1] for x in by_level)
-    bound, taken = 1 << 30, 0
-    for level, n, _ in by_level:
-        if taken + n > COMMON:
-            break
-        bound, taken = level, taken + n
-    frequent = counts.filter(F.col("level") >= bound).select("token", "c").toArrow()  # COMMON rows at most
-    common = spark.sparkContext.broadcast(Common(frequent.column("token").combine_chunks(), np.asarray(frequent.column("c")).astype(float), total, distinct))
-    slices, buckets = build_slices(training, counts, total)
-    schema = _SCORED.format(kind=dict(rows.dtypes)["id"])
-    if 8 * (slices.agg(F.sum("words")).first()[0] or 0) <= FILTER_BYTES:
-        model = spark.sparkContext.broadcast(gathered(slices, buckets))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return _score(batches, model.value, common.value)
-
-        scored = rows.mapInArrow(run, schema)
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // (6 * BUCKET)))  # words have about six bytes
+    slices = build_slices(rows.filter(~F.col("held_out")).select("text"), buckets)
+    total, distinct, size = (x or 0 for x in slices.agg(F.sum("n"), F.sum("v"), F.sum("size")).first())
+    schema = f"id {dict(rows.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, base double, score double"
+    if size <= FILTER_BYTES:
+        held = [(r["bucket"], bytes(r["bits"]), bytes(r["tokens"]), bytes(r["counts"])) for r in slices.collect()]
+        packed = spark.sparkContext.broadcast((held, buckets, total, distinct))
+        scored = rows.mapInArrow(_by_broadcast(packed), schema)
     else:
-        scored = _routed(rows, slices, buckets, common, schema)
-    rarer = counts.filter(F.col("level") < bound).select("token", "c")
-    c = F.coalesce("c", F.lit(0))
-    log = F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
-    joined = scored.join(rarer, "token", "left").select(
-        "id", "uid", "held_out", (F.col("n") == 0).cast("long").alias("rows"), "n_tokens", (F.col("n_known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"), (F.col("base") + F.when(F.col("n") > 0, F.col("n") * log).otherwise(0.0)).alias("base"), "score"
-    )
-    summed = joined.groupBy("id", "uid", "held_out").agg(*[F.sum(x).alias(x) for x in ("rows", "n_tokens", "n_known", "base", "score")])
-    each = summed.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))  # rows alike share their sums
-    return each.select(
-        F.col("id").alias(id_col),
-        "held_out",
-        (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"),
-        (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"),
-        (F.col("score") / F.col("rows")).alias("score"),
-    )
+        scored = _routed(rows, slices, buckets, total, distinct, schema)
+    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+
+
+_models: dict[int, Model] = {}  #: of a worker, the last broadcast only

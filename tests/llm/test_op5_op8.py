@@ -121,9 +121,9 @@ def lower(text: str | None) -> list[str]:
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-@pytest.mark.parametrize("common", [500_000, 3])
-def test_base_scores_equal_brute_force(spark, docs, monkeypatch: pytest.MonkeyPatch, common: int) -> None:
-    monkeypatch.setattr(op6, "COMMON", common)
+@pytest.mark.parametrize("filter_bytes", [op6.FILTER_BYTES, 3])
+def test_base_scores_equal_brute_force(spark, docs, monkeypatch: pytest.MonkeyPatch, filter_bytes: int) -> None:
+    monkeypatch.setattr(op6, "FILTER_BYTES", filter_bytes)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     data = rows()
     counts: Counter = Counter()

@@ -34,19 +34,25 @@ def test_every_count_comes_back_from_the_filter() -> None:
     r = np.random.default_rng(0)
     keys = np.unique(r.integers(0, (1 << 64) - 1, 20_000, dtype=np.uint64))
     counts = np.where(r.random(len(keys)) < 0.5, 1, r.integers(1, 10_000, len(keys)))
-    dealt = op6._dealt(keys, counts, op6.WORD_PAIRS, 3)
+    names = {b"w%d" % i: int(c) for i, c in enumerate(counts[:5000])} | {b"": 7}
+    dealt = pa.Table.from_batches([op6._cells(op6.pair_cells(keys, counts, 3) + op6.word_cells(names, 3))])
+    seen = 0
     for b in range(3):
         places = op6.placed(keys, 3)
         own = op6._bucket(places) == b
-        part = pa.Table.from_batches([dealt]).filter(pa.array(np.asarray(dealt.column(0)) == b))
-        twice = pa.concat_tables([part, part])  # as from two tasks
-        for table, times in ((part, 1), (twice, 2)):
-            bits = op6.filled(table)
+        part = dealt.filter(pa.array(np.asarray(dealt.column("bucket")) == b))
+        for table, times in ((part, 1), (pa.concat_tables([part, part]), 2)):  # as from one task, and from two
+            kinds = np.asarray(table.column("kind"))
+            words = op6.merged_words(table.filter(pa.array(kinds == op6.WORDS)))
+            assert all(c == times * names[t] for t, c in words.items())
+            bits = op6.filled(words, table.filter(pa.array(kinds == op6.WORD_PAIRS)), 3)
             found = op6.asked(bits, 0, np.uint64(len(bits)), op6._salted(places[own], op6.WORD_PAIRS))
             want = op6.level_of(counts[own] * times) + 1
             assert (found >= want).all() and (found == want).mean() > 0.99
             other = op6.asked(bits, 0, np.uint64(len(bits)), op6._salted(places[own], op6.WORDS))
             assert (other == 0).mean() > 0.99
+        seen += len(words)
+    assert seen == len(names)
 
 
 def test_pairs_seen_once_are_in(spark) -> None:

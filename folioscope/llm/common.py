@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_held: list[DataFrame] = []
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -21,10 +22,13 @@ def word_count(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only if unset, as in tests."""
+    """The shared folder the cluster names; only a local session may do without, and gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioscope-"))
     return sc.getCheckpointDir()
 
 
@@ -40,7 +44,32 @@ def hold(df: DataFrame) -> DataFrame:
     They lie on the executors' disks; where an executor is lost, its share is
     computed again from the scan, which is all the lineage they have.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    _held.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def release() -> None:
+    """Frees what has been held; for callers that have written their result."""
+    while _held:
+        _held.pop().unpersist()
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str, most: int = 1000) -> DataFrame:
+    """Inner join with ``facts``, which has one row for each key and, in ``weight``, how many of ``rows`` have it.
+
+    Keys that hold a share of 1 / ``most`` or more of all rows, so ``most`` keys at
+    most, are broadcast; only the others are shuffled.  ``weight`` is dropped.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * most >= total
+    many = F.broadcast(facts.filter(hot).drop(weight))
+    few = rows.join(F.broadcast(facts.filter(hot).select(key)), key, "left_anti").join(facts.filter(~hot).drop(weight), key)
+    return rows.join(many, key).unionByName(few)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets another; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:

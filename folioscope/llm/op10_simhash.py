@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import hold, keep
+from folioscope.llm.common import hold, join_hot, keep, whole_row
 from folioscope.llm.words import pieces
 from folioscope.shipping import ship
 
@@ -141,19 +141,20 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _classes(rows: DataFrame, distance: int) -> DataFrame:
-    """Rows (fp, first, root): of each fingerprint its first document (null ids last), and the least fingerprint that it reaches."""
+    """Rows (fp, n, first, root): of each fingerprint its documents and the first of them (null ids last), and the least fingerprint that it reaches."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
-    distinct = hold(rows.groupBy("fp").agg(first))
+    distinct = hold(rows.groupBy("fp").agg(first, F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
-    return distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(roots, "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = DISTANCE) -> DataFrame:
     """Rows (id, fp, component_id): the fingerprint, and the smallest id reachable over links, the own included."""
     rows = hold(fingerprints(docs, id_col, text_col, width))
-    classes = _classes(rows, distance)
-    ids = classes.groupBy("root").agg(F.min("first")["id"].alias("component_id"))
-    return rows.join(classes.join(ids, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    classes = hold(_classes(rows, distance))
+    ids = classes.groupBy("root").agg(F.min("first")["id"].alias("component_id"), F.count("*").alias("fps"))
+    named = hold(join_hot(classes.select("fp", "n", "root"), ids, "root", "fps").drop("root"))
+    return join_hot(rows, named, "fp", "n").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = DISTANCE) -> DataFrame:
@@ -163,14 +164,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def only(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents that ``first`` (first.id, first.uid) names, one row of rows alike."""
-    first = first.select(F.col("first.id").alias("_id"), F.col("first.uid").alias("_uid"))
-    named = docs.withColumn("_own", F.xxhash64(id_col, text_col))
-    kept = named.join(first, named["_own"] == first["_uid"])
+    """The documents that ``first`` (first.id, first.uid) names, one row of rows alike; whatever their columns are called."""
+    first = first.select(F.col("first.id").alias("id"), F.col("first.uid").alias("uid"))
+    named = docs.select(F.col(id_col).alias("own"), F.xxhash64(id_col, text_col).alias("uid"), whole_row(docs))
+    kept = named.join(first, "uid").filter(F.col("own").eqNullSafe(F.col("id")))
     # Partitioned as the join is, so the texts are dealt once.
-    own = named[id_col].eqNullSafe(first["_id"])
-    alike = Window.partitionBy(named["_own"]).orderBy(F.when(own, 0).otherwise(1))
-    return kept.withColumns({"_n": F.row_number().over(alike), "_is": own}).filter("_n = 1 and _is").select(*[named[c] for c in docs.columns])
+    alike = Window.partitionBy("uid").orderBy("id")
+    return kept.withColumn("n", F.row_number().over(alike)).withColumn("before", F.lag(F.struct("id")).over(alike)).filter((F.col("n") == 1) | ~F.col("before.id").eqNullSafe(F.col("id"))).select("row.*")
 
 
 def hex_of(fp: Column) -> Column:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import hold, lanes_for, small, word_count
+from folioscope.llm.common import hold, lanes_for, small, whole_row, word_count
 
 WEIGHTS = (3, 1, 2)
 
@@ -104,11 +104,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: object) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; their columns unchanged.
+    """The documents of the mix, each as often as it is taken; their columns unchanged, whatever they are called.
 
-    Rows alike in id, source and text share their copies evenly, rounded up.
+    Rows alike in id, source and text share their copies as evenly as can be.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).groupBy("uid", F.col(id_col).alias("_id")).agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).filter("_copies > 0")
-    named = docs.withColumn("_uid", F.xxhash64(id_col, source_col, text_col))
-    joined = named.join(taken, (named["_uid"] == taken["uid"]) & named[id_col].eqNullSafe(taken["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[named[c] for c in docs.columns])
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).groupBy("uid", F.col(id_col).alias("id")).agg(F.sum("copies").alias("copies"), F.count("*").alias("alike")).filter("copies > 0")
+    named = docs.select(F.col(id_col).alias("own"), F.xxhash64(id_col, source_col, text_col).alias("uid"), whole_row(docs))
+    joined = named.join(taken, "uid").filter(F.col("own").eqNullSafe(F.col("id")))
+    joined = joined.withColumn("nth", F.row_number().over(Window.partitionBy("uid", "id").orderBy("uid")))  # as the join is dealt
+    times = F.expr("copies div alike + if(nth <= copies % alike, 1, 0)")
+    return joined.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("row.*")

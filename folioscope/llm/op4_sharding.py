@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import hold, lanes_for
+from folioscope.llm.common import hold, lanes_for, whole_row
 
 _SEARCH = """
 aggregate(
@@ -54,36 +54,34 @@ def cut_points(atoms: DataFrame, n_shards: int) -> tuple[int, list[int]]:
     return row["capacity"] or 0, list(row["starts"] or [])
 
 
-def shard(docs: DataFrame, n_shards: int = 16, cells: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, cells: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """One row per document: id, size, text_crc32, cell, shard, slot (gapless from 0 in each shard), capacity.
 
     There must be 64 cells a shard at least, so that shards can be near equal.
+    With ``whole`` the rows are the documents, with size, text_crc32, shard and
+    slot beside their columns, in place of any of the same name.
     """
     if not 1 <= n_shards <= cells // 64:
         raise ValueError(f"{cells} cells make 1 to {cells // 64} shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = hold(
-        docs.select(
-            F.col(id_col).alias("id"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.pmod(F.xxhash64(text), F.lit(cells)).alias("cell"),
-        )
-    )
+    columns = [
+        F.col(id_col).alias("id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.pmod(F.xxhash64(text), F.lit(cells)).alias("cell"),
+    ]
+    rows = hold(docs.select(*columns))
     atoms = rows.groupBy("cell").agg(F.sum("size").alias("bytes"))
     capacity, starts = cut_points(atoms, n_shards)
     begun = F.filter(F.array(*map(F.lit, starts)).cast("array<bigint>"), lambda s: s <= F.col("cell"))
     n_lanes = lanes_for(rows.count())
-    placed = rows.select("*", F.size(begun).alias("shard"), F.pmod(F.xxhash64("id", "text_crc32"), F.lit(n_lanes)).alias("lane"))
+    placing = (F.size(begun).alias("shard"), F.pmod(F.xxhash64("id", "text_crc32"), F.lit(n_lanes)).alias("lane"))
     by_shard = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy("shard", "lane").agg(F.count("*").alias("n")).select("shard", "lane", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("before"))
+    before = rows.select(*placing).groupBy("shard", "lane").agg(F.count("*").alias("n")).select("shard", "lane", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("before"))
     in_lane = Window.partitionBy("shard", "lane").orderBy("id", "text_crc32", "size")
-    return placed.join(before, ["shard", "lane"]).select(
-        F.col("id").alias(id_col),
-        "size",
-        "text_crc32",
-        "cell",
-        "shard",
-        (F.col("before") + F.row_number().over(in_lane) - 1).cast("long").alias("slot"),
-        F.lit(capacity).cast("long").alias("capacity"),
-    )
+    placed = (docs.select(*columns, whole_row(docs)) if whole else rows).select("*", *placing).join(before, ["shard", "lane"])
+    slot = (F.col("before") + F.row_number().over(in_lane) - 1).cast("long").alias("slot")
+    if whole:
+        own = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+        return placed.select(*own, "size", "text_crc32", "shard", slot)
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "cell", "shard", slot, F.lit(capacity).cast("long").alias("capacity"))

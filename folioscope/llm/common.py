@@ -72,6 +72,12 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of written rows, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """Marks a table for broadcast if a count shows that it has ``rows`` rows at most."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -19,8 +19,10 @@ several parts, which are dealt by hash.  Queries go to annuli in blocks of
 Defined cases: rows with a null id, a null vector, or null or non-finite
 components take no part; shorter vectors count as ending in zeros; rows that
 repeat a query's id are its own and no candidates of it, and of repeated query
-rows the least vector asks; components are expected below 2**20 in size after
-scaling by 1024; empty tables give no rows; other columns are not read.
+rows the least vector asks; empty tables give no rows; other columns are not
+read.  Scores are exact: floating point where the largest squared norm is below
+2**53, whole numbers beyond; vectors whose squared norm reaches 2**63, so that
+a score may not fit its column, are refused by an error.
 """
 
 from __future__ import annotations
@@ -47,12 +49,12 @@ def whole(vector: Column, scale: int) -> Column:
     return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+def _matrix(column: pa.Array, width: int, kind: type = float) -> np.ndarray:
     """Rows of equal length, padded with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    out = np.zeros((len(column), width))
+    out = np.zeros((len(column), width), kind)
     lengths = np.asarray(column.value_lengths().fill_null(0))
-    flat = np.asarray(column.flatten()).astype(float)
+    flat = np.asarray(column.flatten()).astype(kind)
     rows = np.repeat(np.arange(len(column)), lengths)
     out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
@@ -69,16 +71,17 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 _HIT = "query_id long, vec_id long, score long"
 
 
-def _search(index: pa.Table, queries: pa.Table, k: int, width: int) -> pa.Table:
-    """Each query's k best of one part of an annulus."""
-    x, q = _matrix(index.column("v"), width), _matrix(queries.column("v"), width)
+def _search(index: pa.Table, queries: pa.Table, k: int, width: int, kind: type = float) -> pa.Table:
+    """Each query's k best of one part of an annulus; products of ``kind`` are exact."""
+    x, q = _matrix(index.column("v"), width, kind), _matrix(queries.column("v"), width, kind)
+    none = -np.inf if kind is float else np.iinfo(np.int64).min
     ids, own = np.asarray(index.column("vec_id")), np.asarray(queries.column("query_id"))
     out: tuple[list, list, list] = ([], [], [])
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
     for a in range(0, len(q), 256):
         scores = q[a : a + 256] @ x.T
-        scores[own[a : a + 256, None] == ids[None, :]] = -np.inf
+        scores[own[a : a + 256, None] == ids[None, :]] = none
         for i, row in enumerate(scores):
             if len(row) > k:
                 least = np.partition(row, len(row) - k)[len(row) - k]
@@ -86,7 +89,7 @@ def _search(index: pa.Table, queries: pa.Table, k: int, width: int) -> pa.Table:
                 best = np.concatenate([sure, np.flatnonzero(row == least)[: k - len(sure)]])
             else:
                 best = np.arange(len(row))
-            best = best[row[best] > -np.inf]
+            best = best[row[best] > none]
             out[0].append(np.full(len(best), own[a + i]))
             out[1].append(ids[best])
             out[2].append(row[best].astype(np.int64))
@@ -98,10 +101,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     spark = vectors.sparkSession
     ship(spark)
     base = hold(vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), whole(F.col(vector_col), scale).alias("v"), is_query.alias("asks")).filter("v is not null"))
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, most, width, n_queries = base.agg(F.count("*"), F.max(square), F.max(F.size("v")), F.count_if("asks")).first()
     if not n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    most = most or 0.0
+    if most >= 2.0**63 * (1 - 1e-9):
+        raise ArithmeticError(f"squared norms of {most:.3g} do not leave room for scores in 64 bits")
+    kind = float if most < 2.0**53 * (1 - 1e-9) else np.int64
     sample = base.orderBy(F.xxhash64("vec_id"), "v").select("v").limit(PIVOTS).toArrow()
     pivots = _lifted(_matrix(sample.column("v"), width), float(most))
     ring_width = max(1e-9, 2 * float(most) ** 0.5) / RINGS
@@ -126,14 +133,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")
     indexed = placed.join(to_annulus, ["pivot", "ring"]).select("vec_id", "v", "asks", "annulus", part.alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     indexed = hold(indexed)
-    index = indexed.select("vec_id", "v", "annulus", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     queries = indexed.filter("asks").groupBy(F.col("vec_id").alias("query_id"), "block").agg(F.min(F.struct("v", "annulus", "part")).alias("q")).select("query_id", "block", "q.*")
     group = ["annulus", "part", "block"]
 
+    def sent(asking: DataFrame) -> DataFrame:
+        """The index, a part of an annulus once for each block of queries that asks it."""
+        return indexed.select("vec_id", "v", "annulus", "part").join(asking.select(*[F.col(c).alias(c) for c in group]).distinct(), ["annulus", "part"])
+
     def search(i: pa.Table, q: pa.Table) -> pa.Table:
-        return _search(i, q, k, width)
+        return _search(i, q, k, width, kind)
 
-    at_home = queries.groupBy(*group).cogroup(index.groupBy(*group)).applyInArrow(lambda q, i: search(i, q), _HIT)
+    at_home = queries.groupBy(*group).cogroup(sent(queries).groupBy(*group)).applyInArrow(lambda q, i: search(i, q), _HIT)
     floor = at_home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     pivot, low, high, parts = (known[c].to_numpy() for c in ("pivot", "low", "high", "parts"))
 
@@ -155,6 +165,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
             yield pa.record_batch([taken.column("query_id"), taken.column("block"), taken.column("v"), pa.array(annulus, pa.int32()), pa.array(at, pa.int32())], names=["query_id", "block", "v", "annulus", "part"])
 
     asked = queries.join(floor, "query_id", "left").select("query_id", "block", "v", "floor").mapInArrow(expand, "query_id long, block int, v array<long>, annulus int, part int")
-    hits = asked.groupBy(*group).cogroup(index.groupBy(*group)).applyInArrow(lambda q, i: search(i, q), _HIT)
+    hits = asked.groupBy(*group).cogroup(sent(asked).groupBy(*group)).applyInArrow(lambda q, i: search(i, q), _HIT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -107,6 +107,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents of the mix, each as often as it is taken; their columns unchanged, whatever they are called.
 
     Rows alike in id, source and text share their copies as evenly as can be.
+    The documents are read twice and must be the same both times, as a table is.
     """
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).groupBy("uid", F.col(id_col).alias("id")).agg(F.sum("copies").alias("copies"), F.count("*").alias("alike")).filter("copies > 0")
     named = docs.select(F.col(id_col).alias("own"), F.xxhash64(id_col, source_col, text_col).alias("uid"), whole_row(docs))

@@ -13,8 +13,10 @@ its question and of its answer.
 
 Items come in blocks of ``BLOCK_ITEMS``, each with an index of its own, so what
 travels to the workers has a fixed bound; each block is a pass over the
-documents.  Where the items have no column of answers, their last quarter (five
-words at least) counts as the answer.
+documents.  Numbers of items with a term, mean length and passage length are
+those of all items, so the blocks change no score and no result.  Where the items
+have no column of answers, their last quarter (five words at least) counts as the
+answer.
 
 Defined cases: null, empty and short texts leak nothing; items without words are
 never found; shorter questions or answers than five words are one shingle; null
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import hold
 from folioscope.llm.words import PUNCTUATION, Piece, pieces, window_hashes
 from folioscope.shipping import ship
 
@@ -43,9 +46,29 @@ K1, B = 1.2, 0.75
 POSTING_BLOCK = 16  #: items that share a block maximum
 
 
-def _shingles(hashes: np.ndarray) -> tuple[int, frozenset[int]]:
+def _shingles(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     width = min(WIDTH, len(hashes))
-    return width, frozenset(window_hashes(hashes, width).tolist()) if width else frozenset()
+    return width, np.unique(window_hashes(hashes, width)) if width else np.empty(0, np.uint64)
+
+
+def _parts(question: str | None, answer: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words of question and answer; without an answer, the question's last quarter is taken."""
+    q, a = (next(pieces(pa.array([t or ""], pa.string()), True, PUNCTUATION)).hashes() for t in (question, answer))
+    if answer is None and len(q) >= 2 * WIDTH:
+        cut = len(q) - max(WIDTH, len(q) // 4)
+        q, a = q[:cut], q[cut:]
+    return q, a
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 takes from all items: items with words, their words, the longest, and the items that have a term."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray  #: hashes in order
+    having: np.ndarray  #: number of items with each term
 
 
 @dataclass
@@ -58,21 +81,19 @@ class Index:
     first: np.ndarray  #: first posting of each term
     items: np.ndarray  #: item of each posting, in order within a term
     impacts: np.ndarray
+    keys: np.ndarray  #: term and item of each posting in one number, in order
     row: np.ndarray  #: of a common term in ``most``
     most: np.ndarray  #: maximum impact of common terms by block
-    questions: list[tuple[int, frozenset[int]]]
-    answers: list[tuple[int, frozenset[int]]]
-    stride: int  #: words of the longest item
+    questions: list[tuple[int, np.ndarray]]
+    answers: list[tuple[int, np.ndarray]]
+    stride: int  #: words of the longest of all items
 
 
-def build_index(items: list[tuple[object, str | None, str | None]]) -> Index | None:
-    """Index of (id, question, answer); without an answer, the question's last quarter is taken."""
+def build_index(items: list[tuple[object, str | None, str | None]], statistics: Statistics | None = None) -> Index | None:
+    """Index of (id, question, answer); if these are not all items, ``statistics`` are those of all."""
     ids, bags, questions, answers = [], [], [], []
     for item, question, answer in items:
-        q, a = (next(pieces(pa.array([t or ""], pa.string()), True, PUNCTUATION)).hashes() for t in (question, answer))
-        if answer is None and len(q) >= 2 * WIDTH:
-            cut = len(q) - max(WIDTH, len(q) // 4)
-            q, a = q[:cut], q[cut:]
+        q, a = _parts(question, answer)
         if len(q) + len(a):
             ids.append(item)
             bags.append(np.concatenate([q, a]))
@@ -87,8 +108,10 @@ def build_index(items: list[tuple[object, str | None, str | None]]) -> Index | N
     owner = np.repeat(np.arange(len(bags)), [len(r[0]) for r in rows])
     terms, term = np.unique(hashes, return_inverse=True)
     df = np.bincount(term)
-    idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / lengths.mean()))
+    every = statistics or Statistics(len(ids), int(lengths.sum()), int(lengths.max()), terms, df)
+    having = every.having[np.searchsorted(every.terms, terms)]
+    idf = np.log1p((every.items - having + 0.5) / (having + 0.5))
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / (every.words / every.items)))
     impact /= np.bincount(owner, impact)[owner]
     order = np.lexsort((owner, term))
     first = np.concatenate(([0], np.cumsum(df)))
@@ -97,7 +120,7 @@ def build_index(items: list[tuple[object, str | None, str | None]]) -> Index | N
     most = np.zeros((int((~rare).sum()) + 1, (len(ids) - 1) // POSTING_BLOCK + 1))
     common = ~rare[term]
     np.maximum.at(most, (row[term[common]], owner[common] // POSTING_BLOCK), impact[common])
-    return Index(ids, terms, rare, first, owner[order], impact[order], row, most, questions, answers, int(lengths.max()))
+    return Index(ids, terms, rare, first, owner[order], impact[order], term[order] * len(ids) + owner[order], row, most, questions, answers, every.longest)
 
 
 def _expand(index: Index, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,19 +177,18 @@ def retrieve(piece: Piece, hashes: np.ndarray, index: Index, threshold: float) -
     size = stops[g] - starts[g]
     which = np.repeat(np.arange(len(g)), size)
     t = term[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + starts[g][which]]
-    keys = np.repeat(np.arange(len(index.terms)), np.diff(index.first)) * n + index.items
     wanted = t * n + item[which]
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    exact = np.bincount(which, np.where(keys[at] == wanted, index.impacts[at], 0.0), len(g))
+    at = np.minimum(np.searchsorted(index.keys, wanted), len(index.keys) - 1)
+    exact = np.bincount(which, np.where(index.keys[at] == wanted, index.impacts[at], 0.0), len(g))
     ok = exact >= threshold
     return passage[starts][g[ok]], item[ok], exact[ok], base
 
 
-def _overlap(hashes: np.ndarray, wanted: tuple[int, frozenset[int]]) -> float:
+def _overlap(hashes: np.ndarray, wanted: tuple[int, np.ndarray]) -> float:
     width, shingles = wanted
-    if not shingles:
+    if not len(shingles):
         return 1.0
-    return len(shingles.intersection(window_hashes(hashes, width).tolist())) / len(shingles)
+    return float(np.isin(shingles, window_hashes(hashes, width)).mean())
 
 
 def find_leaks(texts: pa.Array, index: Index, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
@@ -186,13 +208,49 @@ def find_leaks(texts: pa.Array, index: Index, threshold: float, overlap: float)
             yield piece.first + k, i, s, q, a
 
 
+def _tally(rows: DataFrame) -> DataFrame:
+    """Rows (block, term, having) for each block's terms, and one (block, null, items, words, longest) for each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            bags = [np.concatenate(_parts(q.as_py(), a.as_py())) for q, a in zip(batch.column(1), batch.column(2), strict=True)]
+            lengths = np.array([len(b) for b in bags], np.int64)
+            names = ["block", "term", "items", "words", "longest"]
+            if (lengths > 0).any():
+                summary = [[0], [None], [int((lengths > 0).sum())], [int(lengths.sum())], [int(lengths.max())]]
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in summary], names=names)
+                distinct = [np.unique(b) for b in bags]
+                term = np.concatenate(distinct).view(np.int64)
+                of = np.repeat(block, [len(d) for d in distinct])
+                both, n = np.unique(np.stack([of, term]), axis=1, return_counts=True)
+                none = pa.nulls(len(n), pa.int64())
+                yield pa.record_batch([pa.array(both[0]), pa.array(both[1]), pa.array(n, pa.int64()), none, none], names=names)
+
+    return rows.select("block", "q", "a").mapInArrow(run, "block long, term long, items long, words long, longest long")
+
+
 def indexes(items: DataFrame, item_col: str = "item_id", text_col: str = "text", answer_col: str | None = None) -> Iterator[Index]:
     """Indexes of the items, a block at a time; each block has ``BLOCK_ITEMS`` items or about that."""
+    ship(items.sparkSession)
     rows = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a"))
     blocks = -(-rows.count() // BLOCK_ITEMS)
+    if blocks == 1 and (index := build_index(sorted(map(tuple, rows.collect()), key=str))):
+        yield index
+    if blocks < 2:
+        return
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item", "q", "a"), F.lit(blocks)))
+    tally = hold(_tally(rows))
+    every = tally.filter("term IS NULL").agg(F.sum("items"), F.sum("words"), F.max("longest")).first()
+    mine = tally.filter("term IS NOT NULL")
+    having = hold(mine.select("block", "term").distinct().join(mine.groupBy("term").agg(F.sum("items").alias("having")), "term"))
     for k in range(blocks):
-        block = rows.filter(F.pmod(F.xxhash64("item", "q"), F.lit(blocks)) == k) if blocks > 1 else rows
-        if index := build_index(sorted(map(tuple, block.collect()), key=str)):
+        found = having.filter(F.col("block") == k).select("term", "having").toArrow()
+        terms = found["term"].to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        statistics = Statistics(*every, terms[order], found["having"].to_numpy()[order])
+        block = rows.filter(F.col("block") == k).drop("block").collect()
+        if index := build_index(sorted(map(tuple, block), key=str), statistics):
             yield index
 
 

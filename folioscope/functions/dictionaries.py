@@ -1,7 +1,7 @@
 """Fixed tables of characters, marks and codes.
 
-Dictionaries of codes are rows (category, code, label); users pass further rows,
-such as those of parts of speech, as ``more`` (see ``sources.readers.read_labels``).
+Dictionaries of codes are rows (category, code, label); users pass further rows as
+``more`` (see ``sources.readers.read_labels``), which replace a category's built-in ones.
 """
 
 from __future__ import annotations
@@ -28,6 +28,131 @@ MARKS = (
 
 # Labels of morphological codes by category.
 LABELS = {
+    "Morph_Tag (POS)": {
+        "PREP": "Preposition (حرف جر) — e.g. bi-, li-, fi-, min, `an",
+        "DET": "Definite Article (الـ) — the determiner 'al-'",
+        "CONJ": "Conjunction (حرف عطف) — e.g. wa-, fa-, thumma",
+        "NEG_PART": "Negation Particle — e.g. lā, mā, lam, lan",
+        "NEG_PART.NEG_CAT": "Negation of Category — categorical negation",
+        "NEG_PART.NEG_MAA": "Negation with Mā — 'mā' of negation",
+        "INTERROG": "Interrogative Particle — e.g. hal, a-",
+        "INTERROG_PART": "Interrogative Particle",
+        "INTERROG_PRON": "Interrogative Pronoun — e.g. man, mā",
+        "VOC_PART": "Vocative Particle — 'yā' (O...)",
+        "FUT_PART": "Future Particle — 'sa-' (near future)",
+        "FUTURE_PART": "Future Particle — 'sawfa' (distant future)",
+        "FUTUR_PART": "Future Particle — 'sawfa' (distant future)",
+        "SUBJUNC_PART": "Subjunctive Particle — 'an', 'lan', 'kay'",
+        "JUSSIVE_PART": "Jussive Particle — 'lam', 'lammā'",
+        "CONDITION_PART": "Conditional Particle — 'in', 'law'",
+        "CERT_PART": "Emphatic Particle — 'qad', 'la-'",
+        "ANNUL_PART": "Annuller Particle — 'kāna' and its sisters",
+        "INF_ANNUL_PART": "Annuller Particle — 'inna' and its sisters",
+        "INF_SUBJUNC_PART": "Subjunctive Particle — 'an'",
+        "EMPHATIC_NUN": "Emphatic Nūn — 'nūn al-tawkīd'",
+        "PROTECT_NUN": "Protective Nūn — 'nūn al-wiqāya'",
+        "NOON_V5": "Nūn of the Five Verbs — 'nūn al-af`āl al-khamsa'",
+        "PART": "Particle — generic grammatical particle",
+        "OTHER": "Other Particle",
+        "OTHER.OTHER": "Other Particle",
+        "NOUN_ABSTRACT": "Abstract Noun — e.g. 'īmān (faith), `ilm (knowledge)",
+        "NOUN_CONCRETE": "Concrete Noun — e.g. kitāb (book), bayt (house)",
+        "NOUN_PROP": "Proper Noun — e.g. Allāh, Mūsā, Ibrāhīm",
+        "NOUN_ACTIVE_PART": "Active Participle (اسم فاعل) — 'doer' of the action",
+        "NOUN_PASSIVE_PART": "Passive Participle (اسم مفعول) — receiver of the action",
+        "NOUN_NUM": "Number Noun — e.g. ithnān (two), thalātha (three)",
+        "NOUN_FIVE": "One of the Five Nouns — ab, akh, ḥam, fū, dhū",
+        "NOUN_RELATIVE": "Relative Noun — e.g. alladhī, allatī",
+        "NOUN_TIME_PLACE": "Noun of Time/Place (اسم زمان/مكان) — e.g. masjid, maw`id",
+        "NOUN_VERB_LIKE": "Verb-like Noun — nouns that behave like verbs",
+        "NOUN_PROP_FOREIGN": "Foreign Proper Noun — non-Arabic names",
+        "EXCEPT_NOUN": "Exception Noun — used in istithnā' constructions",
+        "GERUND": "Verbal Noun (مصدر) — the abstract action, e.g. ḍarb (hitting)",
+        "GERUND_INSTANT": "Instant Gerund (اسم مرة) — single occurrence",
+        "GERUND_MEEM": "Mīm Gerund (مصدر ميمي) — gerund prefixed with mīm",
+        "GERUND_PROFESSION": "Professional Gerund — e.g. najjār (carpenter)",
+        "PRON": "Pronoun — general pronoun",
+        "PRON_1S": "1st Person Singular Pronoun — 'I' / 'me' (-ī, -nī)",
+        "PRON_1P": "1st Person Plural Pronoun — 'we' / 'us' (-nā)",
+        "PRON_2MS": "2nd Person Masculine Singular — 'you' (-ka)",
+        "PRON_2MP": "2nd Person Masculine Plural — 'you all' (-kum)",
+        "PRON_3MS": "3rd Person Masculine Singular — 'he' / 'him' (-hu)",
+        "PRON_3FS": "3rd Person Feminine Singular — 'she' / 'her' (-hā)",
+        "PRON_3D": "3rd Person Dual — 'they two' (-humā)",
+        "PRON_3MP": "3rd Person Masculine Plural — 'they' (-hum)",
+        "PRON_3FP": "3rd Person Feminine Plural — 'they (f)' (-hunna)",
+        "SUBJ_PRON": "Subject Pronoun — 'anta', 'huwa', 'nahnu' (independent form)",
+        "OBJ_PRON": "Object Pronoun — attached pronoun as object",
+        "POSS_PRON": "Possessive Pronoun — attached pronoun as possessor",
+        "POSS_PRON_1S": "Possessive Pronoun — 'my' (-ī)",
+        "POSS_PRON_1P": "Possessive Pronoun — 'our' (-nā)",
+        "POSS_PRON_3MS": "Possessive Pronoun — 'his' (-hu)",
+        "POSS_PRON_3FS": "Possessive Pronoun — 'her' (-hā)",
+        "POSS_PRON_3D": "Possessive Pronoun — 'their' (dual, -humā)",
+        "POSS_PRON_3MP": "Possessive Pronoun — 'their' (m.pl, -hum)",
+        "DEM_PRON": "Demonstrative Pronoun — 'this', 'that'",
+        "DEM_PRON_MS": "Demonstrative — 'hādhā' (this, m.sg)",
+        "DEM_PRON_FS": "Demonstrative — 'hādhihi' (this, f.sg)",
+        "DEM_PRON_MP": "Demonstrative — 'hā'ulā'i' (these, m.pl)",
+        "DEM_PRON_F": "Demonstrative — 'hā'ulā'i' (these, f)",
+        "REL_PRON": "Relative Pronoun — 'alladhī', 'allatī', etc.",
+        "REL_ADV": "Relative Adverb — e.g. ḥaythu (where), `inda (when)",
+        "IV": "Imperfect Verb (مضارع) — present/future tense",
+        "IV1P": "Imperfect Verb 1st Plural — 'naf`alu' (we do)",
+        "IV3MS": "Imperfect Verb 3rd M.Sg — 'yaf`alu' (he does)",
+        "IV3FS": "Imperfect Verb 3rd F.Sg — 'taf`alu' (she does)",
+        "IV3MP": "Imperfect Verb 3rd M.Pl — 'yaf`alūna' (they do)",
+        "IV_PASS": "Passive Imperfect Verb — 'yuf`alu' (it is done)",
+        "CV": "Imperative Verb (أمر) — command form, e.g. 'if`al!' (do!)",
+        "CV_PREF": "Imperative Prefix — the initial 'i-' of the imperative",
+        "PV": "Perfect Verb (ماض) — past tense, e.g. 'fa`ala' (he did)",
+        "PV_PASS": "Passive Perfect Verb — 'fu`ila' (it was done)",
+        "UNINFLECTED_VERB": "Uninflected Verb — frozen form",
+        "IMPERF_PREF": "Imperfect Prefix — 'ya-', 'ta-', 'a-', 'na-'",
+        "CVSUFF_SUBJ_2MP": "Imperative Subject Suffix — 'you (m.pl)' (-ū)",
+        "CVSUFF_SUBJ_2MS": "Imperative Subject Suffix — 'you (m.sg)'",
+        "IVSUFF_SUBJ_MP_MOOD_I": "Imperfect Subject Suffix — m.pl indicative (-ūna)",
+        "IVSUFF_SUBJ_MP_MOOD_SJ": "Imperfect Subject Suffix — m.pl subjunctive (-ū)",
+        "PVSUFF_SUBJ_1P": "Perfect Subject Suffix — 'we' (-nā)",
+        "PVSUFF_SUBJ_2MP": "Perfect Subject Suffix — 'you (m.pl)' (-tum)",
+        "PVSUFF_SUBJ_3FS": "Perfect Subject Suffix — 'she' (-at)",
+        "PVSUFF_SUBJ_3MP": "Perfect Subject Suffix — 'they (m.pl)' (-ū)",
+        "PVSUFF_SUBJ_3MS": "Perfect Subject Suffix — 'he' (implicit fatḥa)",
+        "ADJ_COMP": "Comparative Adjective — 'af`alu' pattern, e.g. akbar (greater)",
+        "ADJ_INTENS": "Intensive Adjective — e.g. ghaffār (oft-forgiving)",
+        "ADJ_QUALIT": "Qualitative Adjective — e.g. hasan (good), kabīr (big)",
+        "NSUFF_FEM_SG": "Feminine Suffix — '-ah / -at' (ـة)",
+        "NSUFF_FEM_PL": "Feminine Plural Suffix — '-āt' (ـات)",
+        "NSUFF_FEM_DU_NOM": "Feminine Dual Nominative Suffix — '-atāni' (ـتان)",
+        "NSUFF_FEM_DU_ACC": "Feminine Dual Acc/Gen Suffix — '-atayni' (ـتين)",
+        "NSUFF_FEM_DU_GEN": "Feminine Dual Genitive Suffix",
+        "NSUFF_MASC_DU_NOM": "Masculine Dual Nominative Suffix — '-āni' (ـان)",
+        "NSUFF_MASC_DU_ACC": "Masculine Dual Acc/Gen Suffix — '-ayni' (ـين)",
+        "NSUFF_MASC_DU_GEN": "Masculine Dual Genitive Suffix",
+        "NSUFF_MASC_PL_NOM": "Masculine Plural Nominative Suffix — '-ūna' (ـون)",
+        "NSUFF_MASC_PL_ACC": "Masculine Plural Acc/Gen Suffix — '-īna' (ـين)",
+        "NSUFF_MASC_PL_GEN": "Masculine Plural Genitive Suffix",
+        "SUFF": "Suffix — generic",
+        "SUFF_FEM_TA": "Feminine Tāʼ Suffix — the '-t' in feminine forms",
+        "RELATIVE_YA": "Relative Yāʼ — nisba suffix '-ī' (ـي)",
+        "CASE_DEF_ACC": "Definite Accusative Marker — fatḥa (ـَ) on definite nouns",
+        "CASE_DEF_GEN": "Definite Genitive Marker — kasra (ـِ) on definite nouns",
+        "CASE_DEF_NOM": "Definite Nominative Marker — ḍamma (ـُ) on definite nouns",
+        "CASE_INDEF_ACC": "Indefinite Accusative Marker — fatḥatayn (ـً)",
+        "CASE_INDEF_GEN": "Indefinite Genitive Marker — kasratayn (ـٍ)",
+        "CASE_INDEF_NOM": "Indefinite Nominative Marker — ḍammatayn (ـٌ)",
+        "CASE_INDEF_(ACC_GEN)": "Indefinite Acc/Gen Marker — diptote fatḥa (ـَ)",
+        "ADV": "Adverb — e.g. hunā (here), abadan (ever)",
+        "ADV_PLCE": "Adverb of Place (ظرف مكان) — e.g. fawqa (above)",
+        "ADV_TIME": "Adverb of Time (ظرف زمان) — e.g. ba`da (after)",
+        "KAAFA_MAKFOUFA": "Preventive Kāffa — 'mā' that prevents `amal",
+        "EXCEPT_PART": "Exception Particle — 'illā' (except)",
+        "YES_NO_RESP_PART": "Yes/No Response Particle — 'na`am', 'balā'",
+        "FOREIGN": "Foreign Word — non-Arabic term",
+        "FOREIGN.FOREIGN": "Foreign Word",
+        "UNKNOWN": "Unclassified — fallback for unrecognized tags",
+        "None": "No Tag — unspecified",
+    },
     "Syntactic_Role": {
         "SUBJ": "Subject (فاعل / مبتدأ) — the doer or topic of the sentence",
         "TOPIC": "Topic (مبتدأ) — the subject of a nominal sentence",

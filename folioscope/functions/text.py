@@ -11,9 +11,10 @@ from folioscope.functions import dictionaries as d
 
 # White space as scripts count it: the ASCII kinds, NBSP, and the Unicode spaces.
 SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
-_SPACE_RUN = f"[{SPACES}]+"
-_VOWELS = "\u064b-\u065f\u0610-\u061a"
 _PAUSES = "\u06d6-\u06ed"
+# Vowel signs and pause marks one by one, as ``translate`` wants them.
+_VOWEL_SIGNS = "".join(map(chr, (*range(0x64B, 0x660), *range(0x610, 0x61B))))
+_PAUSE_SIGNS = "".join(map(chr, range(0x6D6, 0x6EE)))
 
 
 def trim_spaces(text: Column) -> Column:
@@ -22,13 +23,12 @@ def trim_spaces(text: Column) -> Column:
 
 def search_form(text: Column) -> Column:
     """Form in which texts are searched: no marks or fillers, plain alif, trimmed."""
-    bare = F.regexp_replace(text, f"[{_VOWELS}{_PAUSES}\u0640\u0670]", "")
-    return trim_spaces(F.translate(bare, "\u0671", "\u0627"))
+    return trim_spaces(F.translate(text, "\u0671" + _VOWEL_SIGNS + _PAUSE_SIGNS + "\u0640\u0670", "\u0627"))
 
 
 def strip_vowels(text: Column) -> Column:
     """Without vowel signs and fillers; pause marks stay."""
-    return F.regexp_replace(text, f"[{_VOWELS}\u0640]", "")
+    return F.translate(text, _VOWEL_SIGNS + "\u0640", "")
 
 
 def matching_form(text: Column) -> Column:
@@ -51,14 +51,19 @@ def is_pause(token: Column) -> Column:
     return token.rlike(f"^[{_PAUSES}]+$")
 
 
+def _blanks(text: Column) -> Column:
+    """All white space as blanks, so that one character parts words; null is empty."""
+    return F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
+
+
 def words(text: Column) -> Column:
     """Words between white space."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACE_RUN), lambda w: w != "")
+    return F.filter(F.split(_blanks(text), " "), lambda w: w != "")
 
 
 def count_words(text: Column) -> Column:
     """Number of words, counted without cutting them out."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACES}]+"))
+    return F.regexp_count(_blanks(text), F.lit("[^ ]+"))
 
 
 def classified_tokens(text: Column) -> Column:
@@ -82,7 +87,7 @@ def tokens_and_marks(text: Column) -> Column:
     """Array of (kind, text): each word, and after it the marks that end it, one by one."""
 
     def parts(token: Column) -> Column:
-        word = F.regexp_extract(token, f"(?s)^(.*?)[{_MARKS}]*$", 1)
+        word = F.rtrim(token, F.lit(_MARKS))
         marks = F.filter(F.split(F.substring(token, F.length(word) + 1, F.length(token)), ""), lambda m: m != "")
         own = F.filter(F.array(word), lambda w: w != "")
         return F.concat(

@@ -37,9 +37,13 @@ def relevance(text: Column, query: str, normal: Callable[[Column], Column] = sea
 
 
 def search_text(verses: DataFrame, query: str, keys: list[str], text: str = "text", limit: int = 20, normal: Callable[[Column], Column] = search_form) -> DataFrame:
-    """The most relevant verses, in corpus order on ties."""
-    scored = verses.withColumn("relevance", relevance(F.col(text), query, normal).cast("int")).filter("relevance > 0")
-    return scored.orderBy(F.desc("relevance"), *keys).limit(limit)
+    """The most relevant verses, in corpus order on ties.
+
+    Verses without a match come last, so they are left out after the limit: before it,
+    the whole score would be computed a second time in the filter.
+    """
+    scored = verses.withColumn("relevance", relevance(F.col(text), query, normal).cast("int"))
+    return scored.orderBy(F.desc("relevance"), *keys).limit(limit).filter("relevance > 0")
 
 
 def search_roots(verses: DataFrame, query: str, keys: list[str], roots: str = "roots", limit: int = 20) -> DataFrame:

@@ -78,10 +78,33 @@ def short_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", t.short_label(F.col("p_type")).alias("label"))
 
 
+_SPEECH = ("NOUN_PROP", "PREP", "CASE_INDEF_(ACC_GEN)", "PRON_3MP", "GEN_CONS", "NEG_PART.NEG_MAA", "SUKUN", "no_such_code", "null")
+
+
+@query(
+    """
+SELECT p_partkey, r[1] AS label, r[2] AS short, r[3] AS category FROM (SELECT p_partkey, CASE p_partkey % 9
+  WHEN 0 THEN ['Proper Noun — e.g. Allāh, Mūsā, Ibrāhīm', 'Proper N', 'Morph_Tag (POS)']
+  WHEN 1 THEN ['Preposition (حرف جر) — e.g. bi-, li-, fi-, min, `an', 'Prep', 'Morph_Tag (POS)']
+  WHEN 2 THEN ['Indefinite Acc/Gen Marker — diptote fatḥa (ـَ)', 'Indefinite Acc/…', 'Morph_Tag (POS)']
+  WHEN 3 THEN ['3rd Person Masculine Plural — ''they'' (-hum)', '3rd Person Masc…', 'Morph_Tag (POS)']
+  WHEN 4 THEN ['Genitive Construct (مضاف إليه) — second term of iḍāfa', 'Iḍāfa', 'Syntactic_Role']
+  WHEN 5 THEN ['Negation with Mā — ''mā'' of negation', 'Negation with M…', 'Morph_Tag (POS)']
+  WHEN 6 THEN ['Sukūn (ـْ) — jussive marker (no vowel)', 'Sukūn', 'Case_Mood_Marker']
+  WHEN 7 THEN ['No Such Code', 'No Such Code', '']
+  ELSE ['', '', ''] END AS r FROM part)
+"""
+)
+def speech_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels, short labels and categories of codes that are in the tables, of an unknown one, and of none."""
+    code = F.get(F.array(*map(F.lit, _SPEECH)), (F.col("p_partkey") % 9).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", t.label(code).alias("label"), t.short_label(code).alias("short"), t.category(code).alias("category"))
+
+
 @query(
     r"""
-SELECT page_id, lpad(CAST(page_id AS VARCHAR), 3, '0') || '-' || trim(regexp_replace(url, '[^\p{L}\p{N}_]+', '-', 'g'), '-') || '.html' AS file,
-       CASE WHEN page_id % 3 = 0 THEN '' ELSE ' url="' || replace(replace(replace(replace(trim(url), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '"' END AS attribute FROM pages WHERE page_id < 1000
+SELECT page_id, lpad(CAST(page_id AS VARCHAR), CAST(greatest(3, length(CAST(page_id AS VARCHAR))) AS INTEGER), '0') || '-' || trim(regexp_replace(url, '[^\p{L}\p{N}_]+', '-', 'g'), '-') || '.html' AS file,
+       CASE WHEN page_id % 3 = 0 THEN '' ELSE ' url="' || replace(replace(replace(replace(trim(url), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '"' END AS attribute FROM pages
 """
 )
 def file_names_and_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +246,7 @@ def json_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", jsons.list_size(text, jsons.QUOTES).alias("n"))
 
 
-@query("SELECT doc_id, lang, length(text) AS length FROM documents WHERE doc_id BETWEEN 1 AND 114 ORDER BY lang, doc_id")
+@query("SELECT doc_id, lang, length(text) AS length FROM documents ORDER BY lang, doc_id")
 def verse_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat iteration over valid numbers, in corpus order."""
-    return table(spark, sf_dir, "documents").filter(F.col("doc_id").between(1, 114)).select("doc_id", "lang", F.char_length("text").cast("long").alias("length")).orderBy("lang", "doc_id")
+    """Flat iteration over all documents, in corpus order."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.char_length("text").cast("long").alias("length")).orderBy("lang", "doc_id")

@@ -1,22 +1,28 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote keep, reject or nothing on a text, about its form
-(symbols, capitals, and repetition of words, phrases or neighbours, which go
-together and so are one labeller) and about insults.
+Overlapping heuristic labellers vote keep, reject or nothing on a text: five about
+its form (symbols, capitals, and repetition of words, of phrases and of
+neighbours) and four about insults (two lists of words, several in one text,
+and their share of the words).
 For form and for insults, expectation-maximisation over the votes estimates how
 often each labeller votes what in good and in bad texts, and gives each pattern
 of votes a posterior; where labels are given, they hold the posterior near
-theirs.  The two posteriors make the label a text is trained with, and a logistic
+theirs.  Labelled rows, with ``PSEUDO`` rows of a prior beside them, weigh as much
+as the unlabelled ones where these are more: bad texts mostly have one fault
+each, so votes alone do not tell two classes apart, and labels must say which
+is which, however many documents there are.  The two posteriors make the label a text is trained with, and a logistic
 model over hashed features (words, beginnings and ends of words, the labellers'
 own rejections) is fitted to these.  Where there are labels, a text without one
 is only trained on if it is probably bad: that no labeller objects says little
-about insults that none knows.  Only the fitted model meets the whole corpus.
+about insults that none knows; the labelled texts to which none objects stand for
+the unlabelled such, too, by weight.  Only the fitted model meets the whole corpus.
 
 Votes are tallied, and the labellers' rates estimated, over all documents.  The
 fit uses about ``SAMPLE`` documents, those with the lowest hashes of id and text
 among the labelled ones, and others only where there are fewer labelled ones; the
 bound is a parameter.  Features must occur in
-``SUPPORT`` sample documents and point to rejection in ``PRECISION`` of them.
+``SUPPORT`` sample documents and point to rejection in ``PRECISION`` of them,
+counted by weight and with one unseen good text where weights are above 1.
 
 Defined cases: null and empty texts have no features and are kept, as is any text
 on which nothing speaks for rejection; null labels are no labels, and of
@@ -42,11 +48,16 @@ from folioscope.shipping import ship
 SAMPLE = 20_000
 SUPPORT = 6
 PRECISION = 0.8
+PSEUDO = 20  #: labelled rows that the prior of the labellers' rates is worth
 BITS = 20  #: the model has 2**BITS hashed weights
-#: English insults that the lexicon labeller knows.
-INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
+#: English insults that the labellers know, names for people and judgements.
+NAMES = ("idiot", "moron", "loser", "scum", "clown")
+JUDGEMENTS = ("stupid", "trash", "worthless", "pathetic", "disgusting")
 KEEP, REJECT, NONE = 0, 1, 2
-FORM = ("symbols", "capitals", "repetition")
+FORM = ("symbols", "capitals", "one word", "phrases", "neighbours")
+RUDE = ("names", "judgements", "several", "share")
+#: Repetition shows in three ways at once, and several insults make a share: these share voices.
+VOICES = (1, 1, 1 / 3, 1 / 3, 1 / 3), (1, 1, 1 / 2, 1 / 2)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*|<>{}~^=@\\_"]] = True
 _UPPER = np.zeros(256, bool)
@@ -66,15 +77,15 @@ def _vote(share: np.ndarray, low: float, high: float, speaks: np.ndarray) -> np.
     return np.where(~speaks, NONE, np.where(share > high, REJECT, np.where(share < low, KEEP, NONE))).astype(np.int8)
 
 
-def _insult_hashes() -> np.ndarray:
-    return np.sort(np.concatenate([next(pieces(pa.array([w]), True, PUNCTUATION)).hashes() for w in INSULTS]))
+def _hashes_of(words: tuple[str, ...]) -> np.ndarray:
+    return np.sort(np.concatenate([next(pieces(pa.array([w]), True, PUNCTUATION)).hashes() for w in words]))
 
 
-_INSULTS = _insult_hashes()
+_LISTS = _hashes_of(NAMES), _hashes_of(JUDGEMENTS)
 
 
 def votes(piece: Piece) -> np.ndarray:
-    """A row per text: the votes of the form labellers, and of the lexicon."""
+    """A row per text: the votes of the labellers of form, and of those of insults."""
     n_bytes, n = np.diff(piece.offsets), np.diff(piece.counts)
     hashes, owner = piece.hashes(), owners_of(piece.counts)
     letters = _sums(_LETTER[piece.data], piece.offsets)
@@ -95,21 +106,21 @@ def votes(piece: Piece) -> np.ndarray:
     again = np.bincount((phrase[1:][phrase[1:] == phrase[:-1]] >> np.uint64(40)).astype(np.int64), minlength=len(piece))
     bare = replace(piece, data=_LOWER[piece.data])
     plain = next(pieces(pa.Array.from_buffers(pa.large_string(), len(piece), [None, pa.py_buffer(piece.offsets.astype(np.int64).tobytes()), pa.py_buffer(bare.data.tobytes())]), False, PUNCTUATION), None) if len(piece.data) else None
-    insults = np.zeros(len(piece), np.int64)
+    insults = np.zeros((len(_LISTS), len(piece)), np.int64)
     if plain is not None and len(plain) == len(piece):
-        h = plain.hashes()
-        at = np.minimum(np.searchsorted(_INSULTS, h), len(_INSULTS) - 1)
-        insults = np.bincount(owners_of(plain.counts)[_INSULTS[at] == h], minlength=len(piece))
-    out = np.empty((len(piece), len(FORM) + 1), np.int8)
-    repeats = np.stack([
-        _vote(most / np.maximum(1, n), 0.2, 0.3, n >= 10),
-        _vote(again / np.maximum(1, n), 0.05, 0.2, n >= 10),
-        _vote(_sums(beside, piece.counts) / np.maximum(1, n), 0.03, 0.15, n >= 10),
-    ])
+        h, whose = plain.hashes(), owners_of(plain.counts)
+        for k, known in enumerate(_LISTS):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            insults[k] = np.bincount(whose[known[at] == h], minlength=len(piece))
+    out = np.empty((len(piece), len(FORM) + len(RUDE)), np.int8)
     out[:, 0] = _vote(symbols, 0.01, 0.04, n_bytes >= 20)
     out[:, 1] = _vote(capitals, 0.15, 0.3, letters >= 20)
-    out[:, 2] = np.where((repeats == REJECT).any(0), REJECT, np.where((repeats == KEEP).all(0), KEEP, NONE))
-    out[:, 3] = np.where(insults > 0, REJECT, NONE)
+    out[:, 2] = _vote(most / np.maximum(1, n), 0.2, 0.3, n >= 10)
+    out[:, 3] = _vote(again / np.maximum(1, n), 0.05, 0.2, n >= 10)
+    out[:, 4] = _vote(_sums(beside, piece.counts) / np.maximum(1, n), 0.03, 0.15, n >= 10)
+    both = insults.sum(0)
+    rude = np.stack([*(insults > 0), both > 1, both > 0.01 * n])  # none of these ever says keep
+    out[:, len(FORM) :] = np.where(rude, REJECT, NONE).T
     return out
 
 
@@ -140,30 +151,36 @@ def features(piece: Piece, cast: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def estimate(cast: np.ndarray, given: np.ndarray | None = None, prior: float = 0.2, strength: float = 1.0, rounds: int = 100, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def estimate(cast: np.ndarray, given: np.ndarray | None = None, prior: float = 0.2, pseudo: float = PSEUDO, rounds: int = 100, times: np.ndarray | None = None, voices: tuple[float, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """EM over votes (rows of KEEP, REJECT, NONE): the posterior of rejection by row, and each labeller's vote rates by class.
 
-    Starts from any rejection as a likely one.  Rates carry pseudo-counts, the
-    share ``strength`` of the rows, of labellers that seldom reject good texts but
-    miss most kinds of bad ones, and of a share ``prior`` of bad texts.
+    Starts from any rejection as a likely one.  ``pseudo`` rows of a prior, as good
+    as labelled ones, are of labellers that seldom reject good texts but miss
+    most kinds of bad ones, and of a share ``prior`` of bad texts.
     ``given`` has known labels, or NONE; ``times`` how often each row counts.
+    Labelled rows and the prior weigh at least as much as the other rows together.
+    ``voices`` are exponents of the labellers' likelihoods: those that go together share a voice.
     """
-    known = np.flatnonzero(given != NONE) if given is not None else np.empty(0, np.int64)
-    fixed = np.where(given[known] == REJECT, 0.98, 0.02) if given is not None else np.empty(0)
     times = np.ones(len(cast)) if times is None else times.astype(float)
+    told = given != NONE if given is not None else np.zeros(len(cast), bool)
+    fixed = np.where(given[told] == REJECT, 0.98, 0.02) if given is not None else np.empty(0)
+    sure = times[told].sum() + pseudo
+    scale = max(1.0, times[~told].sum() / sure) if sure else 1.0
+    times, pseudo = np.where(told, times * scale, times), pseudo * scale
+    voice = np.array(voices or [1.0] * cast.shape[1])[:, None]
     hot = np.stack([cast == v for v in (KEEP, REJECT, NONE)], 2).astype(float)
     post = np.where((cast == REJECT).any(1), 0.8, prior / 4)
-    post[known] = fixed
+    post[told] = fixed
     rates = np.empty((2, cast.shape[1], 3))
-    trust = np.array([[0.95, 0.005, 0.045], [0.65, 0.25, 0.1]]) * strength * times.sum() + 0.01
+    trust = np.array([[0.95, 0.005, 0.045], [0.75, 0.2, 0.05]]) * pseudo + 0.01
     for _ in range(rounds):
         for y, weight in enumerate((1 - post, post)):
             rates[y] = ((weight * times)[:, None, None] * hot).sum(0) + trust[y]
             rates[y] /= rates[y].sum(1, keepdims=True)
-        share = np.clip(((post * times).sum() / times.sum() + strength * prior) / (1 + strength), 0.005, 0.95)
-        logs = [(hot * np.log(rates[y])).sum((1, 2)) for y in (0, 1)]
+        share = np.clip(((post * times).sum() + pseudo * prior) / (times.sum() + pseudo), 0.005, 0.95)
+        logs = [(hot * np.log(rates[y]) * voice).sum((1, 2)) for y in (0, 1)]
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log((1 - share) / share), -50, 50)))
-        new[known] = fixed
+        new[told] = fixed
         if np.abs(new - post).max() < 1e-6:
             post = new
             break
@@ -188,16 +205,16 @@ class Model:
         return out
 
 
-def _fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = 400, penalty: float = 1e-4) -> tuple[dict[int, float], float]:
-    """Logistic regression on sparse presences by gradient steps; weights stay towards rejection."""
+def _fit(rows: list[np.ndarray], target: np.ndarray, times: np.ndarray, rounds: int = 400, penalty: float = 1e-4) -> tuple[dict[int, float], float]:
+    """Logistic regression on sparse presences by gradient steps; weights stay towards rejection; a row counts ``times`` times."""
     known = np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int64)
     at = np.searchsorted(known, np.concatenate(rows)) if rows else known
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     w, bias, g2, b2 = np.zeros(len(known)), -2.0, np.full(len(known), 1e-8), 1e-8
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(owner, w[at], len(rows)), -50, 50)))
-        error = p - target
-        grad, grad_b = np.bincount(at, error[owner], len(known)) + penalty * w * len(rows), error.sum()
+        error = (p - target) * times
+        grad, grad_b = np.bincount(at, error[owner], len(known)) + penalty * w * times.sum(), error.sum()
         g2, b2 = g2 + grad * grad, b2 + grad_b * grad_b
         w, bias = np.maximum(0.0, w - 0.5 * grad / np.sqrt(g2)), bias - 0.5 * grad_b / b2**0.5
     return dict(zip(known.tolist(), w.tolist(), strict=True)), float(bias)
@@ -221,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, id_co
     else:
         cast = cast.withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
     cast = hold(cast.select("uid", "cast", F.coalesce(1 - F.col("quality"), F.lit(NONE)).cast("int").alias("bad"), F.coalesce("toxic", F.lit(NONE)).cast("int").alias("toxic")))
-    tally = cast.groupBy("cast", "bad", "toxic").count().collect()  # 3 ** 6 patterns at most
+    tally = cast.groupBy("cast", "bad", "toxic").count().collect()  # 3 ** 7 * 2 ** 4 patterns at most
     if not tally:
         return Model(np.zeros(1 << BITS), -2.0, {})
     tally.sort(key=lambda r: (bytes(r["cast"]), r["bad"], r["toxic"]))
@@ -234,56 +251,61 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, id_co
     chosen = chosen.select("uid", "bad", "toxic").dropDuplicates(["uid"])  # about the sample
     rows = hold(rows.join(F.broadcast(chosen), "uid").select("text", "bad", "toxic"))
     n = len(FORM)
-    bad, form_rates = estimate(patterns[:, :n], patterns[:, n + 1], times=times)
-    silent_is_keep = np.where(patterns[:, n : n + 1] == REJECT, REJECT, KEEP)  # the lexicon never says keep
-    rude, insult_rates = estimate(silent_is_keep, patterns[:, n + 2], prior=0.05, times=times)
+    bad, form_rates = estimate(patterns[:, :n], patterns[:, -2], times=times, voices=VOICES[0])
+    silent_is_keep = np.where(patterns[:, n:-2] == REJECT, REJECT, KEEP)
+    rude, insult_rates = estimate(silent_is_keep, patterns[:, -1], prior=0.05, times=times, voices=VOICES[1])
     both = 1 - (1 - bad) * (1 - rude)
-    open_ = (patterns[:, n + 1] == NONE) | (patterns[:, n + 2] == NONE)
+    open_ = (patterns[:, -2:] == NONE).any(1)
     both[open_ & ~open_.all() & (both < 0.5)] = np.nan  # not trained on
-    posterior = dict(zip([x.tobytes() for x in patterns], both.tolist(), strict=True))
+    calm = (patterns[:, :-2] != REJECT).all(1)
+    chance = times * np.where((patterns[:, -2:] != NONE).any(1), *shares)  # about the rows in the sample
+    stands_for = float(chance[calm].sum() / max(1.0, chance[calm & ~np.isnan(both)].sum()))
+    posterior = dict(zip([x.tobytes() for x in patterns], zip(both.tolist(), np.where(calm, stands_for, 1.0).tolist(), strict=True), strict=True))
 
     def targets(piece: Piece, batch: pa.RecordBatch, cast: np.ndarray) -> np.ndarray:
+        """Rows (target, weight) of a piece's texts."""
         given = [np.asarray(batch.column(k)).astype(np.int8)[piece.first : piece.first + len(piece), None] for k in (1, 2)]
         return np.array([posterior[x.tobytes()] for x in np.concatenate([cast, *given], 1)])
 
-    def trained(piece: Piece, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Targets of a piece's texts, and distinct (text, feature) pairs of those that are trained on."""
+    def trained(piece: Piece, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Targets and weights of a piece's texts, and distinct (text, feature) pairs of those that are trained on."""
         cast = votes(piece)
-        target = targets(piece, batch, cast)
+        target, weight = targets(piece, batch, cast).T
         row, feature = features(piece, cast)
         some = ~np.isnan(target[row])
         pairs = np.unique((row[some] << BITS) | feature[some])
-        return target, pairs >> BITS, pairs & ((1 << BITS) - 1)
+        return target, weight, pairs >> BITS, pairs & ((1 << BITS) - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column(0), False):
-                target, row, feature = trained(piece, batch)
+                target, weight, row, feature = trained(piece, batch)
                 own, at = np.unique(feature, return_inverse=True)
-                yield pa.record_batch({"feature": pa.array(own, pa.int64()), "n": pa.array(np.bincount(at, minlength=len(own)), pa.int64()), "bad": pa.array(np.bincount(at, (target[row] >= 0.5).astype(float), len(own)), pa.float64())})
+                bad, good = (np.bincount(at, weight[row] * side, len(own)) for side in (target[row] >= 0.5, target[row] < 0.5))
+                yield pa.record_batch({"feature": pa.array(own, pa.int64()), "n": pa.array(np.bincount(at, minlength=len(own)), pa.int64()), "bad": pa.array(bad, pa.float64()), "good": pa.array(good, pa.float64())})
 
-    telling = rows.mapInArrow(count, "feature long, n long, bad double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    telling = telling.filter((F.col("n") >= SUPPORT) & (F.col("bad") >= PRECISION * F.col("n"))).select("feature").collect()  # 2 ** BITS at most
+    telling = rows.mapInArrow(count, "feature long, n long, bad double, good double").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
+    telling = telling.filter((F.col("n") >= SUPPORT) & (F.col("bad") >= PRECISION * (F.col("bad") + F.col("good") + stands_for - 1))).select("feature").collect()  # 2 ** BITS at most
     wanted = np.zeros(1 << BITS, bool)
     wanted[[r["feature"] for r in telling]] = True
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column(0), False):
-                target, row, feature = trained(piece, batch)
+                target, weight, row, feature = trained(piece, batch)
                 row, feature = row[wanted[feature]], feature[wanted[feature]].astype("<u4")
                 cuts = np.searchsorted(row, np.arange(len(piece) + 1))
                 lists = [feature[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 some = ~np.isnan(target)
-                yield pa.record_batch({"target": pa.array(target[some]), "features": pa.array([x for x, s in zip(lists, some.tolist(), strict=True) if s], pa.binary())})
+                yield pa.record_batch({"target": pa.array(target[some]), "weight": pa.array(weight[some]), "features": pa.array([x for x, s in zip(lists, some.tolist(), strict=True) if s], pa.binary())})
 
-    found = rows.mapInArrow(present, "target double, features binary").toArrow()  # a row for each sample document
-    found = found.sort_by([("target", "ascending"), ("features", "ascending")])  # sums don't depend on the order of tasks
-    fitted, bias = _fit([np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in found.column("features")], np.asarray(found.column("target")))
+    found = rows.mapInArrow(present, "target double, weight double, features binary").toArrow()  # a row for each sample document
+    found = found.sort_by([(c, "ascending") for c in ("target", "weight", "features")])  # sums don't depend on the order of tasks
+    fitted, bias = _fit([np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in found.column("features")], np.asarray(found.column("target")), np.asarray(found.column("weight")))
     weights = np.zeros(1 << BITS)
     for feature, w in fitted.items():
         weights[feature] = w
-    return Model(weights, bias, {x: form_rates[:, i].tolist() for i, x in enumerate(FORM)} | {"lexicon": insult_rates[:, 0].tolist()})
+    return Model(weights, bias, {x: form_rates[:, i].tolist() for i, x in enumerate(FORM)} | {x: insult_rates[:, i].tolist() for i, x in enumerate(RUDE)})
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -226,7 +226,7 @@ def test_em_finds_the_rates_of_labellers() -> None:
     truth = r.random(4000) < 0.25
     accuracy = [0.95, 0.8, 0.7, 0.9]
     cast = np.stack([np.where(r.random(4000) < 0.3, 2, np.where(r.random(4000) < a, truth, ~truth)) for a in accuracy], 1).astype(np.int8)
-    post, rates = estimate(cast, strength=0.0)
+    post, rates = estimate(cast, pseudo=0.0)
     assert ((post > 0.5) == truth).mean() > 0.93
     for j, a in enumerate(accuracy):
         assert rates[0, j, 0] / rates[0, j, :2].sum() == pytest.approx(a, abs=0.04)

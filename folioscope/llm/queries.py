@@ -72,6 +72,22 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+ORACLE_SQL["op9_substrings"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+s AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM d),
+g AS (SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 49], ' ')) AS passage FROM s),
+f AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY passage) < doc_id AS again FROM g),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+k AS (
+  SELECT w.doc_id, w.word, w.pos,
+         coalesce(bool_or(f.again) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS removed
+  FROM w LEFT JOIN f ON w.doc_id = f.doc_id AND w.pos = f.pos),
+r AS (SELECT doc_id, count(*) FILTER (WHERE removed) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT removed) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash and near-duplicate component."""

@@ -1,8 +1,8 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote keep, reject or nothing on a text: five about
-its form (symbols, capitals, and repetition of words, of phrases and of
-neighbours) and four about insults (two lists of words, several in one text,
+Overlapping heuristic labellers vote keep, reject or nothing on a text: three about
+its form (symbols, capitals, and repetition of words, phrases or neighbours,
+which go together and so are one labeller) and four about insults (two lists of words, several in one text,
 and their share of the words).
 For form and for insults, expectation-maximisation over the votes estimates how
 often each labeller votes what in good and in bad texts, and gives each pattern
@@ -54,10 +54,8 @@ BITS = 20  #: the model has 2**BITS hashed weights
 NAMES = ("idiot", "moron", "loser", "scum", "clown")
 JUDGEMENTS = ("stupid", "trash", "worthless", "pathetic", "disgusting")
 KEEP, REJECT, NONE = 0, 1, 2
-FORM = ("symbols", "capitals", "one word", "phrases", "neighbours")
+FORM = ("symbols", "capitals", "repetition")
 RUDE = ("names", "judgements", "several", "share")
-#: Repetition shows in three ways at once, and several insults make a share: these share voices.
-VOICES = (1, 1, 1 / 3, 1 / 3, 1 / 3), (1, 1, 1 / 2, 1 / 2)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*|<>{}~^=@\\_"]] = True
 _UPPER = np.zeros(256, bool)
@@ -113,11 +111,14 @@ def votes(piece: Piece) -> np.ndarray:
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             insults[k] = np.bincount(whose[known[at] == h], minlength=len(piece))
     out = np.empty((len(piece), len(FORM) + len(RUDE)), np.int8)
+    repeats = np.stack([
+        _vote(most / np.maximum(1, n), 0.2, 0.3, n >= 10),
+        _vote(again / np.maximum(1, n), 0.05, 0.2, n >= 10),
+        _vote(_sums(beside, piece.counts) / np.maximum(1, n), 0.03, 0.15, n >= 10),
+    ])
     out[:, 0] = _vote(symbols, 0.01, 0.04, n_bytes >= 20)
     out[:, 1] = _vote(capitals, 0.15, 0.3, letters >= 20)
-    out[:, 2] = _vote(most / np.maximum(1, n), 0.2, 0.3, n >= 10)
-    out[:, 3] = _vote(again / np.maximum(1, n), 0.05, 0.2, n >= 10)
-    out[:, 4] = _vote(_sums(beside, piece.counts) / np.maximum(1, n), 0.03, 0.15, n >= 10)
+    out[:, 2] = np.where((repeats == REJECT).any(0), REJECT, np.where((repeats == KEEP).all(0), KEEP, NONE))
     both = insults.sum(0)
     rude = np.stack([*(insults > 0), both > 1, both > 0.01 * n])  # none of these ever says keep
     out[:, len(FORM) :] = np.where(rude, REJECT, NONE).T
@@ -151,7 +152,7 @@ def features(piece: Piece, cast: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def estimate(cast: np.ndarray, given: np.ndarray | None = None, prior: float = 0.2, pseudo: float = PSEUDO, rounds: int = 100, times: np.ndarray | None = None, voices: tuple[float, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+def estimate(cast: np.ndarray, given: np.ndarray | None = None, prior: float = 0.2, pseudo: float = PSEUDO, rounds: int = 100, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """EM over votes (rows of KEEP, REJECT, NONE): the posterior of rejection by row, and each labeller's vote rates by class.
 
     Starts from any rejection as a likely one.  ``pseudo`` rows of a prior, as good
@@ -159,7 +160,6 @@ def estimate(cast: np.ndarray, given: np.ndarray | None = None, prior: float = 0
     most kinds of bad ones, and of a share ``prior`` of bad texts.
     ``given`` has known labels, or NONE; ``times`` how often each row counts.
     Labelled rows and the prior weigh at least as much as the other rows together.
-    ``voices`` are exponents of the labellers' likelihoods: those that go together share a voice.
     """
     times = np.ones(len(cast)) if times is None else times.astype(float)
     told = given != NONE if given is not None else np.zeros(len(cast), bool)
@@ -167,18 +167,17 @@ def estimate(cast: np.ndarray, given: np.ndarray | None = None, prior: float = 0
     sure = times[told].sum() + pseudo
     scale = max(1.0, times[~told].sum() / sure) if sure else 1.0
     times, pseudo = np.where(told, times * scale, times), pseudo * scale
-    voice = np.array(voices or [1.0] * cast.shape[1])[:, None]
     hot = np.stack([cast == v for v in (KEEP, REJECT, NONE)], 2).astype(float)
     post = np.where((cast == REJECT).any(1), 0.8, prior / 4)
     post[told] = fixed
     rates = np.empty((2, cast.shape[1], 3))
-    trust = np.array([[0.95, 0.005, 0.045], [0.75, 0.2, 0.05]]) * pseudo + 0.01
+    trust = np.array([[0.95, 0.005, 0.045], [0.65, 0.25, 0.1]]) * pseudo + 0.01
     for _ in range(rounds):
         for y, weight in enumerate((1 - post, post)):
             rates[y] = ((weight * times)[:, None, None] * hot).sum(0) + trust[y]
             rates[y] /= rates[y].sum(1, keepdims=True)
         share = np.clip(((post * times).sum() + pseudo * prior) / (times.sum() + pseudo), 0.005, 0.95)
-        logs = [(hot * np.log(rates[y]) * voice).sum((1, 2)) for y in (0, 1)]
+        logs = [(hot * np.log(rates[y])).sum((1, 2)) for y in (0, 1)]
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log((1 - share) / share), -50, 50)))
         new[told] = fixed
         if np.abs(new - post).max() < 1e-6:
@@ -238,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, id_co
     else:
         cast = cast.withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
     cast = hold(cast.select("uid", "cast", F.coalesce(1 - F.col("quality"), F.lit(NONE)).cast("int").alias("bad"), F.coalesce("toxic", F.lit(NONE)).cast("int").alias("toxic")))
-    tally = cast.groupBy("cast", "bad", "toxic").count().collect()  # 3 ** 7 * 2 ** 4 patterns at most
+    tally = cast.groupBy("cast", "bad", "toxic").count().collect()  # 3 ** 5 * 2 ** 4 patterns at most
     if not tally:
         return Model(np.zeros(1 << BITS), -2.0, {})
     tally.sort(key=lambda r: (bytes(r["cast"]), r["bad"], r["toxic"]))
@@ -251,9 +250,9 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, id_co
     chosen = chosen.select("uid", "bad", "toxic").dropDuplicates(["uid"])  # about the sample
     rows = hold(rows.join(F.broadcast(chosen), "uid").select("text", "bad", "toxic"))
     n = len(FORM)
-    bad, form_rates = estimate(patterns[:, :n], patterns[:, -2], times=times, voices=VOICES[0])
+    bad, form_rates = estimate(patterns[:, :n], patterns[:, -2], times=times)
     silent_is_keep = np.where(patterns[:, n:-2] == REJECT, REJECT, KEEP)
-    rude, insult_rates = estimate(silent_is_keep, patterns[:, -1], prior=0.05, times=times, voices=VOICES[1])
+    rude, insult_rates = estimate(silent_is_keep, patterns[:, -1], prior=0.05, times=times)
     both = 1 - (1 - bad) * (1 - rude)
     open_ = (patterns[:, -2:] == NONE).any(1)
     both[open_ & ~open_.all() & (both < 0.5)] = np.nan  # not trained on

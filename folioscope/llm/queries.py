@@ -1,4 +1,4 @@
-"""The ten operators applied to the test tables, and SQL for those that SQL can express."""
+"""The operators applied to the test tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import table
 from folioscope.llm.op3_licenses import oracle_sql as op3_licenses_sql
 
+# A checksum in SQL: the table's 256 entries by eight shifts each, then one step a byte.
+_CRC32 = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda j: CAST(ascii(CAST(doc_id AS VARCHAR)[j]) AS BIGINT))),
+  lambda s, c: xor(s >> 8, list_reduce(list_prepend(xor(s, c) & 255, range(8)), lambda t, _: CASE WHEN t % 2 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END))))"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -163,3 +167,108 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
     return score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
+@query
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and what the rendered text and the loss mask say of each."""
+    from folioscope.llm.op11_chat import formatted, read_back, with_control_case
+
+    return read_back(formatted(with_control_case(table(spark, sf_dir, "conversations")))).drop("n_tokens", "n_loss_tokens")
+
+
+ORACLE_SQL["op11_chat"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+e AS (
+  SELECT *, replace(text, chr(92), chr(92) || chr(92)) AS doubled FROM t),
+f AS (
+  SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss,
+         CAST(sum(length(role) + length(doubled) + len(regexp_extract_all(text, '<(turn|says|/turn)>')) + 19) AS BIGINT) AS formatted_chars
+  FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM f
+"""
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in a Merkle manifest, and whether it verifies as received: half of the texts arrive without line breaks."""
+    from folioscope.llm.op12_manifest import manifest
+
+    stripped = F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0, F.translate("text", "\n", ""))
+    return manifest(table(spark, sf_dir, "documents"), stripped).withColumnRenamed("id", "doc_id")
+
+
+ORACLE_SQL["op12_manifest"] = r"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS k, doc_id, source, text, CASE WHEN doc_id IS NULL THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS i, lang, CAST(n_chars AS VARCHAR) AS n,
+         CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS got
+  FROM (SELECT *, CRC AS crc FROM documents)),
+l AS (
+  SELECT k, doc_id, source,
+         sha256(HEAD || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(HEAD || coalesce(strlen(got) || ':' || got, '-')) AS changed FROM f),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+up AS (
+  SELECT source, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY source) AS n FROM placed
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM up WHERE n > 1 GROUP BY source, level, pos // 3),
+sub AS (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, subroot AS node, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY level, pos // 3),
+root AS (SELECT node AS root FROM top WHERE n = 1),
+runs AS (
+  SELECT source, level, pos, coalesce(string_agg(node, '' ORDER BY pos) OVER (PARTITION BY source, level, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+         coalesce(string_agg(node, '' ORDER BY pos) OVER (PARTITION BY source, level, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM up WHERE n > 1),
+top_runs AS (
+  SELECT level, pos, coalesce(string_agg(node, '' ORDER BY pos) OVER (PARTITION BY level, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+         coalesce(string_agg(node, '' ORDER BY pos) OVER (PARTITION BY level, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM top WHERE n > 1),
+steps AS (
+  SELECT p.k, 0 AS tree, r.level, r.a, r.b FROM placed p JOIN runs r ON p.source IS NOT DISTINCT FROM r.source AND r.pos = p.pos // CAST(pow(3, r.level) AS BIGINT)
+  UNION ALL
+  SELECT p.k, 1, r.level, r.a, r.b FROM placed p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source JOIN top_runs r ON r.pos = s.pos // CAST(pow(3, r.level) AS BIGINT)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tree, level) AS step, count(*) OVER (PARTITION BY k) AS steps FROM steps),
+proofs AS (SELECT k, sha256(string_agg(a || b, '' ORDER BY step)) AS proof FROM numbered GROUP BY k),
+fold AS (
+  SELECT k, 0 AS step, changed AS node FROM placed
+  UNION ALL
+  SELECT fold.k, fold.step + 1, sha256(n.a || fold.node || n.b) FROM fold JOIN numbered n ON n.k = fold.k AND n.step = fold.step + 1),
+ends AS (SELECT k, arg_max(node, step) AS folded_root FROM fold GROUP BY k)
+SELECT p.doc_id, p.leaf, s.subroot, root.root, coalesce(proofs.proof, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = root.root AS verified
+FROM placed p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source JOIN ends e USING (k) LEFT JOIN proofs USING (k), root
+""".replace("HEAD", " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("i", "source", "lang", "n"))).replace("CRC", _CRC32)
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's divergence from the others of its language, and its terms above the language's."""
+    from folioscope.llm.op13_divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+v AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 3),
+sizes AS (SELECT lang, count(*) AS kept FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+cell AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n FROM g JOIN v ON g.lang = v.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM cell),
+l0 AS (SELECT lang, term, sum(n) AS n FROM cell GROUP BY ALL),
+l AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM l0),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST(((p.p - l.q) * (p.p - l.q)) // l.q AS BIGINT) AS value
+          FROM p JOIN l ON p.lang = l.lang AND p.term = l.term WHERE p.n > 0 AND p.p > l.q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM (SELECT * FROM every UNION ALL SELECT * FROM terms))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""

@@ -1,12 +1,19 @@
-"""Aligns the words of a list with the tokens of a text.
+"""Aligns the words of a list with the tokens of a text, a batch of verses at a time.
 
-A walk over two lists with a cursor each has no relational form, so this runs as
-an Arrow UDF, a row per verse; the walk itself is plain Python.
+``walk`` says what an alignment is: a cursor in each list, and four ways to go on.
+``aligned`` gives the same for a batch, on flat Arrow buffers.  Words become
+numbers, so that equal words are equal numbers.  Up to the first place where the
+lists differ every word meets its token, which one comparison of the buffers finds
+for all verses; only verses that differ are walked from there, over numbers, and
+strings are looked at where numbers differ, once for each pair of words.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +22,7 @@ from folioscope.shipping import ship
 
 SCHEMA = "array<struct<index:int,tokens:array<int>,match:string>>"
 MOST_TOKENS = 5
+MATCHES = ("fallback", "direct", "join", "split")
 
 
 def near(a: str, b: str, most: int) -> bool:
@@ -23,18 +31,19 @@ def near(a: str, b: str, most: int) -> bool:
         return True
     if abs(len(a) - len(b)) > most:
         return False
-    row = {j: j for j in range(min(len(b), most) + 1)}
+    if most == 1:
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+        return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+    row, far = list(range(len(b) + 1)), most + 1
     for i, x in enumerate(a, 1):
-        new = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            best = row.get(j, most + 1) + 1
-            if j:
-                best = min(best, new.get(j - 1, most + 1) + 1, row.get(j - 1, most + 1) + (x != b[j - 1]))
-            else:
-                best = i
-            new[j] = best
+        low, high = max(1, i - most), min(len(b), i + most)
+        new = [far] * (len(b) + 1)
+        new[0] = i
+        for j in range(low, high + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
         row = new
-    return row.get(len(b), most + 1) <= most
+    return row[len(b)] <= most
 
 
 def walk(listed: list[str], tokens: list[str], most: int = 1) -> list[tuple[int, list[int], str]]:
@@ -44,37 +53,83 @@ def walk(listed: list[str], tokens: list[str], most: int = 1) -> list[tuple[int,
     next word (join); up to five tokens for the word (split); else the next
     token is taken as it is (fallback).  When tokens run out, words have none.
     """
-    out: list[tuple[int, list[int], str]] = []
-    at = 0
-    while len(out) < len(listed):
-        k = len(out)
-        word = listed[k]
-        if at >= len(tokens):
-            out.append((k, [], "fallback"))
-            continue
-        token = tokens[at]
-        if near(word, token, most):
-            out.append((k, [at], "direct"))
-            at += 1
+    words = dict.fromkeys([*listed, *tokens])
+    number = {w: i for i, w in enumerate(words)}
+    found = _walked([number[w] for w in listed], [number[t] for t in tokens], list(words), 0, _memory(list(words), most), most)
+    return [(k, list(range(first, first + n)), MATCHES[match]) for k, (first, n, match) in enumerate(found)]
+
+
+def _memory(words: list[str], most: int) -> Callable[[int, int], bool]:
+    """Whether two numbered words are near, worked out once for each pair."""
+    known: dict[tuple[int, int], bool] = {}
+
+    def close(a: int, b: int) -> bool:
+        if (a, b) not in known:
+            known[a, b] = near(words[a], words[b], most)
+        return known[a, b]
+
+    return close
+
+
+def _walked(listed: list[int], tokens: list[int], words: list[str], at: int, close: Callable[[int, int], bool], most: int) -> list[tuple[int, int, int]]:
+    """(first token, number of tokens, match) of each listed word from place ``at`` on, which both cursors have."""
+    out: list[tuple[int, int, int]] = []
+    k, n, m = at, len(listed), len(tokens)
+    while k < n and at < m:
+        a, b = listed[k], tokens[at]
+        if a == b or close(a, b):
+            out.append((at, 1, 1))
+            k, at = k + 1, at + 1
             continue
-        shared = k + 1 < len(listed) and len(token) > len(word) and token.startswith(word)
-        if shared and near(token[len(word) :], listed[k + 1], most):
-            out += [(k, [at], "join"), (k + 1, [at], "join")]
-            at += 1
+        word, token = words[a], words[b]
+        if k + 1 < n and len(token) > len(word) and token.startswith(word) and near(token[len(word) :], words[listed[k + 1]], most):
+            out += [(at, 1, 2), (at, 1, 2)]
+            k, at = k + 2, at + 1
             continue
-        joined, end = "", at
-        while end < min(len(tokens), at + MOST_TOKENS):
-            joined += tokens[end]
+        joined, end, met = "", at, False
+        while end < min(m, at + MOST_TOKENS):
+            joined += words[tokens[end]]
             end += 1
-            if near(word, joined, most) or len(joined) > len(word) + most + 2:
+            met = near(word, joined, most)
+            if met or len(joined) > len(word) + most + 2:
                 break
-        if near(word, joined, most):
-            out.append((k, list(range(at, end)), "split"))
-            at = end
-        else:
-            out.append((k, [at], "fallback"))
-            at += 1
-    return out
+        out.append((at, end - at, 3) if met else (at, 1, 0))
+        k, at = k + 1, end if met else at + 1
+    return out + [(at, 0, 0)] * (n - k)
+
+
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The elements of lists without nulls around them, and where each list begins."""
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def aligned(listed: pa.ListArray, tokens: pa.ListArray, most: int = 1) -> pa.ListArray:
+    """``walk`` for a batch of verses; a null list is empty, a null word is the empty word."""
+    (left, starts), (right, begins) = _flat(listed), _flat(tokens)
+    coded = pa.concat_arrays([left, right]).fill_null("").dictionary_encode()
+    numbers, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    a, b = numbers[: len(left)], numbers[len(left) :]
+    n, m = np.diff(starts), np.diff(begins)
+    both = np.minimum(n, m)
+    within = np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both)
+    differ = a[np.repeat(starts[:-1], both) + within] != b[np.repeat(begins[:-1], both) + within]
+    verse = np.repeat(np.arange(len(n)), both)[differ]
+    alike = both.copy()  # words before the first difference
+    np.minimum.at(alike, verse, within[differ])
+    index = np.arange(len(a)) - np.repeat(starts[:-1], n)
+    direct = index < np.repeat(alike, n)
+    first, count, match = np.where(direct, index, 0), direct.astype(np.int64), direct.astype(np.int64)
+    close = _memory(words, most)
+    for v in np.unique(verse):
+        at = int(alike[v])
+        found = _walked(a[starts[v] : starts[v + 1]].tolist(), b[begins[v] : begins[v + 1]].tolist(), words, at, close, most)
+        first[starts[v] + at : starts[v + 1]], count[starts[v] + at : starts[v + 1]], match[starts[v] + at : starts[v + 1]] = np.array(found, np.int64).T
+    ends = np.concatenate([[0], np.cumsum(count)])
+    taken = np.repeat(first - ends[:-1], count) + np.arange(ends[-1])
+    own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(taken, pa.int32()))
+    entry = pa.StructArray.from_arrays([pa.array(index, pa.int32()), own, pa.array(MATCHES).take(pa.array(match))], ["index", "tokens", "match"])
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), entry)
 
 
 def align(listed: Column, tokens: Column, most: int = 1) -> Column:
@@ -82,8 +137,8 @@ def align(listed: Column, tokens: Column, most: int = 1) -> Column:
     if session := SparkSession.getActiveSession():
         ship(session)
 
-    @F.pandas_udf(SCHEMA)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"index": i, "tokens": t, "match": m} for i, t, m in walk(list(x) if x is not None else [], list(y) if y is not None else [], most)] for x, y in zip(a, b, strict=True)])
+    @F.arrow_udf(SCHEMA)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return aligned(a, b, most)
 
     return run(F.transform(listed, matching_form), F.transform(tokens, matching_form))

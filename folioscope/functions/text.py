@@ -21,9 +21,14 @@ def trim_spaces(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def marks_removed(text: Column) -> Column:
+    """Without marks and fillers, plain alif."""
+    return F.translate(text, "\u0671" + _VOWEL_SIGNS + _PAUSE_SIGNS + "\u0640\u0670", "\u0627")
+
+
 def search_form(text: Column) -> Column:
     """Form in which texts are searched: no marks or fillers, plain alif, trimmed."""
-    return trim_spaces(F.translate(text, "\u0671" + _VOWEL_SIGNS + _PAUSE_SIGNS + "\u0640\u0670", "\u0627"))
+    return trim_spaces(marks_removed(text))
 
 
 def strip_vowels(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.align import align
-from folioscope.functions.text import classified_tokens, html_escape, mark_html, slug, tokens_and_marks
+from folioscope.functions.text import classified_tokens, html_escape, mark_html, page_file, slug, tokens_and_marks
 
 
 def page_tokens(verses: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def pages(verses: DataFrame, morphology: DataFrame) -> DataFrame:
         F.lit('<!doctype html>\n<html lang="ar" dir="rtl"><head><meta charset="utf-8"><title>'), title, F.lit('</title></head><body>\n<main class="quran" data-surah-number="'), F.col("surah"),
         F.lit('"><header class="surah-header"><h1 class="surah-name">'), title, F.lit("</h1></header>\n"), F.col("body"), F.lit("\n</main></body></html>\n"),
     )
-    return body.select("surah", F.concat(F.lpad(F.col("surah").cast("string"), 3, "0"), F.lit("-"), slug(F.col("name")), F.lit(".html")).alias("file"), html.alias("html"))
+    return body.select("surah", page_file(F.col("surah"), slug(F.col("name"))).alias("file"), html.alias("html"))
 
 
 def aligned_tokens(verses: DataFrame, words: DataFrame, most: int = 1) -> DataFrame:

@@ -45,10 +45,10 @@ def add_missing(meanings: DataFrame, new_rows: DataFrame, key: str = "root", con
 
 
 def patch(rows: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:
-    """Patched values where all keys match and the patch has one; patches are few and broadcast."""
+    """Patched values where all keys match and the patch has one; Spark broadcasts the patches where it sees that they are few."""
     values = [c for c in patches.columns if c not in keys]
     fixed = patches.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values], F.lit(True).alias("_hit"))
-    joined = rows.join(F.broadcast(fixed), keys, "left")
+    joined = rows.join(fixed, keys, "left")
     return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns], F.coalesce("_hit", F.lit(False)).alias("patched"))
 
 

@@ -76,7 +76,7 @@ def read_root_entries(spark: SparkSession, path: str) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Rows (number, file, html) of pages named NNN-name.html."""
     rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.html").select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file"), F.col("value").alias("html"))
-    return rows.select(F.regexp_extract("file", r"^(\d{3})-", 1).try_cast("int").alias("number"), "file", "html").filter("number is not null")
+    return rows.select(F.regexp_extract("file", r"^(\d{3,})-", 1).try_cast("int").alias("number"), "file", "html").filter("number is not null")
 
 
 def read_dimension(spark: SparkSession, rows: list[tuple[int, str, str, str, int]]) -> DataFrame:

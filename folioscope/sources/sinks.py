@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import clean_field
+from folioscope.sources.named_files import write_named_files
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -13,17 +14,24 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def csv_text(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Lines of a CSV as rows (line), quoted where needed, to be joined by CRLF."""
+def csv_text(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Lines of a CSV as rows (line), quoted where needed, to be joined by CRLF; with columns by_0 and so on to order them by."""
     cell = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    return df.select(F.concat_ws(",", *[cell(c) for c in columns]).alias("line"))
+    return df.select(F.concat_ws(",", *[cell(c) for c in columns]).alias("line"), *[F.col(c).alias(f"by_{k}") for k, c in enumerate(by or [])])
 
 
-def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
-    """A CSV folder of one file whose lines end in CR LF; meant for edited dictionaries, never for the folder being read."""
-    head = df.sparkSession.createDataFrame([(-1, ",".join(columns))], "n long, line string")
-    body = csv_text(df, columns).withColumn("n", F.monotonically_increasing_id()).select("n", "line")
-    head.unionByName(body).coalesce(1).sortWithinPartitions("n").select(F.col("line").alias("value")).write.option("lineSep", "\r\n").text(path)
+def write_csv(df: DataFrame, columns: list[str], path: str, order: list[str] | None = None, parts: int | None = None) -> None:
+    """A CSV in parts that follow one another, the header in the first; lines end in CR LF.
+
+    Parts are ranges of ``order``, or of the order that rows have; a small table
+    is one part, unless their number is given.  Never for the folder that is being read.
+    """
+    by = order or ["_at"]
+    rows = df if order else df.withColumn("_at", F.monotonically_increasing_id())
+    body = csv_text(rows, columns, by).withColumn("first", F.lit(1))
+    head = df.sparkSession.createDataFrame([(",".join(columns),)], "line string").withColumns({**{f"by_{k}": F.lit(None).cast(body.schema[f"by_{k}"].dataType) for k in range(len(by))}, "first": F.lit(0)})
+    keys = ["first", *[f"by_{k}" for k in range(len(by))]]
+    head.unionByName(body).repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys).select(F.col("line").alias("value")).write.option("lineSep", "\r\n").text(path)
 
 
 def nested_verses(verses: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:
@@ -51,8 +59,8 @@ def as_json(df: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """Pages (file, html), a folder each."""
-    pages.select("file", F.col("html").alias("value")).write.partitionBy("file").option("lineSep", "\n").text(path)
+    """Pages (file, html), a file each; those of an earlier write go when all are there."""
+    write_named_files(pages.select("file", F.col("html").alias("content")), path)
 
 
 def write_bookmarks(bookmarks: DataFrame, path: str) -> None:

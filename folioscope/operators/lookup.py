@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.operators.ranges import as_of, last_at_or_below, literal
+
 
 class BadRequest(ValueError):
     """A parameter that the guards turn away."""
@@ -48,6 +50,28 @@ def verse(verses: DataFrame, surah: int, number: int) -> DataFrame:
     return verses.filter((F.col("surah") == surah) & (F.col("verse") == number))
 
 
+def verse_text(verses: DataFrame, surah: int, number: int) -> str | None:
+    """The text of a verse, null if there is no such verse."""
+    found = verse(verses, surah, number).select("text").first()
+    return found["text"] if found else None
+
+
+def surah_name(verses: DataFrame, surah: int) -> str | None:
+    """The name of a surah, null if there is no such surah."""
+    found = verses.filter(F.col("surah") == surah).agg(F.min("name").alias("name")).first()
+    return found["name"]
+
+
+def bismillah(opened: DataFrame, surah: int) -> str | None:
+    """The opening formula of a surah, of rows that ``quality.with_openings`` gives."""
+    return opened.filter(F.col("surah") == surah).agg(F.min("opening").alias("opening")).first()["opening"]
+
+
+def division_parameters(dimension: DataFrame) -> DataFrame:
+    """The parameter (id) of each page there is to make, as text."""
+    return dimension.orderBy("id").select(F.col("id").cast("string").alias("id"))
+
+
 def word_with_segments(nested: DataFrame, surah: int, number: int, word: int) -> DataFrame:
     """A word with its ordered segments, an empty array if it has none."""
     none = F.array().cast(nested.schema["segments"].dataType)
@@ -63,8 +87,10 @@ def root_meaning(meanings: DataFrame, query: str) -> DataFrame:
 
 
 def with_default(rows: DataFrame, dimension: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
-    """A dimension's columns by key, defaults where it has no row."""
-    return rows.join(dimension.select(key, *defaults), key, "left").fillna(defaults)
+    """A dimension's columns by key, defaults where it has no row; a null of a row that it has stays null."""
+    theirs = dimension.select(F.col(key).alias("_key"), F.struct(*defaults).alias("_found"))
+    joined = rows.join(theirs, F.col(key) == F.col("_key"), "left")
+    return joined.withColumns({c: F.when(F.col("_found").isNotNull(), F.col("_found")[c]).otherwise(F.lit(v)) for c, v in defaults.items()}).drop("_key", "_found")
 
 
 def substring_search(verses: DataFrame, query: str) -> DataFrame:
@@ -72,35 +98,24 @@ def substring_search(verses: DataFrame, query: str) -> DataFrame:
     return verses.filter(F.contains("text", F.lit(query))).select("surah", "verse", "text").orderBy("surah", "verse")
 
 
-MOST_BANDS = 10_000
-
-
-def _literal(value: object) -> Column:
-    if isinstance(value, Row):
-        return F.struct(*[_literal(v).alias(k) for k, v in value.asDict().items()])
-    return F.lit(value)
+MOST_BANDS = 10_000  #: bands that are searched within a row
 
 
 def as_of_bands(rows: DataFrame, bands: DataFrame, key: Column, start: str, value: str, default: object) -> DataFrame:
-    """Value of the last band that starts at or before the key; for ``MOST_BANDS`` bands at most.
+    """Value of the last band that starts at or before the key, the default where there is none or it is null.
 
-    The bands become one sorted literal array that is searched within a row, so
-    rows are neither shuffled nor joined.
+    Up to ``MOST_BANDS`` bands become one sorted literal that is searched within a
+    row, so rows are neither shuffled nor joined; more of them are met in cells.
     """
     known = bands.select(F.struct(F.col(start).alias("start"), F.col(value).alias("value")).alias("b")).orderBy("b").limit(MOST_BANDS + 1)
     found = [r["b"] for r in known.collect()]
     if len(found) > MOST_BANDS:
-        raise ValueError(f"more than {MOST_BANDS} bands; as_of takes any number")
-    table = F.array(*map(_literal, found)).cast(T.ArrayType(known.schema["b"].dataType))
-    below = F.filter(table, lambda b: b["start"] <= key)
-    return rows.withColumn(value, F.coalesce(F.try_element_at(below, F.lit(-1))["value"], F.lit(default)))
-
-
-def as_of(rows: DataFrame, bands: DataFrame, keys: list[str], order: str, value: str, default: object) -> DataFrame:
-    """The same for any number of bands, where keys split the work: a union, and the last value seen in each key's order."""
-    both = rows.withColumns({value: F.lit(None), "_row": F.lit(1)}).unionByName(bands.select(*keys, order, value).withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    seen = Window.partitionBy(*keys).orderBy(order, "_row").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(seen), F.lit(default))).filter("_row = 1").drop("_row")
+        starts = bands.select(F.col(start).alias("_key"), F.col(value).alias("_band"))
+        own = as_of(rows.withColumn("_key", key), starts, [], "_key", "_band", default)
+        return own.withColumn(value, F.col("_band")).drop("_key", "_band")
+    table = literal(found).cast(T.ArrayType(known.schema["b"].dataType)) if found else F.array().cast(T.ArrayType(known.schema["b"].dataType))
+    below = last_at_or_below(table, key, len(found), "start")
+    return rows.withColumn(value, F.coalesce(F.get(table, below - 1)["value"], F.lit(default)))
 
 
 def first_stem(segments: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import first_sentence, unquote
+from folioscope.operators.ranges import numbered
 from folioscope.sources.readers import cleaned
 
 
@@ -51,6 +52,7 @@ def words_of(segments: DataFrame, verses: DataFrame, roots: DataFrame) -> DataFr
     """Words of known verses: fields of the first row, glosses of all rows joined, and the root by reference."""
     by_word = segments.groupBy("surah", "verse", "word").agg(
         *[F.min_by(c, "line").alias(c) for c in ("token", "without_diacritics", "punctuation_mark")],
+        F.min_by("gloss", F.when(F.coalesce("gloss", F.lit("")) != "", F.col("line"))).alias("first_gloss"),
         F.array_sort(F.collect_list(F.struct("line", F.coalesce(F.nullif("gloss", F.lit("")), "text").alias("said")))).alias("_said"),
     )
     said = F.filter(F.transform("_said", lambda s: s["said"]), lambda s: s != "")
@@ -72,14 +74,18 @@ def verse_morphology(nested: DataFrame) -> DataFrame:
     return ordered(nested, ["surah", "verse"], ["word"], rest, "words")
 
 
+def with_roots(words: DataFrame, segments: DataFrame, root: str = "root") -> DataFrame:
+    """Words with the segments that have a root, one row for each; words without any stay: the condition is part of the join."""
+    rooted = segments.filter(F.col(root).isNotNull()).select("surah", "verse", "word", "segment", F.col(root).alias("roots"))
+    return words.join(rooted, ["surah", "verse", "word"], "left")
+
+
 def search_morphology(words: DataFrame, segments: DataFrame, roots_in: str = "root") -> DataFrame:
     """Per verse the first joined row's translation and the sorted set of roots.
 
-    words (surah, verse, word, translation), segments (surah, verse, word,
-    segment, root): a left join with the condition on roots in the join.
+    words (surah, verse, word, translation), segments (surah, verse, word, segment, root).
     """
-    rooted = segments.filter(F.col(roots_in).isNotNull()).select("surah", "verse", "word", "segment", F.col(roots_in).alias("roots"))
-    joined = words.select("surah", "verse", "word", "translation").join(rooted, ["surah", "verse", "word"], "left")
+    joined = with_roots(words.select("surah", "verse", "word", "translation"), segments, roots_in)
     return first_and_set(joined, ["surah", "verse"], "translation", ["word", "segment"], "roots")
 
 
@@ -88,13 +94,14 @@ def root_glosses(meanings: DataFrame) -> DataFrame:
 
 
 def running_index(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """Rows with their number within the keys, from 1, however few keys there are."""
+    return numbered(rows, keys, order, name)
 
 
 def next_ids(rows: DataFrame, existing: DataFrame, id_col: str, order: str) -> DataFrame:
-    """New ids after the largest, in the order of a column; for a few added rows, as one window numbers them."""
+    """New ids after the largest, in the order of a column."""
     largest = existing.agg(F.max(F.col(id_col).try_cast("long"))).first()[0] or 0
-    return rows.withColumn(id_col, F.lit(largest) + F.row_number().over(Window.orderBy(order)))
+    return numbered(rows.drop(id_col), [], [order], id_col).withColumn(id_col, F.col(id_col) + largest)
 
 
 def corpus_counts(verses: DataFrame) -> DataFrame:

@@ -57,23 +57,44 @@ def empty_fields(meanings: DataFrame, columns: list[str]) -> DataFrame:
     return long.filter(is_empty(F.col("value"))).select("id", "column")
 
 
+CHECKS = (
+    ("missing roots", "FAIL"), ("empty full_response", "FAIL"), ("invalid full_response", "FAIL"), ("duplicate roots", "FAIL"), ("duplicate ids", "FAIL"), ("empty pos", "FAIL"),
+    ("orphans", "INFO"), ("empty fields", "INFO"),
+)
+
+
 def report(meanings: DataFrame, roots: DataFrame) -> DataFrame:
-    """Eight rows (check, findings, level, ok); orphans and empty fields inform and never fail."""
-    checks = (
-        ("missing roots", missing(roots, meanings, "root"), "FAIL"),
-        ("empty full_response", meanings.filter(is_empty(F.col("full_response"))), "FAIL"),
-        ("invalid full_response", invalid_responses(meanings).filter("finding <> 'empty'"), "FAIL"),
-        ("duplicate roots", duplicates(meanings, ["root"]), "FAIL"),
-        ("duplicate ids", duplicates(meanings, ["id"]), "FAIL"),
-        ("empty pos", meanings.filter(is_empty(F.col("pos"))), "FAIL"),
-        ("orphans", orphans(meanings, roots, "root"), "INFO"),
-        ("empty fields", empty_fields(meanings, list(LISTS)), "INFO"),
+    """Eight rows (check, findings, level, ok); orphans and empty fields inform and never fail.
+
+    Each table is read once: a row of the dictionary counts for its root and for its
+    id, and has what it is itself found to lack; a wanted root counts for the root.
+    Sums for a key are made before they are shuffled, so no key is too frequent.  A
+    null root is wanted by nothing, as in the single checks.
+    """
+    text = F.col("full_response")
+    invalid = F.size(F.filter(json_findings(text), lambda f: f != "empty"))
+    fields = sum((is_empty(F.col(c)).cast("int") for c in LISTS), F.lit(0))
+    none = [F.lit(0).alias(n) for n in ("empty", "invalid", "pos", "fields")]
+    lacks = [is_empty(text).cast("int").alias("empty"), invalid.alias("invalid"), is_empty(F.col("pos")).cast("int").alias("pos"), fields.alias("fields")]
+    entry = lambda kind, key, own: F.struct(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.lit(1).alias("rows"), F.lit(0).alias("wanted"), *own)
+    told = meanings.select(F.inline(F.array(entry("root", "root", lacks), entry("id", "id", none))))
+    asked = roots.select(F.lit("root").alias("kind"), F.col("root").cast("string").alias("key"), F.lit(0).alias("rows"), F.lit(1).alias("wanted"), *none)
+    totals = [F.sum(c).alias(c) for c in ("rows", "wanted", "empty", "invalid", "pos", "fields")]
+    by_key = told.unionByName(asked).groupBy("kind", "key").agg(*totals)
+    root, known = F.col("kind") == "root", F.col("key").isNotNull()
+    twice = F.col("rows") > 1
+    found = by_key.agg(
+        F.count_if(root & (F.col("wanted") > 0) & ((F.col("rows") == 0) | ~known)),
+        *[F.sum(c) for c in ("empty", "invalid")],
+        F.count_if(root & twice),
+        F.count_if(~root & twice),
+        F.sum("pos"),
+        F.sum(F.when(root & ((F.col("wanted") == 0) | ~known), F.col("rows"))),
+        F.sum("fields"),
     )
-    out = None
-    for name, found, level in checks:
-        row = found.agg(F.count("*").alias("findings")).select(F.lit(name).alias("check"), "findings", F.lit(level).alias("level"), ((F.col("findings") == 0) | F.lit(level == "INFO")).alias("ok"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    n = [F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long") for c in found.columns]
+    rows = F.array(*[F.struct(F.lit(name).alias("check"), k.alias("findings"), F.lit(level).alias("level"), ((k == 0) | F.lit(level == "INFO")).alias("ok")) for (name, level), k in zip(CHECKS, n, strict=True)])
+    return found.select(F.inline(rows))
 
 
 def exit_code(reported: DataFrame) -> int:

@@ -59,6 +59,23 @@ def search_glosses(verses: DataFrame, query: str, keys: list[str], translation:
     return verses.filter(F.contains(F.lower(translation), F.lit(query.lower()))).withColumns({"context": F.col(translation), "relevance": F.lit(1)}).orderBy(*keys).limit(limit)
 
 
+def envelope(found: DataFrame, q: str, kind: str = "text") -> DataFrame:
+    """One row (query, type, results, total) for the rows of a search, in their order."""
+    shown = [c for c in found.columns if c != "relevance"]
+    ranked = F.struct((-F.col("relevance")).alias("at"), F.col("surah"), F.col("verse"), F.struct(*shown, "relevance").alias("r"))
+    results = F.transform(F.array_sort(F.collect_list(ranked)), lambda x: x["r"])
+    return found.agg(results.alias("results")).select(F.lit(q).alias("query"), F.lit(kind).alias("type"), "results", F.size("results").alias("total"))
+
+
+def ask(verses: DataFrame, morphology: DataFrame, names: DataFrame, q: str | None, kind: str = "text") -> list[dict]:
+    """Results as the caller of the interface gets them: a trimmed query, 50 results at most, none for a blank query or one that is turned away."""
+    try:
+        found = search(verses, morphology, names, (q or "").strip(), kind, 50)
+    except BadRequest:
+        return []
+    return [r.asDict(recursive=True) for r in found.collect()]
+
+
 def search(verses: DataFrame, morphology: DataFrame, names: DataFrame, q: str, kind: str = "text", limit: object = 20) -> DataFrame:
     """Rows (surah, surah_name, verse, text, relevance[, context]) of a checked search; only the tables of its type are read."""
     q, kind, most = parameters(q, kind, limit)

@@ -9,7 +9,7 @@ from folioscope.functions import jsons
 from folioscope.functions import text as t
 from folioscope.operators import bookmarks, lookup, model, quality, repair, search
 from folioscope.plans.queries import query, table
-from folioscope.sources import sinks
+from folioscope.sources import divisions, sinks
 
 _NESTED = """
 WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'Stem' ELSE 'Prefix' END AS morph_type,
@@ -125,20 +125,29 @@ def two_hop_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.with_default(rows, n, "hop", {"name": "", "region": ""}).select("o_orderkey", "name", "region")
 
 
+_LINES = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+
+
 @query(
-    """
-WITH f AS (SELECT l_orderkey, first(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS token, string_agg(CASE WHEN l_returnflag <> 'N' THEN l_returnflag ELSE l_linestatus END, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS said FROM lineitem GROUP BY l_orderkey)
-SELECT f.l_orderkey, f.token, f.said FROM f JOIN orders o ON f.l_orderkey = o.o_orderkey
+    f"""
+WITH s AS (SELECT *, l_orderkey % 7 AS surah, l_linenumber % 2 AS word, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS gloss FROM lineitem)
+SELECT surah, l_orderkey AS verse, word, CAST(first(l_partkey {_LINES}) AS VARCHAR) AS token, first(gloss {_LINES}) FILTER (WHERE gloss IS NOT NULL) AS first_gloss,
+       string_agg(coalesce(gloss, l_linestatus), ' ' {_LINES}) AS translation, CAST(last(l_suppkey {_LINES}) FILTER (WHERE l_linestatus = 'F') AS VARCHAR) AS root
+FROM s JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey GROUP BY surah, l_orderkey, word
 """
 )
 def words_from_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First row's fields and the joined glosses of all rows, words of unknown verses left out."""
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    said = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise(F.col("l_linestatus"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", order.alias("line"), "l_partkey", said.alias("said"))
-    words = rows.groupBy("l_orderkey").agg(F.min_by("l_partkey", "line").alias("token"), F.array_sort(F.collect_list(F.struct("line", "said"))).alias("s"))
-    known = words.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-    return known.select("l_orderkey", "token", F.array_join(F.transform("s", lambda x: x["said"]), " ").alias("said"))
+    """First row's fields, the joined glosses of all rows and the last root given, words of unknown verses left out."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    at = [(F.col("l_orderkey") % 7).alias("surah"), F.col("l_orderkey").alias("verse"), (F.col("l_linenumber") % 2).alias("word")]
+    lines = table(spark, sf_dir, "lineitem")
+    segments = lines.select(
+        *at, line.alias("line"), F.col("l_partkey").cast("string").alias("token"), F.lit("").alias("without_diacritics"), F.lit("").alias("punctuation_mark"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("gloss"), F.col("l_linestatus").alias("text"),
+    )
+    roots = lines.filter("l_linestatus = 'F'").select(*at, F.col("l_suppkey").cast("string").alias("root"), line.alias("at"))
+    verses = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select((F.col("o_orderkey") % 7).alias("surah"), F.col("o_orderkey").alias("verse"))
+    return model.words_of(segments, verses, roots).select("surah", "verse", "word", "token", "first_gloss", "translation", "root")
 
 
 @query(
@@ -148,9 +157,9 @@ SELECT event_id, '"' || replace(props, '"', '""') || '"' AS cell, '{"event_id":'
 )
 def csv_and_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    out = events.select("event_id", F.struct("event_id", "event_type").alias("o"), F.struct("props").alias("c"))
+    objects = sinks.as_json(events.select("event_id", "event_type")).select(F.get_json_object("json", "$.event_id").cast("long").alias("event_id"), "json")
     cells = sinks.csv_text(events.select("event_id", "props"), ["event_id", "props"]).select(F.regexp_extract("line", r"^(\d+),(.*)$", 1).cast("long").alias("event_id"), F.regexp_extract("line", r"(?s)^(\d+),(.*)$", 2).alias("cell"))
-    return out.select("event_id", F.to_json("o").alias("json")).join(cells, "event_id")
+    return objects.join(cells, "event_id")
 
 
 @query(
@@ -250,3 +259,55 @@ def json_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verse_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat iteration over all documents, in corpus order."""
     return table(spark, sf_dir, "documents").select("doc_id", "lang", F.char_length("text").cast("long").alias("length")).orderBy("lang", "doc_id")
+
+
+@query(
+    """
+WITH f AS (SELECT lang, doc_id, source FROM documents WHERE contains(source, 'src1') OR contains('src1', source) OR contains(lang, 'src1') OR contains('src1', lang) ORDER BY lang, doc_id LIMIT 30)
+SELECT 'SRC1' AS query, 'root' AS type, string_agg(lang || ':' || doc_id || ' Root: ' || array_to_string(list_sort([lang, source]), ', '), '|' ORDER BY lang, doc_id) AS results, CAST(count(*) AS INTEGER) AS total FROM f
+"""
+)
+def search_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer to a search by root as one row, with its number of results."""
+    docs = table(spark, sf_dir, "documents")
+    verses = docs.select(F.col("lang").alias("surah"), F.col("doc_id").alias("verse"), "text")
+    morphology = docs.select(F.col("lang").alias("surah"), F.col("doc_id").alias("verse"), F.col("source").alias("translation"), F.array_sort(F.array("lang", "source")).alias("roots"))
+    names = spark.createDataFrame([], "id string, english_name string")
+    out = search.envelope(search.search(verses, morphology, names, "SRC1", "root", 30), "SRC1", "root")
+    line = F.array_join(F.transform("results", lambda r: F.concat(r["surah"], F.lit(":"), r["verse"], F.lit(" "), r["context"])), "|")
+    return out.select("query", "type", line.alias("results"), "total")
+
+
+@query(
+    """
+WITH f AS (SELECT lang, doc_id, source FROM documents WHERE contains(source, 'rc1') ORDER BY lang, doc_id LIMIT 40)
+SELECT lang AS surah, CASE lang WHEN 'en' THEN 'English' ELSE '' END AS surah_name, doc_id AS verse, CAST(1 AS INTEGER) AS relevance, source AS context FROM f
+"""
+)
+def search_by_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dispatcher's search by gloss, with the context of each result."""
+    docs = table(spark, sf_dir, "documents")
+    verses = docs.select(F.col("lang").alias("surah"), F.col("doc_id").alias("verse"), "text")
+    morphology = docs.select(F.col("lang").alias("surah"), F.col("doc_id").alias("verse"), F.col("source").alias("translation"), F.array().cast("array<string>").alias("roots"))
+    names = spark.createDataFrame([("en", "English")], "id string, english_name string")
+    return search.search(verses, morphology, names, "RC1", "gloss", 40).drop("text")
+
+
+_DIVISIONS = ", ".join(str(d[:1] + tuple(x.replace("'", "''") for x in d[1:4]) + d[4:]).replace('"', "'") for d in divisions.DIVISIONS)
+
+
+@query(
+    f"""
+WITH d(id, name, meaning, revealed, verses) AS (VALUES {_DIVISIONS}),
+v AS (SELECT doc_id, CAST(doc_id % 120 AS INTEGER) AS surah, CAST(n_chars % 300 AS INTEGER) AS verse FROM documents),
+p AS (SELECT s * 1000 + v AS start, row_number() OVER () AS part FROM (VALUES {", ".join(map(str, divisions.PART_STARTS))}) t(s, v))
+SELECT doc_id, coalesce(d.name, '') AS english_name, coalesce(d.revealed, '') AS revelation_type, coalesce(verse <= d.verses, false) AS is_there, CAST(coalesce(p.part, 1) AS INTEGER) AS part
+FROM v LEFT JOIN d ON v.surah = d.id ASOF LEFT JOIN p ON v.surah * 1000 + v.verse >= p.start
+"""
+)
+def division_and_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name and kind of each row's division, and the part that its place is in."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 120).cast("int").alias("id"), (F.col("n_chars") % 300).cast("int").alias("verse"))
+    named = lookup.with_default(rows, divisions.divisions(spark), "id", {"english_name": "", "revelation_type": "", "verse_count": -1})
+    parts = lookup.as_of_bands(named, divisions.part_bands(spark), F.struct(F.col("id").alias("s"), F.col("verse").alias("v")), "start", "part", 1)
+    return parts.select("doc_id", "english_name", "revelation_type", (F.col("verse") <= F.col("verse_count")).alias("is_there"), "part")

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as t
 from folioscope.functions.align import align
 from folioscope.operators import bookmarks, lookup, model, quality, render, repair, search
+from folioscope.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,8 +94,10 @@ GROUP BY c.c_custkey
 )
 def left_join_predicate_in_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, li = (table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem"))
-    own = c.join(o, c["c_custkey"] == o["o_custkey"]).join(li.filter("l_returnflag = 'R'"), o["o_orderkey"] == li["l_orderkey"], "left")
-    return own.groupBy("c_custkey").agg(F.count("*").alias("n_rows"), F.count("l_linenumber").alias("n_segments"))
+    none = [F.lit(0).alias("verse"), F.lit(0).alias("word")]
+    words = c.join(o, c["c_custkey"] == o["o_custkey"]).select("c_custkey", F.col("o_orderkey").alias("surah"), *none)
+    segments = li.select(F.col("l_orderkey").alias("surah"), *none, F.col("l_linenumber").alias("segment"), F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).alias("root"))
+    return model.with_roots(words, segments).groupBy("c_custkey").agg(F.count("*").alias("n_rows"), F.count("segment").alias("n_segments"))
 
 
 @query(
@@ -162,7 +165,7 @@ SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn
 )
 def running_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model.running_index(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "in_verse")
-    return model.running_index(rows, ["role"], ["conv_id", "turn"], "in_surah").select("conv_id", "turn", "in_verse", "in_surah")
+    return model.running_index(rows, ["role"], ["conv_id", "turn"], "in_surah").select("conv_id", "turn", F.col("in_verse").cast("int"), F.col("in_surah").cast("int"))
 
 
 @query(
@@ -179,7 +182,8 @@ def dimension_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey, n_name AS name FROM nation ORDER BY n_nationkey")
 def ordered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name")).orderBy("n_nationkey")
+    dimension = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("english_name"), *[F.lit(None).alias(c) for c in ("english_translation", "revelation_type", "verse_count")])
+    return lookup.divisions(dimension).select(F.col("number").alias("n_nationkey"), F.col("english_name").alias("name"))
 
 
 @query(
@@ -221,6 +225,19 @@ def floor_lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.as_of(rows, bands, ["user_id"], "ts", "value", -1.0).select("event_id", "value")
 
 
+@query(
+    """
+WITH b AS (SELECT l_extendedprice AS start, max(l_orderkey) AS line FROM lineitem GROUP BY l_extendedprice)
+SELECT o_orderkey, coalesce(line, -1) AS line FROM orders ASOF LEFT JOIN b ON o_totalprice >= start
+"""
+)
+def floor_lookup_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order's price the line with the next lower one: as many bands as there are prices, and no key to split them by."""
+    bands = table(spark, sf_dir, "lineitem").groupBy(F.col("l_extendedprice").alias("price")).agg(F.max("l_orderkey").alias("line"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    return lookup.as_of(rows, bands, [], "price", "line", -1).select("o_orderkey", "line")
+
+
 # -- text -----------------------------------------------------------------------
 
 
@@ -377,36 +394,70 @@ def append_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.add_missing(have, spark.createDataFrame([("nation_3",), ("zeta",), ("alpha",)], "root string"))
 
 
-@query(
-    """
-SELECT 'duplicate keys' AS "check", CAST(count(*) AS BIGINT) AS findings FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
-UNION ALL SELECT 'missing labels', CAST(count(*) AS BIGINT) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT 'empty texts', CAST(count(*) AS BIGINT) FROM documents WHERE trim(coalesce(text, '')) = ''
-"""
-)
-def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    checks = (
-        ("duplicate keys", quality.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])),
-        ("missing labels", docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")),
-        ("empty texts", docs.filter(quality.is_empty(F.col("text")))),
+_LISTS = ("shades_of_meaning", "hadith_examples", "classical_sources", "idioms_customs", "word_by_word_shades")
+_REST = ', "hadith_examples": [], "classical_sources": [], "idioms_customs": '
+
+
+def _response(k: Column, props: Column, event_type: Column) -> Column:
+    """Of an event's own values a response that is empty, broken, a list, short of keys, wrong twice, wrong in its text, or right."""
+    full = lambda meaning, shades, idioms: F.concat(F.lit('{"general_meaning": '), meaning, F.lit(', "shades_of_meaning": '), shades, F.lit(_REST), idioms, F.lit(', "word_by_word_shades": []}'))
+    text = F.concat(F.lit('"'), event_type, F.lit('"'))
+    return (
+        F.when(k % 7 == 0, " \t")
+        .when(k % 7 == 1, F.substring(props, 1, 5))
+        .when(k % 7 == 2, F.concat(F.lit("["), k, F.lit("]")))
+        .when(k % 7 == 3, F.concat(F.lit('{"general_meaning": '), text, F.lit("}")))
+        .when(k % 7 == 4, full(text, props, k.cast("string")))
+        .when(k % 7 == 5, full(k.cast("string"), F.lit("[]"), F.lit("[]")))
+        .otherwise(full(text, F.concat(F.lit("["), props, F.lit("]")), F.lit("[]")))
     )
-    parts = [found.agg(F.count("*").alias("findings")).select(F.lit(name).alias("check"), "findings") for name, found in checks]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_FINDINGS = """
+SELECT event_id, user_id, event_type, value, k, CASE k % 7 WHEN 0 THEN ['empty'] WHEN 1 THEN ['invalid JSON'] WHEN 2 THEN ['not an object'] WHEN 3 THEN ['missing key: shades_of_meaning']
+  WHEN 4 THEN ['shades_of_meaning is not a list', 'idioms_customs is not a list'] WHEN 5 THEN ['general_meaning is not a string'] ELSE [] END AS findings
+FROM (SELECT *, CAST(regexp_extract(props, ':\\s*(\\d+)', 1) AS INTEGER) AS k FROM events)
+""".replace("\\\\", "\\")
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as entries of a dictionary."""
+    k = F.from_json("props", "k int")["k"]
+    rows = table(spark, sf_dir, "events").withColumn("k", k)
+    return rows.select(
+        "event_id", (F.col("event_id") % 900).alias("id"), F.when(F.col("k") != 50, F.concat_ws("-", "event_type", F.col("user_id").cast("string"))).alias("root"),
+        F.when(F.col("value") >= 20, F.col("event_type")).otherwise(" ").alias("pos"), _response(F.col("k"), F.col("props"), F.col("event_type")).alias("full_response"),
+        *[F.when(F.col("k") > 10 * i, F.col("props")).alias(c) for i, c in enumerate(_LISTS)],
+    )
 
 
 @query(
-    """
-WITH j(id, j, f) AS (VALUES (0, '', 'empty'), (1, '{', 'invalid JSON'), (2, '[]', 'not an object'), (3, '{"general_meaning": 1}', 'missing key: shades_of_meaning'))
-SELECT e.event_id, j.f AS finding FROM events e JOIN j ON e.event_id % 5 = j.id
+    f"""
+WITH f AS ({_FINDINGS}),
+m AS (SELECT event_id % 900 AS id, CASE WHEN k <> 50 THEN event_type || '-' || user_id END AS root, value, k, findings FROM f),
+w AS (SELECT event_type || '-' || (user_id + CASE WHEN event_id % 97 = 0 THEN 100000 ELSE 0 END) AS root FROM events WHERE user_id % 3 <> 0),
+r("check", findings, level) AS (
+  SELECT 'missing roots', count(DISTINCT root), 'FAIL' FROM w WHERE root NOT IN (SELECT root FROM m WHERE root IS NOT NULL)
+  UNION ALL SELECT 'empty full_response', count(*) FILTER (WHERE k % 7 = 0), 'FAIL' FROM m
+  UNION ALL SELECT 'invalid full_response', CAST(sum(CASE WHEN k % 7 = 0 THEN 0 ELSE len(findings) END) AS BIGINT), 'FAIL' FROM m
+  UNION ALL SELECT 'duplicate roots', count(*), 'FAIL' FROM (SELECT root FROM m GROUP BY root HAVING count(*) > 1)
+  UNION ALL SELECT 'duplicate ids', count(*), 'FAIL' FROM (SELECT id FROM m GROUP BY id HAVING count(*) > 1)
+  UNION ALL SELECT 'empty pos', count(*) FILTER (WHERE coalesce(value < 20, true)), 'FAIL' FROM m
+  UNION ALL SELECT 'orphans', count(*) FILTER (WHERE root IS NULL OR root NOT IN (SELECT root FROM w)), 'INFO' FROM m
+  UNION ALL SELECT 'empty fields', CAST(sum(5 - (CAST(k > 0 AS INT) + CAST(k > 10 AS INT) + CAST(k > 20 AS INT) + CAST(k > 30 AS INT) + CAST(k > 40 AS INT))) AS BIGINT), 'INFO' FROM m)
+SELECT "check", CAST(findings AS BIGINT) AS findings, level, findings = 0 OR level = 'INFO' AS ok FROM r
 """
 )
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight checks of a dictionary of events, against the roots of a third of the users and some that nobody has."""
+    wanted = table(spark, sf_dir, "events").filter("user_id % 3 <> 0")
+    user = F.col("user_id") + F.when(F.col("event_id") % 97 == 0, 100000).otherwise(0)
+    return quality.report(_entries(spark, sf_dir), wanted.select(F.concat_ws("-", "event_type", user.cast("string")).alias("root")))
+
+
+@query(f"WITH f AS ({_FINDINGS}) SELECT event_id, unnest(findings) AS finding FROM f")
 def json_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.pmod("event_id", F.lit(5))
-    good = '{"general_meaning": "a", "shades_of_meaning": [], "hadith_examples": [], "classical_sources": [], "idioms_customs": [], "word_by_word_shades": []}'
-    response = F.when(text == 0, "").when(text == 1, "{").when(text == 2, "[]").when(text == 3, '{"general_meaning": 1}').otherwise(good)
-    rows = table(spark, sf_dir, "events").select("event_id", response.alias("response"))
-    return rows.select("event_id", F.explode(quality.json_findings(F.col("response"))).alias("finding"))
+    return _entries(spark, sf_dir).select("event_id", F.explode(quality.json_findings(F.col("full_response"))).alias("finding"))
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, CAST(epoch_us(ts) AS HUGEINT) * 1000000 + event_id) AS event_id FROM events GROUP BY user_id, event_type")
@@ -424,19 +475,76 @@ def next_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- no SQL form -------------------------------------------------------------------
 
 
+def _pairs_joined(words: Column) -> Column:
+    """A list of words with every second one stuck to the one before it."""
+    first, second = F.filter(words, lambda _, i: i % 2 == 0), F.filter(words, lambda _, i: i % 2 == 1)
+    return F.zip_with(first, second, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+
+
+def _aligned(rows: DataFrame) -> DataFrame:
+    entries = rows.select("conv_id", "turn", F.explode(align(F.col("w"), F.col("joined"))).alias("e"))
+    return entries.select("conv_id", "turn", F.col("e.index").alias("word"), F.array_join(F.col("e.tokens").cast("array<string>"), ",").alias("tokens"), F.col("e.match").alias("match"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.words(F.col("text")).alias("w"))
+    return rows.withColumn("joined", _pairs_joined(F.col("w")))
+
+
 @query()
 def align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's words against the same words with every second pair joined."""
-    words = t.words(F.col("text"))
-    joined = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("w") / 2) - 1)), lambda i: F.concat(F.get("w", 2 * i), F.coalesce(F.get("w", 2 * i + 1), F.lit(""))))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("w")).filter(F.size("w") > 0)
-    return rows.select("conv_id", "turn", F.explode(align(F.col("w"), joined)).alias("e")).select("conv_id", "turn", F.col("e.index").alias("word"), F.array_join(F.col("e.tokens").cast("array<string>"), ",").alias("tokens"), F.col("e.match").alias("match"))
+    return _aligned(_turns(spark, sf_dir).filter(F.size("w") > 0))
 
 
-@query()
-def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of HTML for each conversation, its turns as verses."""
-    verses = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("surah"), F.concat(F.lit("conversation "), F.col("conv_id")).alias("name"), (F.col("turn") + 1).alias("verse"), "text")
-    none = spark.createDataFrame([], "surah long, verse long, word int, rows array<struct<gloss:string>>")
-    return render.pages(verses, none)
+@query(
+    f"""
+WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '') AS w FROM conversations),
+p AS (SELECT * FROM t WHERE len(list_filter(w, lambda x, i: i % 2 = 0 AND length(x) < 2)) = 0),
+e AS (SELECT conv_id, turn, len(w) AS n, unnest(range(len(w))) AS word FROM p)
+SELECT conv_id, turn, CAST(word AS INTEGER) AS word, CAST(word // 2 AS VARCHAR) AS tokens, CASE WHEN word = n - 1 AND n % 2 = 1 THEN 'direct' ELSE 'join' END AS match FROM e
+"""
+)
+def align_joined_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for turns whose every second word is of two letters or more: then each pair of words shares a token, and a last odd word has its own."""
+    rows = _turns(spark, sf_dir)
+    short = F.size(F.filter("w", lambda w, i: (i % 2 == 1) & (F.char_length(w) < 2)))
+    return _aligned(rows.filter(short == 0))
+
+
+_PAGE = """
+WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, 'SPACE'), lambda w: w <> '') AS words FROM conversations),
+p AS (SELECT conv_id, turn, words, coalesce(sum(len(words)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
+s AS (SELECT conv_id, turn, array_to_string(list_transform(words, lambda w, i: '<span class="quran-word" data-surah="' || conv_id || '" data-ayah="' || (turn + 1) || '" data-word="' || i || '" data-index="' || CAST(before + i AS BIGINT)
+    || '" data-morphology=''' || CASE WHEN i % 3 = 1 THEN ESCAPED('[{"gloss":"' || replace(replace('<' || w || '>', chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"}]') ELSE '[]' END || '''>' || ESCAPED(w) || '</span>'), chr(10)) AS line FROM p),
+b AS (SELECT conv_id, string_agg('<section class="ayah" id="ayah-' || (turn + 1) || '" data-ayah="' || (turn + 1) || '"><h2 class="ayah-number">' || (turn + 1) || '</h2><p class="ayah-text">' || line || '</p></section>', chr(10) ORDER BY turn) AS body FROM s GROUP BY conv_id)
+SELECT conv_id AS surah, lpad(CAST(conv_id AS VARCHAR), CAST(greatest(3, length(CAST(conv_id AS VARCHAR))) AS INTEGER), '0') || '-conversation-' || conv_id || '.html' AS file,
+       '<!doctype html>' || chr(10) || '<html lang="ar" dir="rtl"><head><meta charset="utf-8"><title>conversation ' || conv_id || '</title></head><body>' || chr(10) || '<main class="quran" data-surah-number="' || conv_id
+       || '"><header class="surah-header"><h1 class="surah-name">conversation ' || conv_id || '</h1></header>' || chr(10) || body || chr(10) || '</main></body></html>' || chr(10) AS html FROM b
+"""
 
+
+def _sql_escaped(sql: str) -> str:
+    """Calls of ESCAPED(x) as the replacements of HTML's five characters."""
+    while "ESCAPED(" in sql:
+        start = sql.index("ESCAPED(")
+        end, depth, quoted = start + 8, 1, False
+        while depth:
+            quoted ^= sql[end] == "'"
+            depth += 0 if quoted else (sql[end] == "(") - (sql[end] == ")")
+            end += 1
+        inner = sql[start + 8 : end - 1]
+        for char, name in (("'&'", "&amp;"), ("'<'", "&lt;"), ("'>'", "&gt;"), ("chr(34)", "&quot;"), ("chr(39)", "&#x27;")):
+            inner = f"replace({inner}, {char}, '{name}')"
+        sql = sql[:start] + inner + sql[end:]
+    return sql
+
+
+@query(_sql_escaped(_PAGE.replace("SPACE", _SPACE)))
+def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of HTML for each conversation, its turns as verses, with the morphology of every third word."""
+    turns = table(spark, sf_dir, "conversations")
+    verses = turns.select(F.col("conv_id").alias("surah"), F.concat(F.lit("conversation "), F.col("conv_id")).alias("name"), (F.col("turn") + 1).alias("verse"), "text")
+    words = verses.select("surah", "verse", F.posexplode(t.words(F.col("text"))).alias("at", "word_text")).filter("at % 3 = 0")
+    rows = words.select("surah", "verse", (F.col("at") + 1).alias("word"), F.concat(F.lit("<"), "word_text", F.lit(">")).alias("gloss"), F.lit(0).alias("line"))
+    return render.pages(verses, readers.keyed(rows, ["surah", "verse", "word"], "line"))

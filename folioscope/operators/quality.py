@@ -101,10 +101,23 @@ def exit_code(reported: DataFrame) -> int:
     return int(reported.filter(~F.col("ok")).limit(1).count() > 0)
 
 
+LANE = 4096  #: numbers of a key that are counted together
+
+
 def gaps(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """Rows whose number isn't their place, counted from 1."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(number))
-    return rows.withColumn("expected", place).filter(F.col(number) != F.col("expected"))
+    """Rows whose number isn't their place among the key's rows, counted from 1; numbers are whole.
+
+    Places are counted in lanes of ``LANE`` numbers, from the rows of the lanes
+    before, so a key of any size is spread over as many lanes as it has.
+    """
+    laned = rows.withColumn("_lane", F.floor(F.col(number) / LANE))
+    before = Window.partitionBy(*keys).orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
+    starts = laned.groupBy(*keys, "_lane").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(before)).filter("_before > 0")
+    theirs = starts.select(F.struct(*keys, "_lane").alias("_at"), "_before")
+    place = F.row_number().over(Window.partitionBy(*keys, "_lane").orderBy(number))
+    placed = laned.withColumn("_place", place).join(theirs, F.struct(*keys, "_lane") == F.col("_at"), "left")
+    out = placed.withColumn("expected", (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("int"))
+    return out.filter(F.col(number) != F.col("expected")).drop("_lane", "_place", "_at", "_before")
 
 
 def corpus_findings(verses: DataFrame, divisions: int = 114) -> DataFrame:

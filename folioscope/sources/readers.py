@@ -34,14 +34,18 @@ def read_verses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """A CSV with a header, all fields text, doubled quotes and line breaks inside quotes; ``line`` numbers its rows.
+    """A CSV with a header, all fields text, doubled quotes and line breaks inside quotes; ``line`` is each row's place.
 
-    A file with line breaks inside quotes is one split, so the number follows
-    the file; empty fields are null.
+    Files follow one another by name; empty fields are null.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
-    return rows.withColumn("line", F.monotonically_increasing_id())
+    return rows.select(*columns, place_in_files().alias("line"))
+
+
+def place_in_files() -> Column:
+    """A value that sorts rows of files as the files have them, by file, split and row, however the splits are dealt out."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
 
 
 def read_morphology(spark: SparkSession, path: str) -> DataFrame:
@@ -67,8 +71,8 @@ def read_root_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_root_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Nested root entries from JSON lines; of entries with one id the last stays."""
-    rows = spark.read.schema(ROOT_ENTRY).json(path).withColumn("line", F.monotonically_increasing_id())
+    """Nested root entries from JSON lines; of entries with one id the last stays, files following one another by name."""
+    rows = spark.read.schema(ROOT_ENTRY).json(path).select("*", place_in_files().alias("line"))
     last = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "line"]), "line").alias("r"))
     return last.select("r.*")
 

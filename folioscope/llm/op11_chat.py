@@ -16,17 +16,19 @@ Rows are dealt out by conversation and sorted by turn, outside memory where that
 is needed, and a task goes through them as a stream.  A conversation of more
 than ``PIECE_CHARS`` comes in pieces, whole turns each, which are rows that
 follow one another; since control strings part the text before it is encoded,
-pieces have the tokens of the whole.  Nothing else is ever held together.
+pieces have the tokens of the whole.  Nothing else is ever held together.  A tokenizer is a file of
+ranks and a pattern; any byte-level one will do.
 
 Defined cases: null texts and null roles read as empty; null conversation ids
 are one conversation; null turns come first; rows of one turn follow by role and
 text, nulls as empty; rows that repeat are turns of their own; an empty table
-gives no rows; other columns are not read.  The special tokens of the vocabulary
-(``<|endoftext|>``) are ordinary text inside a turn.
+gives no rows; other columns are not read.  What another vocabulary
+has as special tokens (``<|endoftext|>``) is ordinary text inside a turn.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -40,7 +42,9 @@ from pyspark.sql import functions as F
 
 from folioscope.shipping import ship
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: How that vocabulary parts texts before it is merged; a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MOST_TOKENIZER_BYTES = 64 << 20  #: what is sent to every worker
 PIECE_CHARS = 1 << 20
 OPEN, SAYS, CLOSE = "<turn>", "<says>", "</turn>"
@@ -91,13 +95,29 @@ def loss_text(text: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray)
 
 
 @cache
-def _tokenizer(description: str):  # noqa: ANN202
-    from tokenizers import AddedToken, Tokenizer
-
-    out = Tokenizer.from_str(description)
-    out.add_tokens([AddedToken(c, special=False, normalized=False) for c in (OPEN, SAYS, CLOSE)])
-    out.encode_special_tokens = True
-    return out
+def _tokenizer(ranks: bytes, pattern: str):  # noqa: ANN202
+    """The encoder, with the control strings as tokens after the vocabulary's, and the bytes of each token."""
+    import tiktoken
+
+    known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+    own = {c: max(known.values()) + 1 + k for k, c in enumerate((OPEN, SAYS, CLOSE))}
+    lengths = np.zeros(max(own.values()) + 1, np.int64)
+    for token, rank in [*known.items(), *((c.encode(), r) for c, r in own.items())]:
+        lengths[rank] = len(token)
+    return tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=known, special_tokens=own), lengths
+
+
+def encode(text: str, encoder, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Token ids of a rendered text, and the code points at which each begins and ends; tokens that share one both have it."""
+    ids = encoder.encode_to_numpy(text, allowed_special="all").astype(np.int32)
+    ends = np.cumsum(lengths[ids])
+    starts = ends - lengths[ids]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    if len(raw) > len(text):
+        first = (raw & 0xC0) != 0x80
+        before = np.concatenate([[0], np.cumsum(first)])
+        starts, ends = before[starts] - ~first[starts] if len(starts) else starts, before[ends]
+    return ids, starts.astype(np.int32), ends.astype(np.int32)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], piece_chars: int) -> Iterator[list[tuple[int | None, int, list[tuple[str, str]]]]]:
@@ -118,34 +138,34 @@ def _pieces(batches: Iterator[pa.RecordBatch], piece_chars: int) -> Iterator[lis
     yield [*out, (now, number, turns)] if turns else out
 
 
-def formatted(conversations: DataFrame, train_on: tuple[str, ...] = ("assistant",), tokenizer: str = TOKENIZER, piece_chars: int = PIECE_CHARS) -> DataFrame:
+def formatted(conversations: DataFrame, train_on: tuple[str, ...] = ("assistant",), tokenizer: str = TOKENIZER, pattern: str = PATTERN, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """Rows (conv_id, piece, text, token_ids, starts, ends, loss) of all conversations, a conversation's pieces one after the other.
 
-    ``tokenizer`` is a description that the tokenizers library reads, on the
-    driver; offsets are code points of ``text``.
+    ``tokenizer`` is a file of ranks that the driver reads; offsets are code points of ``text``.
     """
     spark = conversations.sparkSession
     ship(spark)
-    with open(tokenizer, encoding="utf-8") as f:
-        description = f.read(MOST_TOKENIZER_BYTES + 1)
-    if len(description) > MOST_TOKENIZER_BYTES:
+    with open(tokenizer, "rb") as f:
+        ranks = f.read(MOST_TOKENIZER_BYTES + 1)
+    if len(ranks) > MOST_TOKENIZER_BYTES:
         raise ValueError(f"{tokenizer} is too large to be sent to every worker")
-    sent = spark.sparkContext.broadcast(description)
+    sent = spark.sparkContext.broadcast(ranks)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(sent.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, lengths = _tokenizer(sent.value, pattern)
         for some in _pieces(batches, piece_chars):
-            texts, spans = zip(*(render(turns) for _, _, turns in some), strict=True) if some else ((), ())
-            columns: tuple[list, ...] = ([], [], [], [])
-            for encoded, own in zip(encoder.encode_batch(list(texts), add_special_tokens=False), spans, strict=True):
-                offsets = np.array(encoded.offsets, np.int32).reshape(-1, 2)
-                for c, x in zip(columns, (np.array(encoded.ids, np.int32), offsets[:, 0], offsets[:, 1], loss_mask(offsets[:, 0], offsets[:, 1], [s[:2] for s in own if s[2] in train_on])), strict=True):
+            columns: tuple[list, ...] = ([], [], [], [], [])
+            for _, _, turns in some:
+                text, spans = render(turns)
+                ids, starts, ends = encode(text, encoder, lengths)
+                loss = loss_mask(starts, ends, [s[:2] for s in spans if s[2] in train_on])
+                for c, x in zip(columns, (text, ids, starts, ends, loss), strict=True):
                     c.append(x)
-            lists = [pa.array(c, pa.list_(t)) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.bool_()), strict=True)]
-            yield pa.record_batch([pa.array([s[0] for s in some], pa.int64()), pa.array([s[1] for s in some], pa.int32()), pa.array(texts, pa.string()), *lists], names=["conv_id", "piece", "text", "token_ids", "starts", "ends", "loss"])
+            lists = [pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_())), strict=True)]
+            yield pa.record_batch([pa.array([s[0] for s in some], pa.int64()), pa.array([s[1] for s in some], pa.int32()), *lists], names=["conv_id", "piece", "text", "token_ids", "starts", "ends", "loss"])
 
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(encode, PIECES)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, PIECES)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:

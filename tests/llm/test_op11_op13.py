@@ -72,6 +72,24 @@ def test_masked_tokens_lie_inside_the_texts(spark) -> None:
             assert on == any(x <= a and b <= y for x, y in inside)
 
 
+def test_offsets_are_those_of_another_library() -> None:
+    """The same vocabulary in another library's format, which counts offsets itself."""
+    from tokenizers import AddedToken, Tokenizer
+
+    other = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    other.add_tokens([AddedToken(c, special=False, normalized=False) for c in (chat.OPEN, chat.SAYS, chat.CLOSE)])
+    other.encode_special_tokens = True
+    with open(chat.TOKENIZER, "rb") as f:
+        encoder, lengths = chat._tokenizer(f.read(), chat.PATTERN)
+    rows = turns(5)
+    for conv in {r[0] for r in rows}:
+        text, _ = chat.render([(r[2] or "", r[3] or "") for r in rows if r[0] == conv])
+        ids, starts, ends = chat.encode(text, encoder, lengths)
+        want = other.encode(text, add_special_tokens=False)
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == want.offsets
+        assert [i for i in ids.tolist() if i < 50256] == [i for i in want.ids if i < 50256]
+
+
 def test_another_role_can_be_trained_on(spark) -> None:
     df = spark.createDataFrame([(1, 0, "user", "first"), (1, 1, "assistant", "second"), (1, 2, "user", "third")], TURNS)
     r = chat.read_back(chat.formatted(df, train_on=("user",))).first()

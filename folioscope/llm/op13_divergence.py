@@ -36,6 +36,7 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS = 3
 SCALE = 1_000_000_000
 MOST_TERMS = 200  #: ranks of terms that are told of each group
+LANES = 32  #: by which a group's terms are ranked before they meet
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _EXACT = "decimal(38,0)"
 
@@ -111,5 +112,8 @@ def _terms(priced: DataFrame, most: int) -> DataFrame:
     """Each group's terms that weigh more in it than in its language, the furthest first."""
     q = weight(F.col("n_lang"), F.col("n_all"), F.col("kept"))
     above = priced.withColumn("q", q).filter("p > q").withColumn("value", divergence(F.col("p"), F.col("q")))
-    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term"))
-    return above.withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
+    lane = F.pmod(F.xxhash64("term"), F.lit(LANES))
+    order = [F.desc("value"), F.col("term")]
+    best = above.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "source", lane).orderBy(*order))).filter(F.col("nth") <= most)
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")

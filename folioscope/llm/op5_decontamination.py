@@ -9,7 +9,9 @@ a time: rare terms' postings are walked; the other terms add no more than their
 maximum within the item's block of postings, and items that cannot reach the
 threshold so are passed over; the rest are scored exactly.  A retrieved item is a
 leak if the passage holds the share ``overlap`` of the five-word shingles both of
-its question and of its answer.
+its question and of its answer, or that share of the whole item's: a word changed
+in the one part weighs more there than in the whole, and an item without its answer
+doesn't reach the share.
 
 Items come in blocks of ``BLOCK_ITEMS``, each with an index of its own, so what
 travels to the workers has a fixed bound; each block is a pass over the
@@ -86,12 +88,13 @@ class Index:
     most: np.ndarray  #: maximum impact of common terms by block
     questions: list[tuple[int, np.ndarray]]
     answers: list[tuple[int, np.ndarray]]
+    wholes: list[tuple[int, np.ndarray]]
     stride: int  #: words of the longest of all items
 
 
 def build_index(items: list[tuple[object, str | None, str | None]], statistics: Statistics | None = None) -> Index | None:
     """Index of (id, question, answer); if these are not all items, ``statistics`` are those of all."""
-    ids, bags, questions, answers = [], [], [], []
+    ids, bags, questions, answers, wholes = [], [], [], [], []
     for item, question, answer in items:
         q, a = _parts(question, answer)
         if len(q) + len(a):
@@ -99,6 +102,7 @@ def build_index(items: list[tuple[object, str | None, str | None]], statistics:
             bags.append(np.concatenate([q, a]))
             questions.append(_shingles(q))
             answers.append(_shingles(a))
+            wholes.append(_shingles(bags[-1]))
     if not ids:
         return None
     lengths = np.array([len(b) for b in bags])
@@ -120,7 +124,7 @@ def build_index(items: list[tuple[object, str | None, str | None]], statistics:
     most = np.zeros((int((~rare).sum()) + 1, (len(ids) - 1) // POSTING_BLOCK + 1))
     common = ~rare[term]
     np.maximum.at(most, (row[term[common]], owner[common] // POSTING_BLOCK), impact[common])
-    return Index(ids, terms, rare, first, owner[order], impact[order], term[order] * len(ids) + owner[order], row, most, questions, answers, every.longest)
+    return Index(ids, terms, rare, first, owner[order], impact[order], term[order] * len(ids) + owner[order], row, most, questions, answers, wholes, every.longest)
 
 
 def _expand(index: Index, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,21 +195,21 @@ def _overlap(hashes: np.ndarray, wanted: tuple[int, np.ndarray]) -> float:
     return float(np.isin(shingles, window_hashes(hashes, width)).mean())
 
 
-def find_leaks(texts: pa.Array, index: Index, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
-    """Of each text and item that it leaks: their numbers, the best score, question and answer overlap."""
+def find_leaks(texts: pa.Array, index: Index, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float, float]]:
+    """Of each text and item that it leaks: their numbers, the best score, overlap of question, answer and item."""
     for piece in pieces(texts, True, PUNCTUATION):
         hashes = piece.hashes()
         passages, items, scores, base = retrieve(piece, hashes, index, threshold)
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
         for p, i, s in zip(passages.tolist(), items.tolist(), scores.tolist(), strict=True):
             k = int(np.searchsorted(base, p, "right")) - 1
             start = int(piece.counts[k]) + (p - int(base[k])) * index.stride
             own = hashes[start : min(start + 2 * index.stride, int(piece.counts[k + 1]))]
-            q, a = _overlap(own, index.questions[i]), _overlap(own, index.answers[i])
-            if q >= overlap and a >= overlap:
-                best[k, i] = max(best.get((k, i), (0.0, 0.0, 0.0)), (s, q, a))
-        for (k, i), (s, q, a) in sorted(best.items()):
-            yield piece.first + k, i, s, q, a
+            q, a, w = (_overlap(own, part[i]) for part in (index.questions, index.answers, index.wholes))
+            if (q >= overlap and a >= overlap) or w >= overlap:
+                best[k, i] = max(best.get((k, i), (0.0, 0.0, 0.0, 0.0)), (s, q, a, w))
+        for (k, i), found in sorted(best.items()):
+            yield piece.first + k, i, *found
 
 
 def _tally(rows: DataFrame) -> DataFrame:
@@ -255,10 +259,10 @@ def indexes(items: DataFrame, item_col: str = "item_id", text_col: str = "text",
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
-    """Rows (id, item, score, question_overlap, answer_overlap): every item that a document leaks."""
+    """Rows (id, item, score, question_overlap, answer_overlap, item_overlap): every item that a document leaks."""
     ship(docs.sparkSession)
     kind, item_kind = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_col]
-    schema = f"id {kind}, item {item_kind}, score double, question_overlap double, answer_overlap double"
+    schema = f"id {kind}, item {item_kind}, score double, question_overlap double, answer_overlap double, item_overlap double"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for index in indexes(items, item_col, item_text_col, answer_col):
@@ -270,7 +274,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
                 if found:
                     row, item, *rest = zip(*found, strict=True)
                     ids = [shared.value.ids[i] for i in item]
-                    yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(ids), *map(pa.array, rest)], names=["id", "item", "score", "question_overlap", "answer_overlap"])
+                    yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(ids), *map(pa.array, rest)], names=["id", "item", "score", "question_overlap", "answer_overlap", "item_overlap"])
 
         out = out.unionByName(rows.mapInArrow(run, schema))
     return out.withColumnsRenamed({"id": id_col, "item": item_col})

@@ -21,12 +21,18 @@ components take no part; shorter vectors count as ending in zeros; rows that
 repeat a query's id are its own and no candidates of it, and of repeated query
 rows the least vector asks; empty tables give no rows; other columns are not
 read.  Scores are exact: floating point where the largest squared norm is below
-2**53, whole numbers beyond; vectors whose squared norm reaches 2**63, so that
-a score may not fit its column, are refused by an error.
+2**53, whole numbers beyond.  Vectors whose squared norm reaches 2**62 stay out of
+the index, whose bounds and 64-bit products they would spoil for all others: they
+are compared with every vector, block by block, in whole numbers of any size, and
+their hits are ranked with those of the index.  A score that doesn't fit its column
+is ranked as it is and told as the column's largest or smallest number.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +46,13 @@ from folioscope.shipping import ship
 PIVOTS = 32
 ANNULUS = 4096
 QUERY_BLOCK = 4096
+LARGE = 2.0**62  #: squared norm of vectors that the index doesn't take
 RINGS = 512  #: steps of distance by which a pivot's vectors are counted
 
 
 def whole(vector: Column, scale: int) -> Column:
     """floor(scale * x) of every component; null if a component is null or not finite."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    return F.when(_finite(vector), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
 def _matrix(column: pa.Array, width: int, kind: type = float) -> np.ndarray:
@@ -98,16 +104,64 @@ def _search(index: pa.Table, queries: pa.Table, k: int, width: int, kind: type =
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k highest scores of each query, ties to the smaller id."""
-    spark = vectors.sparkSession
-    ship(spark)
-    base = hold(vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), whole(F.col(vector_col), scale).alias("v"), is_query.alias("asks")).filter("v is not null"))
+    ship(vectors.sparkSession)
+    known = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x"), is_query.alias("asks"))
+    far = F.aggregate("x", F.lit(0.0), lambda s, x: s + (x.cast("double") * scale) * (x.cast("double") * scale)) >= LARGE
+    large = known.filter(_finite(F.col("x")) & far)
+    if large.limit(1).count():
+        return _with_large(known.filter(_finite(F.col("x"))).withColumns({"x": F.col("x").cast("array<double>"), "large": far}), k, scale)
+    return _indexed(known, k, scale)
+
+
+def _finite(vector: Column) -> Column:
+    return ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+
+
+def _whole_numbers(vector: list[float], scale: int) -> list[int]:
+    """floor(scale * x) of every component, also beyond what 64 bits hold."""
+    return [math.floor(scale * x) if math.isfinite(scale * x) else scale * int(x) for x in vector]
+
+
+def _with_large(rows: DataFrame, k: int, scale: int) -> DataFrame:
+    """The k highest scores where some vectors are too large for the index; of repeated query rows the least asks."""
+    least = rows.filter("asks").groupBy("vec_id").agg(F.min("x").alias("least"))
+    once = hold(rows.join(least, "vec_id", "left").select("vec_id", "x", F.coalesce(F.col("asks") & (F.col("x") == F.col("least")), F.lit(False)).alias("asks"), "large"))
+    n, n_large = once.agg(F.count("*"), F.count_if("large")).first()
+    parts, blocks = -(-n // ANNULUS), -(-n_large // QUERY_BLOCK)
+    hashed = lambda m: F.pmod(F.xxhash64("vec_id", "x"), F.lit(m)).cast("int")
+    few = once.filter("large").select(F.col("vec_id").alias("id"), F.col("x").alias("v"), F.col("asks").alias("ask"), hashed(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    every = once.select("vec_id", "x", "asks", "large", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), hashed(parts).alias("part"))
+
+    def best(query: int, own: list[int], others: list[tuple[int, list[int]]]) -> list[tuple[int, int, str]]:
+        scores = ((sum(map(operator.mul, own, v)), i) for i, v in others if i != query)
+        return [(query, i, str(s)) for s, i in heapq.nsmallest(k, scores, key=lambda h: (-h[0], h[1]))]
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        left = [(r["id"], _whole_numbers(r["v"], scale), r["ask"]) for r in a.to_pylist()]
+        right = [(r["vec_id"], _whole_numbers(r["x"], scale), r["asks"], r["large"]) for r in b.to_pylist()]
+        hits = [h for i, v, asks in left if asks for h in best(i, v, [x[:2] for x in right])]
+        hits += [h for i, v, asks, is_large in right if asks and not is_large for h in best(i, v, [x[:2] for x in left])]
+        return pa.table({name: pa.array([h[c] for h in hits], kind) for c, (name, kind) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("exact", pa.string())))})
+
+    def rank(hits: pa.Table) -> pa.Table:
+        own = sorted(((-int(r["exact"]), r["vec_id"], r["query_id"]) for r in hits.to_pylist()))[:k]
+        held = [max(-(2**63), min(2**63 - 1, -s)) for s, _, _ in own]
+        return pa.table({"query_id": pa.array([h[2] for h in own], pa.int64()), "rank": pa.array(range(1, len(own) + 1), pa.int32()), "vec_id": pa.array([h[1] for h in own], pa.int64()), "score": pa.array(held, pa.int64())})
+
+    met = few.groupBy("block", "part").cogroup(every.groupBy("block", "part")).applyInArrow(compare, "query_id long, vec_id long, exact string")
+    indexed = _indexed(once.filter("not large").select("vec_id", "x", "asks"), k, scale).select("query_id", "vec_id", F.col("score").cast("string").alias("exact"))
+    return met.unionByName(indexed).groupBy("query_id").applyInArrow(rank, "query_id long, rank int, vec_id long, score long")
+
+
+def _indexed(known: DataFrame, k: int, scale: int) -> DataFrame:
+    """The k highest scores over the index, of rows (vec_id, x, asks)."""
+    spark = known.sparkSession
+    base = hold(known.select("vec_id", whole(F.col("x"), scale).alias("v"), "asks").filter("v is not null"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, most, width, n_queries = base.agg(F.count("*"), F.max(square), F.max(F.size("v")), F.count_if("asks")).first()
     if not n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     most = most or 0.0
-    if most >= 2.0**63 * (1 - 1e-9):
-        raise ArithmeticError(f"squared norms of {most:.3g} do not leave room for scores in 64 bits")
     kind = float if most < 2.0**53 * (1 - 1e-9) else np.int64
     sample = base.orderBy(F.xxhash64("vec_id"), "v").select("v").limit(PIVOTS).toArrow()
     pivots = _lifted(_matrix(sample.column("v"), width), float(most))

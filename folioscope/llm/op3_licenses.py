@@ -1,12 +1,14 @@
 """License scans: MinHash bands over overlapping windows, then exact containment.
 
 Texts are lower-cased and cut into words of letters and digits; shingles are
-five words, or the whole template if it has fewer.  A template of n shingles is
-sought in windows of 2n shingles that start every n, so it lies whole in one.
-A window that contains the share ``least`` of the template has a Jaccard
-similarity of ``least / (3 - least)`` at least, and ``bands_for`` sets as many
-one-row bands as make a miss rarer than ``miss``.  A retrieved window is a match
-if it contains the share ``least`` of the template's shingles exactly.
+five words, or the whole template if it has fewer.  A template of N shingles,
+repeats included, is sought in windows of 2N shingles that start every N/2, so it
+lies whole in one even where up to N/2 words have been put into it.  A window that
+contains the share ``least`` of the template's n different shingles has a Jaccard
+similarity of ``least * n / (2 * N + n - least * n)`` at least, and ``bands_for`` sets
+as many one-row bands as make a miss rarer than ``miss`` for any template.  A
+retrieved window is a match if it contains the share ``least`` of the template's
+shingles exactly.
 
 A band can only collide on one of the template's own minima, so documents and
 windows without any of those shingles are left out before their MinHashes are
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,49 +85,64 @@ def _minima(shingles: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, b))))
 
 
-def prepared(spark: SparkSession, templates: tuple[tuple[str, str], ...], bands: int) -> list[tuple[str, int, list[int], list[int], list[int]]]:
-    """Of each template: name, shingle width, distinct shingles, band minima, and the shingles that give the minima."""
-    out = []
+@dataclass(frozen=True)
+class Template:
+    name: str
+    width: int
+    total: int  #: shingles, repeats included
+    shingles: list[int]  #: different ones
+    minima: list[int]
+    cues: list[int]  #: the shingles that give the minima
+
+
+def prepared(spark: SparkSession, templates: tuple[tuple[str, str], ...], least: float, miss: float) -> tuple[list[Template], int]:
+    """The templates that have words, and the number of bands."""
     rows = spark.createDataFrame([(n, t) for n, t in templates], "name string, text string").withColumn("words", words_of(F.col("text"))).filter(F.size("words") > 0)
+    every = []
     for width in range(1, WIDTH + 1):
-        own = rows.filter(F.least(F.size("words"), F.lit(WIDTH)) == width)
-        own = own.withColumn("shingles", F.array_distinct(shingle_hashes(F.col("words"), width))).withColumn("minima", _minima(F.col("shingles"), bands))
-        cues = F.filter("shingles", lambda x: F.exists(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.xxhash64(x, b) == F.element_at("minima", b)))
-        out += [(r["name"], width, r["shingles"], r["minima"], r["cues"]) for r in own.withColumn("cues", cues).collect()]
-    return out
+        own = rows.filter(F.least(F.size("words"), F.lit(WIDTH)) == width).withColumn("all", shingle_hashes(F.col("words"), width))
+        every.append((width, own.select("name", F.size("all").alias("total"), F.array_distinct("all").alias("shingles")).collect()))
+    similarities = [least * len(r["shingles"]) / (2 * r["total"] + (1 - least) * len(r["shingles"])) for _, found in every for r in found]
+    bands = bands_for(min(similarities), miss) if similarities else 1
+    out = []
+    for width, found in every:
+        if found:
+            own = spark.createDataFrame(found, "name string, total int, shingles array<long>").withColumn("minima", _minima(F.col("shingles"), bands))
+            cues = F.filter("shingles", lambda x: F.exists(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.xxhash64(x, b) == F.element_at("minima", b)))
+            out += [Template(r["name"], width, r["total"], r["shingles"], r["minima"], r["cues"]) for r in own.withColumn("cues", cues).collect()]
+    return out, bands
 
 
 def _literal(values: list[int]) -> Column:
     return F.expr("array(" + ",".join(f"{v}L" if v != -(1 << 63) else "cast('-9223372036854775808' as bigint)" for v in values) + ")")
 
 
-def _best_match(h: Column, template: tuple[str, int, list[int], list[int], list[int]], bands: int, least: float) -> Column:
+def _best_match(h: Column, template: Template, bands: int, least: float) -> Column:
     """The template's best window among shingle hashes, or null."""
-    name, _, shingles, minima, cues = template
-    n, mine, own_minima, own_cues = len(shingles), _literal(shingles), _literal(minima), _literal(cues)
+    n, total = len(template.shingles), template.total
+    mine, own_minima, own_cues = _literal(template.shingles), _literal(template.minima), _literal(template.cues)
 
     def retrieved(window: Column) -> Column:
         collides = F.exists(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform(window, lambda x: F.xxhash64(x, b))) == F.element_at(own_minima, b))
         return F.arrays_overlap(window, own_cues) & collides
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(h) - 1, F.lit(n)), lambda s: F.struct((-s).alias("start"), F.slice(h, s + 1, F.lit(2 * n)).alias("shingles")))
+    windows = F.transform(F.sequence(F.lit(0), F.size(h) - 1, F.lit(max(1, total // 2))), lambda s: F.struct((-s).alias("start"), F.slice(h, s + 1, F.lit(2 * total)).alias("shingles")))
     kept = F.filter(windows, lambda w: retrieved(w["shingles"]))
     best = F.array_max(F.transform(kept, lambda w: F.struct((F.size(F.array_intersect(w["shingles"], mine)) / n).alias("containment"), w["start"].alias("start"))))
-    match = let(best, lambda b: F.when(b["containment"] >= least, F.struct(F.lit(name).alias("license"), b["containment"].alias("containment"), (-b["start"]).cast("long").alias("start_word"))))
+    match = let(best, lambda b: F.when(b["containment"] >= least, F.struct(F.lit(template.name).alias("license"), b["containment"].alias("containment"), (-b["start"]).cast("long").alias("start_word"))))
     return F.when(F.arrays_overlap(h, own_cues), match)
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, license, containment, start_word): the best window of each template found in a document."""
-    bands = bands_for(least / (3 - least), miss)
-    known = prepared(docs.sparkSession, templates, bands)
-    widths = sorted({k[1] for k in known})
+    known, bands = prepared(docs.sparkSession, templates, least, miss)
+    widths = sorted({k.width for k in known})
     hashed = let(words_of(F.col(text_col)), lambda w: F.struct(*[shingle_hashes(w, k).alias(f"h{k}") for k in widths]))
     rows = docs.select(F.col(id_col).alias("id"), F.explode(F.array(hashed)).alias("h")).select("id", *[F.col(f"h.h{w}").alias(f"h{w}") for w in widths])
     cued = F.lit(False)
     for w in widths:
-        cued = cued | F.arrays_overlap(f"h{w}", _literal(sorted({c for k in known if k[1] == w for c in k[4]})))
-    found = F.when(cued, F.array(*[_best_match(F.col(f"h{k[1]}"), k, bands, least) for k in known]))
+        cued = cued | F.arrays_overlap(f"h{w}", _literal(sorted({c for k in known if k.width == w for c in k.cues})))
+    found = F.when(cued, F.array(*[_best_match(F.col(f"h{k.width}"), k, bands, least) for k in known]))
     return rows.select(F.col("id").alias(id_col), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("m")).select(id_col, "m.*")
 
 
@@ -134,16 +152,16 @@ def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float
     cut = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     return f"""
 WITH t0 AS (SELECT name, {cut} AS w FROM (VALUES {values}) v(name, text)),
-t1 AS (SELECT DISTINCT name, least(len(w), {WIDTH}) AS width, array_to_string(w[i + 1 : i + least(len(w), {WIDTH})], ' ') AS shingle
+t1 AS (SELECT DISTINCT name, least(len(w), {WIDTH}) AS width, len(w) - least(len(w), {WIDTH}) + 1 AS total, array_to_string(w[i + 1 : i + least(len(w), {WIDTH})], ' ') AS shingle
        FROM t0, unnest(range(len(w) - least(len(w), {WIDTH}) + 1)) u(i)),
-t2 AS (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM t1),
+t2 AS (SELECT *, count(*) OVER (PARTITION BY name) AS n, greatest(1, total // 2) AS step FROM t1),
 d0 AS (SELECT row_number() OVER () AS r, doc_id, {cut} AS w FROM documents),
 d1 AS (SELECT r, doc_id, width, i AS pos, array_to_string(w[i + 1 : i + width], ' ') AS shingle
        FROM d0, (SELECT DISTINCT width FROM t1) x, unnest(range(greatest(len(w) - width + 1, 0))) u(i)),
-hits AS (SELECT r, doc_id, name, n, shingle, unnest([pos // n, pos // n - 1]) AS win FROM d1 JOIN t2 USING (width, shingle)),
-wins AS (SELECT r, doc_id, name, win, n, CAST(count(DISTINCT shingle) AS DOUBLE) / n AS containment FROM hits WHERE win >= 0 GROUP BY r, doc_id, name, win, n),
+hits AS (SELECT r, doc_id, name, n, step, total, pos, shingle, pos // step - unnest(range((2 * total - 1) // step + 1)) AS win FROM d1 JOIN t2 USING (width, shingle)),
+wins AS (SELECT r, doc_id, name, win, n, step, CAST(count(DISTINCT shingle) AS DOUBLE) / n AS containment FROM hits WHERE win >= 0 AND pos - win * step < 2 * total GROUP BY r, doc_id, name, win, n, step),
 best AS (SELECT r, doc_id, name, max(containment) AS containment FROM wins GROUP BY r, doc_id, name)
-SELECT b.doc_id, b.name AS license, b.containment, CAST(min(w.win * w.n) AS BIGINT) AS start_word
+SELECT b.doc_id, b.name AS license, b.containment, CAST(min(w.win * w.step) AS BIGINT) AS start_word
 FROM best b JOIN wins w ON b.r = w.r AND b.name = w.name AND b.containment = w.containment
 WHERE b.containment >= {least} GROUP BY b.r, b.doc_id, b.name, b.containment
 """

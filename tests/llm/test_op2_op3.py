@@ -152,6 +152,17 @@ def test_licenses_equal_plain_joins(spark, tmp_path) -> None:
     assert all((1000 + i, n) in found and (1200 + i, n) in found for i, (n, _) in enumerate(TEMPLATES))
 
 
+@pytest.mark.parametrize("inserted", [20, 40])
+def test_words_put_into_a_template_hide_it_nowhere(spark, inserted: int) -> None:
+    """A license with words inserted in its middle, at 64 places in a text."""
+    name, text = TEMPLATES[-1]
+    w, r = text.split(), random.Random(inserted)
+    filler = lambda k: r.choices(["lorem", "ipsum", "dolor", "amet"], k=k)
+    data = [(k, " ".join([*filler(3 * k), *w[: len(w) // 2], *filler(inserted), *w[len(w) // 2 :], *filler(100)])) for k in range(64)]
+    got = scan_licenses(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in got if x["license"] == name} == set(range(64))
+
+
 def test_bands() -> None:
     assert (1 - 0.8 / 2.2) ** bands_for(0.8 / 2.2, 1e-6) <= 1e-6
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import more_queries, search_queries, stream_queries
+from folioscope.plans import file_queries, more_queries, search_queries, stream_queries
 from folioscope.plans.queries import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "more_queries", "search_queries", "stream_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "file_queries", "more_queries", "search_queries", "stream_queries"]

@@ -21,17 +21,22 @@ def csv_text(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
 
 
 def write_csv(df: DataFrame, columns: list[str], path: str, order: list[str] | None = None, parts: int | None = None) -> None:
-    """A CSV in parts that follow one another, the header in the first; lines end in CR LF.
+    """A CSV in parts that follow one another, each with the header; lines end in CR LF.
 
     Parts are ranges of ``order``, or of the order that rows have; a small table
-    is one part, unless their number is given.  Never for the folder that is being read.
+    is one part, unless their number is given, and an empty one the header alone.
+    Never for the folder that is being read.
     """
+    head = ",".join(columns)
     by = order or ["_at"]
     rows = df if order else df.withColumn("_at", F.monotonically_increasing_id())
-    body = csv_text(rows, columns, by).withColumn("first", F.lit(1))
-    head = df.sparkSession.createDataFrame([(",".join(columns),)], "line string").withColumns({**{f"by_{k}": F.lit(None).cast(body.schema[f"by_{k}"].dataType) for k in range(len(by))}, "first": F.lit(0)})
-    keys = ["first", *[f"by_{k}" for k in range(len(by))]]
-    head.unionByName(body).repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys).select(F.col("line").alias("value")).write.option("lineSep", "\r\n").text(path)
+    keys = [f"by_{k}" for k in range(len(by))]
+    ranged = csv_text(rows, columns, by).repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys)
+    first = F.monotonically_increasing_id() % (1 << 33) == 0  # numbers begin anew in each part
+    lines = ranged.select(F.when(first, F.concat(F.lit(head + "\r\n"), "line")).otherwise(F.col("line")).alias("value"))
+    if not df.limit(1).count():
+        lines = df.sparkSession.createDataFrame([(head,)], "value string")
+    lines.write.option("lineSep", "\r\n").text(path)
 
 
 def nested_verses(verses: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:

@@ -47,10 +47,17 @@ def test_two_rows_of_one_name_are_refused(session, tmp_path) -> None:
 
 
 def test_csv_in_ordered_parts(session, tmp_path) -> None:
-    df = session.range(5_000).selectExpr("id", "if(id % 7 = 0, concat('a \"b\", ', id), null) as text").repartition(7)
+    df = session.range(5_000).selectExpr("id", "if(id % 7 = 0, concat('a \"b\",\n', id), null) as text").repartition(7)
     path = str(tmp_path / "csv")
     sinks.write_csv(df, ["id", "text"], path, order=["id"], parts=4)
     parts = sorted(Path(path).glob("part-*"))
-    lines = "".join(p.read_text(newline="") for p in parts).split("\r\n")
-    assert len(parts) > 1 and lines[0] == "id,text" and lines[-1] == "" and [int(x.split(",")[0]) for x in lines[1:-1]] == list(range(5_000))
-    assert lines[8] == '7,"a ""b"", 7"' and lines[9] == "8,"
+    assert len(parts) > 1 and all(p.read_bytes().startswith(b"id,text\r\n") for p in parts)
+    assert parts[0].read_bytes().startswith(b'id,text\r\n0,"a ""b"",\n0"\r\n1,\r\n')
+    back = readers.read_csv(session, path, ("id", "text")).orderBy("line").collect()
+    assert [(int(r["id"]), r["text"]) for r in back] == [(n, f'a "b",\n{n}' if n % 7 == 0 else None) for n in range(5_000)]
+
+
+def test_csv_of_nothing_is_its_header(session, tmp_path) -> None:
+    path = str(tmp_path / "csv")
+    sinks.write_csv(session.range(0), ["id"], path)
+    assert b"".join(p.read_bytes() for p in Path(path).glob("part-*")) == b"id\r\n"

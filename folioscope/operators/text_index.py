@@ -168,6 +168,11 @@ def checked(index: TextIndex, queries: DataFrame, terms: DataFrame) -> DataFrame
     return terms.join(found, "term").join(texts, ["block", "place"]).select(*queries.columns, "term", "key", "text", "form")
 
 
+def texts_of(index: TextIndex, keys: DataFrame) -> DataFrame:
+    """Rows (key, text) of some keys, which are met where they are few by broadcast, as Spark sees it."""
+    return index.texts.select("key", "text").join(keys, "key", "left_semi")
+
+
 def rows_read(found: DataFrame) -> dict[str, int]:
     """Rows that the scans of a search's plan have read, by table of the index; for a search that has been collected."""
     out: dict[str, int] = {}

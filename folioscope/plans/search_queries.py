@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.folders import shared_folder
 from folioscope.functions import text as t
-from folioscope.operators import text_index, word_joins
+from folioscope.operators import search_many, text_index, word_joins
 from folioscope.plans.queries import _SPACE, query, table
 
 
@@ -91,3 +91,28 @@ SELECT DISTINCT a.w AS a, b.w AS b FROM d a JOIN d b ON a.k = b.k AND a.w < b.w
 def word_pairs_within_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of different words of the documents that are one edit apart."""
     return word_joins.pairs_within_one(_words(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+WITH q AS (SELECT item_id AS query_id, lower(substring(text, 3, 7)) AS q, CAST(item_id % 3 AS INTEGER) AS kind FROM benchmark),
+v AS (SELECT lang AS surah, doc_id AS verse, lower(text) AS f, text, source FROM documents),
+h AS (
+  SELECT query_id, surah, verse, (length(f) - length(replace(f, q, ''))) // length(q) + CASE WHEN contains(text, q) THEN 2 ELSE 0 END AS relevance, NULL AS context FROM (SELECT * FROM q WHERE kind = 0 AND NOT regexp_matches(q, '\s')) JOIN v ON contains(f, q)
+  UNION ALL SELECT query_id, surah, verse, 1, 'Root: ' || surah || ', ' || source FROM (SELECT query_id, 'xsrc' || query_id || 'x' AS q FROM q WHERE kind = 1) JOIN v ON contains(q, lower(source)) OR contains(lower(source), q) OR contains(q, lower(surah)) OR contains(lower(surah), q)
+  UNION ALL SELECT query_id, surah, verse, 1, source FROM (SELECT query_id, 'RC' || (query_id % 20) AS q FROM q WHERE kind = 2) JOIN v ON contains(lower(source), lower(q))),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, surah, verse) AS nth FROM h)
+SELECT query_id, surah, CASE surah WHEN 'en' THEN 'English' ELSE '' END AS surah_name, verse, CAST(relevance AS INTEGER) AS relevance, context FROM r WHERE nth <= 20
+"""
+)
+def many_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of all three types, one for each benchmark item, answered together."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("surah"), F.col("doc_id").alias("verse"), "text", "source")
+    morphology = docs.select("surah", "verse", F.col("source").alias("translation"), F.array("surah", "source").alias("roots"))
+    item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.substring("text", 3, 7)).alias("q"), (F.col("item_id") % 3).alias("kind"))
+    one_word = (F.col("kind") != 0) | ~F.col("q").rlike(r"\s")
+    asked = F.when(F.col("kind") == 0, F.col("q")).when(F.col("kind") == 1, F.concat(F.lit("xsrc"), "query_id", F.lit("x"))).otherwise(F.concat(F.lit("RC"), F.col("query_id") % 20))
+    requests = item.filter(one_word).select("query_id", asked.alias("q"), F.get(F.array(*map(F.lit, ("text", "root", "gloss"))), F.col("kind").cast("int")).alias("type"))
+    names = spark.createDataFrame([("en", "English")], "id string, english_name string")
+    corpus = search_many.prepare(docs.drop("source"), morphology, names, shared_folder(spark, "requests"))
+    return search_many.answer(corpus, requests).drop("text")

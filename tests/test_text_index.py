@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators import search, text_index, word_joins
+from folioscope.operators import search, search_many, text_index, word_joins
 
 ALPHABET = "abc ABéَٱـ.\\EßẞİiΣσς🙂\0"
 
@@ -79,6 +79,26 @@ def test_the_folded_form_is_made_character_by_character(session) -> None:
     assert df.filter(text_index.folded(F.concat("a", "b")) != F.concat(text_index.folded(F.col("a")), text_index.folded(F.col("b")))).count() == 0
 
 
+def test_many_requests_are_answered_as_one_is(session, tmp_path) -> None:
+    r = random.Random(8)
+    verses = session.createDataFrame([(k % 3, k, " ".join(r.choices(["the", "The", "sea", "end", "theme", "É"], k=6))) for k in range(60)], "surah int, verse int, text string")
+    roots = ["ktb", "Kt", "s", "qwl", "ab"]
+    morphology = session.createDataFrame([(k % 3, k, r.choice(["A Sea", "the end", None, "other"]), sorted(r.sample(roots, r.randrange(0, 3)))) for k in range(55)], "surah int, verse int, translation string, roots array<string>")
+    names = session.createDataFrame([(1, "One"), (2, "Two")], "id int, english_name string")
+    asked = [("text", "the"), ("text", "the É"), ("root", "KT"), ("root", "xqwlx s"), ("root", "none"), ("gloss", "SEA"), ("gloss", "e"), (None, "sea end"), ("text", "a"), ("kind", "the"), ("text", ""), ("text", "x" * 201), ("gloss", None)]
+    requests = session.createDataFrame([(k, q, kind) for k, (kind, q) in enumerate(asked)], "query_id int, q string, type string")
+    got: dict = {}
+    for x in search_many.answer(search_many.prepare(verses, morphology, names, str(tmp_path / "many")), requests, limit=7).collect():
+        got.setdefault(x["query_id"], []).append((x["surah"], x["surah_name"], x["verse"], x["text"], x["relevance"], x["context"]))
+    for k, (kind, q) in enumerate(asked):
+        try:
+            rows = search.search(verses, morphology, names, q, kind, 7).collect()
+        except search.BadRequest:
+            rows = []
+        want = [(x["surah"], x["surah_name"], x["verse"], x["text"], x["relevance"], x["context"] if "context" in x else None) for x in rows]
+        assert sorted(got.get(k, [])) == sorted(want), (kind, q)
+
+
 def test_empty_index(session, tmp_path) -> None:
     none = session.createDataFrame([], "id int, text string")
     index = text_index.build(none, ["id"], "text", str(tmp_path / "none"))

@@ -301,8 +301,8 @@ _DIVISIONS = ", ".join(str(d[:1] + tuple(x.replace("'", "''") for x in d[1:4]) +
 WITH d(id, name, meaning, revealed, verses) AS (VALUES {_DIVISIONS}),
 v AS (SELECT doc_id, CAST(doc_id % 120 AS INTEGER) AS surah, CAST(n_chars % 300 AS INTEGER) AS verse FROM documents),
 p AS (SELECT s * 1000 + v AS start, row_number() OVER () AS part FROM (VALUES {", ".join(map(str, divisions.PART_STARTS))}) t(s, v))
-SELECT doc_id, coalesce(d.name, '') AS english_name, coalesce(d.revealed, '') AS revelation_type, coalesce(verse <= d.verses, false) AS is_there, CAST(coalesce(p.part, 1) AS INTEGER) AS part
-FROM v LEFT JOIN d ON v.surah = d.id ASOF LEFT JOIN p ON v.surah * 1000 + v.verse >= p.start
+SELECT doc_id, coalesce(lpad(CAST(d.id AS VARCHAR), 3, '0') || '-' || f[d.id] || '.html', '') AS file, coalesce(d.name, '') AS english_name, coalesce(d.revealed, '') AS revelation_type, coalesce(verse <= d.verses, false) AS is_there, CAST(coalesce(p.part, 1) AS INTEGER) AS part
+FROM (SELECT *, {divisions.FILE_NAMES!r} AS f FROM v) v LEFT JOIN d ON v.surah = d.id ASOF LEFT JOIN p ON v.surah * 1000 + v.verse >= p.start
 """
 )
 def division_and_part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,4 +310,5 @@ def division_and_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 120).cast("int").alias("id"), (F.col("n_chars") % 300).cast("int").alias("verse"))
     named = lookup.with_default(rows, divisions.divisions(spark), "id", {"english_name": "", "revelation_type": "", "verse_count": -1})
     parts = lookup.as_of_bands(named, divisions.part_bands(spark), F.struct(F.col("id").alias("s"), F.col("verse").alias("v")), "start", "part", 1)
-    return parts.select("doc_id", "english_name", "revelation_type", (F.col("verse") <= F.col("verse_count")).alias("is_there"), "part")
+    filed = lookup.with_default(parts.withColumn("number", F.col("id")), divisions.page_files(spark), "number", {"file": ""})
+    return filed.select("doc_id", "file", "english_name", "revelation_type", (F.col("verse") <= F.col("verse_count")).alias("is_there"), "part")

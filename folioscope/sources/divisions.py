@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.functions.text import page_file
 
 # Number, name, its translation, where it was revealed, verses.
 DIVISIONS = [
@@ -136,6 +139,23 @@ PART_STARTS = [
 ]
 
 
+# The name in a page's file, of division 1 and so on.
+FILE_NAMES = [
+    "الفاتحة", "البقرة", "آل-عمران", "النساء", "المائدة", "الأنعام", "الأعراف", "الأنفال", "التوبة", "يونس",
+    "هود", "يوسف", "الرعد", "ابراهيم", "الحجر", "النحل", "الإسراء", "الكهف", "مريم", "طه",
+    "الأنبياء", "الحج", "المؤمنون", "النور", "الفرقان", "الشعراء", "النمل", "القصص", "العنكبوت", "الروم",
+    "لقمان", "السجدة", "الأحزاب", "سبإ", "فاطر", "يس", "الصافات", "ص", "الزمر", "غافر",
+    "فصلت", "الشورى", "الزخرف", "الدخان", "الجاثية", "الأحقاف", "محمد", "الفتح", "الحجرات", "ق",
+    "الذاريات", "الطور", "النجم", "القمر", "الرحمن", "الواقعة", "الحديد", "المجادلة", "الحشر", "الممتحنة",
+    "الصف", "الجمعة", "المنافقون", "التغابن", "الطلاق", "التحريم", "الملك", "القلم", "الحاقة", "المعارج",
+    "نوح", "الجن", "المزمل", "المدثر", "القيامة", "الانسان", "المرسلات", "النبإ", "النازعات", "عبس",
+    "التكوير", "الإنفطار", "المطففين", "الإنشقاق", "البروج", "الطارق", "الأعلى", "الغاشية", "الفجر", "البلد",
+    "الشمس", "الليل", "الضحى", "الشرح", "التين", "العلق", "القدر", "البينة", "الزلزلة", "العاديات",
+    "القارعة", "التكاثر", "العصر", "الهمزة", "الفيل", "قريش", "الماعون", "الكوثر", "الكافرون", "النصر",
+    "المسد", "الإخلاص", "الفلق", "الناس",
+]
+
+
 def divisions(spark: SparkSession) -> DataFrame:
     """The divisions' table (id, english_name, english_translation, revelation_type, verse_count)."""
     return spark.createDataFrame(DIVISIONS, "id int, english_name string, english_translation string, revelation_type string, verse_count int")
@@ -145,3 +165,9 @@ def part_bands(spark: SparkSession) -> DataFrame:
     """Starts of parts (start, part), as ``lookup.as_of_bands`` takes them; ``start`` is a struct (s, v)."""
     rows = [((s, v), k) for k, (s, v) in enumerate(PART_STARTS, 1)]
     return spark.createDataFrame(rows, "start struct<s:int,v:int>, part int")
+
+
+def page_files(spark: SparkSession) -> DataFrame:
+    """The file of each division's page (number, file)."""
+    rows = spark.createDataFrame(list(enumerate(FILE_NAMES, 1)), "number int, name string")
+    return rows.select("number", page_file(F.col("number"), F.col("name")).alias("file"))

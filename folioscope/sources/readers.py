@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import jsons
-from folioscope.functions.text import split_reference
+from folioscope.functions.text import page_main, split_reference
+from folioscope.sources.divisions import FILE_NAMES
 
 VERSE_XML = "_index int, _name string, aya array<struct<_index:int,_text:string,_bismillah:string>>"
 MORPHOLOGY_COLUMNS = (
@@ -83,6 +84,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("file", r"^(\d{3,})-", 1).try_cast("int").alias("number"), "file", "html").filter("number is not null")
 
 
+def read_main(spark: SparkSession, path: str, number: int) -> str | None:
+    """The main element of a division's page, of which that file alone is read; null if there is no such page or element."""
+    if not 1 <= number <= len(FILE_NAMES):
+        return None
+    file = f"{number:03}-{FILE_NAMES[number - 1]}.html"
+    found = spark.read.text(path, wholetext=True, pathGlobFilter=file).select(page_main(F.col("value")).alias("main")).first()
+    return found["main"] if found else None
+
+
 def read_dimension(spark: SparkSession, rows: list[tuple[int, str, str, str, int]]) -> DataFrame:
     """The divisions' table (id, english_name, english_translation, revelation_type, verse_count)."""
     return spark.createDataFrame(rows, "id int, english_name string, english_translation string, revelation_type string, verse_count int")

@@ -7,7 +7,7 @@ import bisect
 from pyspark.sql import functions as F
 
 from folioscope.operators import lookup, model, quality, search
-from folioscope.sources import divisions, readers
+from folioscope.sources import divisions, readers, sinks
 
 VERSES = "surah int, name string, verse int, text string, bismillah string"
 
@@ -24,11 +24,20 @@ def test_divisions_and_their_parameters(session) -> None:
     table = divisions.divisions(session)
     assert [r["id"] for r in lookup.division_parameters(table).collect()] == [str(n) for n in range(1, 115)]
     assert table.agg(F.sum("verse_count")).first()[0] == 6236
+    files = {r["number"]: r["file"] for r in divisions.page_files(session).collect()}
+    assert len(files) == 114 and files[1] == "001-الفاتحة.html" and files[114].startswith("114-")
     at = session.createDataFrame([(1, 7), (2, 141), (2, 142), (83, 36), (114, 1), (0, 0)], "s int, v int")
     parts = lookup.as_of_bands(at, divisions.part_bands(session), F.struct("s", "v"), "start", "part", 1).collect()
     assert [(r["s"], r["part"]) for r in parts] == [(1, 1), (2, 1), (2, 2), (83, len(divisions.PART_STARTS)), (114, len(divisions.PART_STARTS)), (0, 1)]
 
 
+def test_the_main_element_of_a_page(session, tmp_path) -> None:
+    page = '<html><main class="quran" data-x="1">\n<p>{}</p></main></html>'
+    rows = divisions.page_files(session).filter("number in (1, 2, 114)").withColumn("html", F.when(F.col("number") == 2, "<html></html>").otherwise(F.replace(F.lit(page), F.lit("{}"), F.col("number").cast("string"))))
+    sinks.write_pages(rows, str(tmp_path / "p"))
+    assert [readers.read_main(session, str(tmp_path / "p"), n) for n in (1, 2, 3, 114, 0, 115)] == ['<main class="quran" data-x="1">\n<p>1</p></main>', None, None, '<main class="quran" data-x="1">\n<p>114</p></main>', None, None]
+
+
 def test_defaults_are_for_rows_without_a_match(session) -> None:
     rows = session.createDataFrame([(1, "mine"), (2, None), (3, None), (None, None)], "key int, note string")
     known = session.createDataFrame([(1, "one"), (2, None)], "key int, name string")

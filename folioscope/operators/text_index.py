@@ -33,6 +33,7 @@ from folioscope.functions.text import SPACES, marks_removed, search_form
 from folioscope.shipping import ship
 
 RAREST = 3  #: grams of a query whose postings are read
+LOOKED_UP = 10  #: grams that a scan's filter names
 BLOCK = 1024  #: texts in a block, doubled until there are no more than MOST_BLOCKS
 MOST_BLOCKS = 20_000
 MOST_PAIRS = 4_000_000  #: pairs of gram and text that a worker holds
@@ -138,6 +139,12 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(ask, pa.string()), pa.array(gram, pa.int64()), pa.array(length, pa.int32())], names=["ask", "gram", "length"])
 
 
+def _of_grams(postings: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Postings, those of the chosen grams alone where the scan can look them up: Parquet takes ``LOOKED_UP`` values one by one, more as a range."""
+    few = [r["gram"] for r in chosen.select("gram").distinct().limit(LOOKED_UP + 1).collect()]
+    return postings.filter(F.col("gram").isin(few)) if len(few) <= LOOKED_UP else postings
+
+
 def candidates(index: TextIndex, terms: DataFrame) -> DataFrame:
     """Rows (term, block, place) of texts that may hold a term; each term of the column ``term`` once."""
     asks = terms.select(F.col("term").alias("ask"), folded(F.col("term")).alias("form")).filter("form is not null").distinct()
@@ -146,7 +153,8 @@ def candidates(index: TextIndex, terms: DataFrame) -> DataFrame:
     whole = asked.filter("length = 3").join(known, "gram", "left")
     rank = F.row_number().over(Window.partitionBy("ask").orderBy(F.col("n").asc_nulls_first(), "gram"))
     rare = whole.withColumn("rank", rank).withColumn("grams", F.least(F.count("*").over(Window.partitionBy("ask")), F.lit(RAREST))).filter(F.col("rank") <= RAREST)
-    met = index.postings.join(rare.filter("n is not null").select("ask", "gram", "grams"), "gram").groupBy("ask", "block", "grams").agg(F.collect_list("texts").alias("lists"))
+    chosen = rare.filter("n is not null").select("ask", "gram", "grams").persist(StorageLevel.MEMORY_AND_DISK)
+    met = _of_grams(index.postings, chosen).join(chosen, "gram").groupBy("ask", "block", "grams").agg(F.collect_list("texts").alias("lists"))
     common = met.filter(F.size("lists") >= F.col("grams")).select("ask", "block", F.explode(F.aggregate(F.slice("lists", 2, RAREST), F.get("lists", 0), F.array_intersect)).alias("place"))
     some = []
     for length in (2, 1):

@@ -70,6 +70,10 @@ def test_a_rare_query_reads_few_texts(session, tmp_path) -> None:
     found = text_index.substring_search(index, session.createDataFrame([(1, "word17123 ")], "query_id int, query string"))
     assert [r["id"] for r in found.collect()] == [17123]
     assert text_index.rows_read(found)["texts"] <= 2 * text_index.BLOCK
+    hits = text_index.candidates(index, session.createDataFrame([("word17123 ",)], "term string"))
+    assert hits.count() < 10  # the exact check comes after
+    hits.collect()
+    assert 0 < text_index.rows_read(hits)["postings"] < index.postings.count() / 2
 
 
 def test_the_folded_form_is_made_character_by_character(session) -> None:

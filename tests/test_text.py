@@ -122,3 +122,22 @@ def test_near_on_random_words() -> None:
         a, b = ("".join(r.choices("ab", k=r.randrange(6))) for _ in range(2))
         for most in (0, 1, 2):
             assert near(a, b, most) == (distance(a, b) <= most)
+
+
+def test_upper_case_by_character_is_that_of_the_sql(session) -> None:
+    import duckdb
+
+    wide = [c for c in map(chr, range(0x110000)) if len(c.upper()) > 1]
+    rows = ["ich schß. Öl", "", None, "ßß", "aßb\ncß", "ǆ ΐ ﬁn", *wide, "x".join(wide)]
+    df = session.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
+    got = {r["i"]: r["u"] for r in df.select("i", t.upper_by_character(F.col("x")).alias("u")).collect()}
+    assert [got[i] for i in range(len(rows))] == [duckdb.execute("SELECT upper(?)", [x]).fetchone()[0] for x in rows]
+
+
+def test_gloss_search_finds_sharp_s(session, tmp_path) -> None:
+    from folioscope import catalog
+
+    session.createDataFrame([(1, "So. ich schß. Ende"), (2, "ich schss.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    session.createDataFrame([(89, "Enlich schß. Ö")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = catalog.QUERIES["indexed_gloss_search"](session, str(tmp_path)).collect()
+    assert [(r["query_id"], r["doc_id"]) for r in got] == [(89, 1)]

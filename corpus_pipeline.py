@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """Keeps one document of each component of near copies, met by SimHash and MinHash: five-word shingles, Jaccard similarity of 0.8 or more."""
     return one_of_each(docs)
 
 

@@ -42,8 +42,12 @@ def hold(df: DataFrame) -> DataFrame:
     """Spares narrow rows a second scan of the texts.
 
     They lie on the executors' disks; where an executor is lost, its share is
-    computed again from the scan, which is all the lineage they have.
+    computed again from the scan, which is all the lineage they have.  What the
+    caller has freed by ``clearCache`` is let go, so that plans of earlier
+    queries don't pile up in the driver.
     """
+    if _held and not _held[-1].storageLevel.useDisk:
+        _held.clear()
     _held.append(df.persist(StorageLevel.DISK_ONLY))
     return df
 

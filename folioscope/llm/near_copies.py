@@ -1,9 +1,11 @@
 """Near copies by word shingles: links of Jaccard similarity ``LEAST`` or more.
 
-Texts that are the same but for A-Z and white space are one class.  Each class
-has ``BANDS`` MinHash keys of ``ROWS`` minima over its distinct shingles; a pair
-of similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS, which is
-0.9999 at 0.8.  Who shares a key is first compared with one member of it only;
+Texts that are the same but for A-Z and white space are one class.  Classes are
+met by SimHash, and where its four bits are too few, by MinHash: each class has
+its fingerprint and the least one that ``op10_simhash`` links to it as keys, and
+``BANDS`` keys of ``ROWS`` minima over its distinct shingles; a pair of
+similarity s shares one of these with probability 1 - (1 - s**ROWS)**BANDS, which
+is 0.9999 at 0.8.  Who shares a key is first compared with one member of it only;
 then members of a key that are not yet in one component are compared with one
 another where they lie, in blocks of ``BLOCK`` members, by their ``SKETCH`` least
 shingle hashes: all there are in short texts, an estimate in longer ones.  Only
@@ -21,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import hold, keep
-from folioscope.llm.op10_simhash import components, only
+from folioscope.llm.op10_simhash import components, fingerprints_of, only
+from folioscope.llm.op10_simhash import links as simhash_links
 from folioscope.llm.words import Piece, mix64, owners_of, pieces, window_hashes
 from folioscope.shipping import ship
 
@@ -36,6 +40,7 @@ MARGIN = 0.17  #: more than four standard deviations of the share of equal minim
 SKETCH = 256
 SLACK = 0.11  #: more than four standard deviations of a similarity estimated from ``SKETCH`` hashes
 BLOCK = 512  #: members of a key that are compared at a time with as many others
+SIEVE_BITS = 1 << 26  #: of the filter for texts that are asked for, at most; a full one lets more texts pass
 TASK_MEMBERS = 20_000  #: members meant for a task's group of blocks
 _FACTORS = mix64(np.arange(BANDS * ROWS, dtype=np.uint64), 41) | np.uint64(1)
 _TERMS = mix64(np.arange(BANDS * ROWS, dtype=np.uint64), 42)
@@ -60,11 +65,12 @@ def shingles(piece: Piece, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (id, uid, same, sig, keys): the class of each document, a byte of each minimum, and its keys."""
+    """Rows (id, uid, same, fp, sig, keys): the class of each document, its SimHash (null without words), a byte of each minimum, and its keys."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            fps = pa.array(fingerprints_of(batch.column(1), width), pa.int64())
             for piece in pieces(batch.column(1), lower=True):
                 found, text, whole = shingles(piece, width)
                 own, starts = np.unique(text, return_index=True)
@@ -87,6 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                         "id": batch.column(0).slice(piece.first, len(piece)),
                         "uid": batch.column(2).slice(piece.first, len(piece)),
                         "same": pa.array(whole.view(np.int64)),
+                        "fp": pc.if_else(pa.array(have > 0), fps.slice(piece.first, len(piece)), None),
                         "sig": pa.array(listed, pa.binary()),
                         "keys": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(have))), pa.int32()), pa.array(keys.ravel().view(np.int64))),
                     }
@@ -94,7 +101,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("uid"))
-    return rows.mapInArrow(run, f"id {kind}, uid long, same long, sig binary, keys array<long>")
+    return rows.mapInArrow(run, f"id {kind}, uid long, same long, fp long, sig binary, keys array<long>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -184,13 +191,45 @@ def _with_both(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b", "of_a", "of_b")
 
 
+def _asked_for(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts (uid, text) whose uid is among ``ids``, and a few others: what a join with these needs of them.
+
+    A bit for each uid, 16 times as many bits as ids, so that most other texts need not be shuffled.
+    """
+    size = min(SIEVE_BITS, 1 << max(13, (16 * ids.count()).bit_length()))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[np.asarray(batch.column(0)) & (size - 1)] = True
+        yield pa.record_batch({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    bits = np.zeros(size // 8, np.uint8)
+    for row in ids.select("uid").coalesce(8).mapInArrow(marked, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row["bits"], np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            at = np.asarray(batch.column(0)) & (size - 1)
+            yield batch.filter(pa.array((known[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+    return texts.mapInArrow(sieved, "uid long, text string")
+
+
 def links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Pairs (a, b), a < b, of classes: enough links of similarity ``LEAST`` or more to tie each component together."""
-    banded = hold(distinct.select("same", F.explode("keys").alias("key")))
-    shared = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("same", "key").alias("at"), "same"))["same"].alias("one"), F.min("same").alias("low"), F.max("same").alias("high"))
-    met = keep(banded.join(shared.filter("low < high").select("key", "one"), "key"))  # narrow; later plans start from here
-    wanted = met.select("same").distinct().join(distinct.select("same", F.col("first.uid").alias("uid")), "same")
-    texts = docs.select(F.xxhash64(id_col, text_col).alias("uid"), F.col(text_col).alias("text")).join(wanted, "uid")
+    printed = distinct.filter("fp is not null").select("same", "fp")
+    least = simhash_links(printed.select("fp").distinct()).groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("near"))
+    alike = printed.select("same", F.xxhash64("fp", F.lit(BANDS)).alias("key")).unionByName(printed.join(least, "fp").select("same", F.xxhash64("near", F.lit(BANDS)).alias("key")))
+    banded = hold(distinct.select("same", F.explode("keys").alias("key")).unionByName(alike))
+    shared = banded.groupBy("key").agg(F.min("same").alias("low"), F.max("same").alias("high")).filter("low < high").select("key")
+    several = hold(banded.join(shared, "key"))
+    one = several.groupBy("key").agg(F.min(F.struct(F.xxhash64("same", "key").alias("at"), "same"))["same"].alias("one"))
+    met = keep(several.join(one, "key"))  # narrow; later plans start from here
+    wanted = hold(met.select("same").distinct().join(distinct.select("same", F.col("first.uid").alias("uid")), "same"))
+    texts = _asked_for(docs.select(F.xxhash64(id_col, text_col).alias("uid"), F.col(text_col).alias("text")), wanted).join(wanted, "uid")
     sets = hold(_sets(texts, width).dropDuplicates(["same"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -202,7 +241,8 @@ def links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
 
     star = hold(met.filter("same <> one").select(*ordered("same", "one")).distinct())
     first = verified(star)
-    rooted = met.select("key", "same").join(components(first).withColumnRenamed("node", "same"), "same", "left").select("key", "same", F.coalesce("root", "same").alias("root"))
+    known = components(first)
+    rooted = met.select("key", "same").join(known.withColumnRenamed("node", "same"), "same", "left").select("key", "same", F.coalesce("root", "same").alias("root"))
     rooted = hold(rooted)
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low < high").select("key", "blocks")
     open_ = rooted.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("same"), "blocks").cast("int")).join(sets.mapInArrow(_sketched, "same long, sketch binary, longer boolean"), "same")
@@ -212,14 +252,14 @@ def links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     group = F.pmod(F.xxhash64("key", "x", "y"), F.lit(max(1, groups))).alias("group")
     cross = blocks.select(group, "*").groupBy("group").applyInArrow(_alike, "a long, b long").distinct()
     near = keep(_with_both(cross.join(star, ["a", "b"], "left_anti"), sets, "shingles").mapInArrow(_close, "a long, b long"))
-    return first.unionByName(near)
+    return known.filter("root < node").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(near)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """The documents, columns unchanged, but one of each component: that with the smallest id, and one row of rows alike."""
     rows = signatures(docs, id_col, text_col, width)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
-    distinct = hold(rows.groupBy("same").agg(first, F.first("sig").alias("sig"), F.first("keys").alias("keys")))
+    distinct = hold(rows.groupBy("same").agg(first, F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
     roots = components(links(distinct, docs, id_col, text_col, width)).withColumnRenamed("node", "same")
     classes = distinct.select("same", "first").join(roots, "same", "left").select("first", F.coalesce("root", "same").alias("root"))
     return only(docs, classes.groupBy("root").agg(F.min("first").alias("first")), id_col, text_col)

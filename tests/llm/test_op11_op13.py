@@ -9,12 +9,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioscope.llm import op11_chat as chat
+from folioscope.llm import op13_divergence
 from folioscope.llm.op12_manifest import manifest
 from folioscope.llm.op13_divergence import audit
 
@@ -220,3 +222,27 @@ def test_divergences_are_those_of_plain_sums(spark, seed: int) -> None:
 
 def test_divergence_of_nothing(spark, no_docs) -> None:
     assert audit(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("hashes", ["apart", "all one"])
+def test_terms_are_added_up_by_their_bytes(monkeypatch, hashes: str) -> None:
+    """Terms of one hash are told apart; a text counts once for a term, whatever lies between."""
+    if hashes == "all one":
+        monkeypatch.setattr(op13_divergence, "mix64", lambda x, salt=0: np.zeros(len(x), np.uint64))
+    r = random.Random(3)
+    words = ["a", "Éa", "abcdefgh", "abcdefghi", "ABCDEFGHj", "漢字かな交じり文", "x" * 16, "x" * 17, "x" * 40, *["".join(r.choices("abé", k=r.randrange(1, 30))) for _ in range(40)]]
+    texts = [None, "", "1", *["".join(r.choice(words) + r.choice([" ", "1", "\0", "\n", "_", "\x7f"]) for _ in range(r.randrange(40))) for _ in range(60)], "a" * 9]
+    groups = [r.choice([("en", "s"), ("en", "t"), ("", "")]) for _ in texts]
+    batch = pa.record_batch([pa.array([g[0] for g in groups]), pa.array([g[1] for g in groups]), pa.array(texts, pa.string())], names=["lang", "source", "text"])
+    monkeypatch.setattr(op13_divergence, "TOKENS", 300)
+    got: Counter = Counter()
+    for out in op13_divergence._counted(iter([batch.slice(0, 30), batch.slice(30)])):
+        out.validate(full=True)
+        for x in out.to_pylist():
+            got[x["lang"], x["source"], x["term"], "n"] += x["n"]
+            got[x["lang"], x["source"], x["term"], "df"] += x["df"]
+    want: Counter = Counter()
+    for g, t in zip(groups, texts, strict=True):
+        own = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+        want += Counter((*g, x, "n") for x in own) + Counter((*g, x, "df") for x in set(own))
+    assert got == want

@@ -19,18 +19,34 @@ from folioscope.llm.op5_decontamination import decontaminate
 from folioscope.llm.op7_quality import keep_good, train
 
 
+BATCH_ROWS = 1000  #: rows that go to a Python worker at a time
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark hand whole texts to Python a few megabytes at a time: batches lie in memory beside an executor's heap, on both sides.
+
+    The session's setting is lowered, never raised, and stays so, as stages run when they are written.
+    """
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:  # zero or less: no limit
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
+    small_batches(spark)
     return keep_good(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near copies, met by SimHash and MinHash: five-word shingles, Jaccard similarity of 0.8 or more."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that leak a benchmark item."""
+    small_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

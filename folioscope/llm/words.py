@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes other than space and 0x09-0x0D; UTF-8 keeps
 those bytes for themselves, so cutting bytes equals cutting characters.  Only
-A-Z are lower-cased.  Batches are worked through in pieces of about a megabyte
+A-Z are lower-cased.  Batches are worked through in pieces of about a quarter of a megabyte
 (or one text, if longer), which bounds the memory of a Python worker.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 import corpus_pipeline as p
 from folioscope.llm import queries
+from folioscope.llm.words import pieces
 from tests.llm.conftest import SCHEMA
 from tests.llm.test_op5_op8 import noisy
 
@@ -45,3 +48,18 @@ def test_empty_tables(spark, tmp_path) -> None:
     assert p.run(spark, str(tmp_path)).count() == 0
     for name, f in queries.QUERIES.items():
         assert f(spark, str(tmp_path)).count() == (name == "op11_chat")  # which adds a conversation of its own
+
+
+def test_texts_go_to_python_in_small_batches(spark) -> None:
+    """What a worker and its executor hold beside the heap is bounded; a smaller setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        for before, after in (("10000", "1000"), ("0", "1000"), ("-1", "1000"), ("300", "300")):
+            spark.conf.set(key, before)
+            p.small_batches(spark)
+            sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.record_batch({"n": [len(b)]}) for b in batches), "n long").collect()
+            assert spark.conf.get(key) == after and max(r["n"] for r in sizes) == int(after) and sum(r["n"] for r in sizes) == 5000
+    finally:
+        spark.conf.unset(key)
+    texts = pa.array(["word " * 2000] * 200 + ["x" * 300_000])
+    assert [k for k in pieces(texts, True) if len(k.data) > 300_000] == []
